@@ -193,7 +193,7 @@ SELECT doc_id, edu, CASE WHEN edu < 5 THEN 'quality_' || floor(edu)::INT || '_'
     sql["influence_flatten"] = f"""WITH {LOSSES}
 SELECT family, key, row_number() OVER (PARTITION BY family, key ORDER BY seq) - 1 AS position, round(loss, 6) AS loss FROM losses"""
     sql["influence_stats"] = f"""WITH {LOSSES}
-SELECT family, key, count(*) AS n, round(avg(loss), 6) AS mean_loss, round(stddev_pop(loss), 6) AS std_loss FROM losses GROUP BY ALL"""
+SELECT family, key, count(*) AS n, round(avg(loss), 10) AS mean_loss, round(stddev_pop(loss), 10) AS std_loss FROM losses GROUP BY ALL"""
     sql["ewma_weights"] = f"{FOLDED} SELECT family, key, n, round(weight, 6) AS weight FROM folded"
     sql["normalized_weights"] = f"{SHARED} SELECT family, key, round(weight, 6) AS weight FROM shares"
     sql["s_values"] = f"{SHARED} SELECT family, key, round(s * 1000, 6) + 0 AS s_thousandths FROM shares"
@@ -351,7 +351,7 @@ WHERE draw < coalesce((SELECT min(draw) FROM matched WHERE doc_id IS NULL), (SEL
     sql["wsd_lr"] = """SELECT event_id, round(1000000 * CASE WHEN s < 16000 THEN 0.001::DOUBLE * s / 16000::DOUBLE
   WHEN s < 400000 THEN 0.001::DOUBLE ELSE 0.001::DOUBLE * pow(0.5::DOUBLE, (s - 400000) / 400::DOUBLE) END, 6) AS lr_millionths
 FROM (SELECT event_id, event_id * 41 AS s FROM events)"""
-    sql["flops_estimate"] = """SELECT doc_id, round(3 * (2 * 1300000000::DOUBLE * n + 24 * 4::DOUBLE * 2048 * n * n) / 1e12, 6) AS teraflops
+    sql["flops_estimate"] = """SELECT doc_id, round((3 * (2 * 1300000000::DOUBLE * n + 24 * 4::DOUBLE * 2048 * n * n) + 2 * 24 * 4::DOUBLE * 2048 * n * n) / 1e12, 6) AS teraflops
 FROM (SELECT doc_id, n_chars::DOUBLE AS n FROM documents)"""
     sql["round_up"] = "SELECT doc_id, CAST((n_chars + 63) // 64 * 64 AS BIGINT) AS padded FROM documents"
 

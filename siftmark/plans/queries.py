@@ -98,7 +98,7 @@ def influence_flatten(spark, folder):
 @query
 def influence_stats(spark, folder):
     stats = weights.influence_stats(weights.flatten_influence(tables.influences(spark, folder)))
-    return stats.select("family", "key", "n", r6("mean_loss").alias("mean_loss"), r6("std_loss").alias("std_loss"))
+    return stats.select("family", "key", "n", F.round("mean_loss", 10).alias("mean_loss"), F.round("std_loss", 10).alias("std_loss"))
 
 
 def _folded(spark, folder):
