@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -67,7 +69,8 @@ def subtask_centres(validation: DataFrame, subtasks: int) -> dict[int, np.ndarra
 def _jvm_dots(vector: Column, centres: dict[int, np.ndarray], weights: dict[int, float]) -> Column:
     chosen = F.lit(None).cast("array<double>")
     for ckpt, matrix in centres.items():
-        rows = F.array(*[F.lit(row) for row in weights[ckpt] * matrix])
+        # one constant, folded when the query is planned
+        rows = F.from_json(F.lit(json.dumps((weights[ckpt] * matrix).tolist())), "array<array<double>>")
         dots = F.transform(
             rows,
             lambda centre: F.aggregate(

@@ -32,34 +32,31 @@ def running_total(
     groups: Sequence[str] = (),
     out: str = "position",
     bits: int = 16,
+    upper: int = 24,
 ) -> DataFrame:
     """Add ``out``: the total ``size`` of rows with a smaller ``id_col`` in the group.
 
     ``id_col`` is a long, unique within its group. With no ``size`` every row
-    counts one, so ``out`` is the zero-based position. Ids are cut into digits
-    of ``bits`` bits and totalled digit by digit; because ids are unique, no
-    window ever holds more than ``2**bits`` rows of the two lower levels,
-    however the ids are spread and however large one group is.
+    counts one, so ``out`` is the zero-based position. Ids are cut into digits:
+    the lowest ``bits`` bits order rows in a block, the next ``upper`` bits
+    order blocks, the rest order stretches of blocks. As ids are unique, the
+    windows hold at most 65,536 rows or 16.8 million block totals, however the
+    ids are spread and however large one group is.
     """
     groups = list(groups)
     size = F.lit(1).cast("long") if size is None else size.cast("long")
     rows = df.withColumn("_size", size).withColumn("_b0", F.shiftright(id_col, bits))
 
-    level0 = rows.groupBy(*groups, "_b0").agg(F.sum("_size").alias("_t0"))
-    level0 = level0.withColumn("_b1", F.shiftright("_b0", bits))
-    level1 = level0.groupBy(*groups, "_b1").agg(F.sum("_t0").alias("_t1"))
-    level1 = level1.withColumn("_b2", F.shiftright("_b1", bits))
-    level2 = level1.groupBy(*groups, "_b2").agg(F.sum("_t1").alias("_t2"))
+    blocks = rows.groupBy(*groups, "_b0").agg(F.sum("_size").alias("_t0"))
+    blocks = blocks.withColumn("_b1", F.shiftright("_b0", upper))
+    stretches = blocks.groupBy(*groups, "_b1").agg(F.sum("_t0").alias("_t1"))
 
-    start2 = level2.select(*groups, "_b2", _before("_t2", groups, "_b2").alias("_s2"))
-    start1 = level1.join(start2, [*groups, "_b2"]).select(
-        *groups, "_b1", (F.col("_s2") + _before("_t1", [*groups, "_b2"], "_b1")).alias("_s1")
-    )
-    start0 = level0.join(start1, [*groups, "_b1"]).select(
+    stretch_start = stretches.select(*groups, "_b1", _before("_t1", groups, "_b1").alias("_s1"))
+    block_start = blocks.join(stretch_start, [*groups, "_b1"]).select(
         *groups, "_b0", (F.col("_s1") + _before("_t0", [*groups, "_b1"], "_b0")).alias("_s0")
     )
     inside = rows.withColumn("_in", _before("_size", [*groups, "_b0"], id_col))
-    return inside.join(start0, [*groups, "_b0"]).select(
+    return inside.join(block_start, [*groups, "_b0"]).select(
         *[F.col(c) for c in df.columns], (F.col("_s0") + F.col("_in")).alias(out)
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,14 @@ def decay(epoch: Column, rate: float = fixed.DECAY_LAMBDA) -> Column:
     return F.try_divide(F.lit(1.0), F.lit(1.0) + F.lit(rate) * epoch)
 
 
-def _pick(column: Column, weights: dict[str, float], prefix: str = "") -> Column:
-    chosen = F.lit(None).cast("double")
-    for key, weight in reversed(list(weights.items())):
-        chosen = F.when(column == key.removeprefix(prefix), F.lit(float(weight))).otherwise(chosen)
-    return chosen
+def _constant_map(weights: dict[str, float], prefix: str = "") -> Column:
+    """The weights as one map constant, folded when the query is planned."""
+    entries = {key.removeprefix(prefix): float(weight) for key, weight in weights.items()}
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,double>")
+
+
+def _pick(column: str, weights: dict[str, float], prefix: str = "") -> Column:
+    return F.try_element_at(_constant_map(weights, prefix), F.col(column))
 
 
 def quality_bounds(key: str) -> tuple[float, float]:
@@ -29,22 +34,26 @@ def quality_bounds(key: str) -> tuple[float, float]:
     return float(low), float(high)
 
 
-def quality_value(edu: Column, weights: dict[str, float]) -> Column:
-    """Weight of the first bucket with ``lo <= edu < hi``; 0 outside all."""
-    chosen = F.lit(0.0)
-    for key, weight in reversed(list(weights.items())):
-        low, high = quality_bounds(key)
-        chosen = F.when((edu >= low) & (edu < high), F.lit(float(weight))).otherwise(chosen)
-    return chosen
+def _first_bucket(edu: str, values: dict[str, str], otherwise: str) -> Column:
+    """The SQL ``values`` entry of the first bucket with ``lo <= edu < hi``."""
+    if not values:
+        return F.expr(otherwise)
+    bounds = {key: quality_bounds(key) for key in values}
+    cases = [
+        f"WHEN {edu} >= {bounds[key][0]!r}D AND {edu} < {bounds[key][1]!r}D THEN {value}"
+        for key, value in values.items()
+    ]
+    return F.expr(f"CASE {' '.join(cases)} ELSE {otherwise} END")
+
+
+def quality_value(edu: str, weights: dict[str, float]) -> Column:
+    """Weight of the first matching bucket; 0 outside all."""
+    return _first_bucket(edu, {k: f"{float(w)!r}D" for k, w in weights.items()}, "0.0D")
 
 
-def quality_bucket(edu: Column, weights: dict[str, float]) -> Column:
+def quality_bucket(edu: str, weights: dict[str, float]) -> Column:
     """Key of the bucket that :func:`quality_value` uses, or null."""
-    chosen = F.lit(None).cast("string")
-    for key in reversed(list(weights)):
-        low, high = quality_bounds(key)
-        chosen = F.when((edu >= low) & (edu < high), F.lit(key)).otherwise(chosen)
-    return chosen
+    return _first_bucket(edu, {k: f"'{k}'" for k in weights}, "CAST(NULL AS STRING)")
 
 
 def drop_reason(weights: AgentWeights) -> Column:
@@ -82,9 +91,9 @@ def score_column(weights: AgentWeights) -> Column:
     """The decayed mix of quality, domain and topic weight of a scorable record."""
     alpha, beta, gamma = weights.collaboration
     mixed = (
-        F.lit(alpha) * quality_value(F.col("edu"), weights.quality)
-        + F.lit(beta) * _pick(F.col("domain"), weights.domain)
-        + F.lit(gamma) * _pick(F.col("topic"), weights.topic, "topic_")
+        F.lit(alpha) * quality_value("edu", weights.quality)
+        + F.lit(beta) * _pick("domain", weights.domain)
+        + F.lit(gamma) * _pick("topic", weights.topic, "topic_")
     )
     return mixed * decay(F.col("epoch"))
 
@@ -93,7 +102,7 @@ def score_records(records: DataFrame, weights: AgentWeights, iteration: int = 1)
     """Add ``score_{iteration}`` and drop the records that cannot have one.
 
     ``records`` has ``domain``, ``topic`` (as text), ``edu`` and ``epoch``. The
-    weights enter the plan as constants, so the lookups are ``CASE``
-    expressions inside one generated stage: no join and no shuffle.
+    weights enter the plan as constants, so the lookups are expressions inside
+    one generated stage: no join and no shuffle.
     """
     return records.where(scorable(weights)).withColumn(f"score_{iteration}", score_column(weights))

@@ -54,22 +54,23 @@ def pack_tokens(df: DataFrame, id_col: str, tokens: str, chunk_size: int, filler
     piece = F.slice(
         F.col(tokens), (first - F.col("_start")).cast("int") + 1, (stop - first).cast("int")
     )
-    gathered = cut.select("chunk_id", F.struct(first.alias("at"), piece.alias("part")).alias("p")).groupBy(
-        "chunk_id"
-    ).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    pieces = cut.select("chunk_id", first.alias("at"), piece.alias("part"))
+    # chunk 0 exists even when there is nothing to pack
+    opening = pieces.sparkSession.range(1).select(
+        F.col("id").alias("chunk_id"),
+        F.lit(-1).cast("long").alias("at"),
+        F.array().cast(pieces.schema["part"].dataType).alias("part"),
+    )
+    gathered = pieces.unionByName(opening).groupBy("chunk_id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "part"))).alias("ps")
+    )
     joined = gathered.select(
-        "chunk_id", F.flatten(F.transform("ps", lambda p: p["part"])).alias("tokens")
+        "chunk_id", F.flatten("ps.part").alias("tokens")
     )
-    packed = joined.select(
+    return joined.select(
         "chunk_id",
         F.concat("tokens", F.array_repeat(filler, F.lit(chunk_size) - F.size("tokens"))).alias("tokens"),
     )
-    nothing = df.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0).cast("long")).alias("t")).where("t = 0")
-    return packed.unionByName(
-        nothing.select(
-            F.lit(0).cast("long").alias("chunk_id"), F.array_repeat(filler, chunk_size).alias("tokens")
-        )
-    )
 
 
 def blocks_of(chunks: DataFrame, chunk_size: int, block_size: int) -> DataFrame:

@@ -2,42 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELLS = 65536
 LARGEST = 1.7976931348623157e308
 
 
-def _log_cell(value: Column) -> Column:
-    """A cell number that never falls as ``value`` rises.
-
-    There are 32 cells per power of two, so the whole double range has under
-    140,000 of them.
-    """
-    size = F.floor(F.log2(F.least(F.abs(value), F.lit(LARGEST))) * 32) + 40000
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
+# A cell number that never falls as ``score`` rises: 32 cells per power of two,
+# so the whole double range has under 140,000 of them.
+LOG_CELL = f"sign(score) * (floor(log2(least(abs(score), {LARGEST!r}D)) * 32) + 40000)"
 
 
-def _linear_cell(value: Column, low: float, high: float) -> Column:
-    return F.floor((value - F.lit(low)) / F.lit(high - low) * CELLS)
+def _linear_cell(low: float, high: float) -> str:
+    return f"floor((score - {low!r}D) / {high - low!r}D * {CELLS})"
 
 
-def _narrow(scores: DataFrame, cell: Column, need: int):
+def _narrow(scores: DataFrame, cell: str, need: int):
     """Bounds of the cell holding the ``need``-th row from the top.
 
     Rows are counted per cell on the map side, so each task shuffles at most
     one row per cell, and one task walks the cells.
     """
-    cells = scores.groupBy(cell.alias("cell")).agg(
+    cells = scores.groupBy(F.expr(f"CAST(coalesce({cell}, 0) AS BIGINT)").alias("cell")).agg(
         F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")
     )
-    top_down = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
-    walked = cells.withColumn("seen", F.sum("n").over(top_down))
-    bounds = F.struct("low", "high", (F.lit(need) - F.col("seen") + F.col("n")).alias("need"))
-    return walked.agg(
-        F.max_by(F.when(F.col("seen") >= need, bounds), F.when(F.col("seen") >= need, F.col("cell"))).alias("found"),
-        F.min("low").alias("smallest"),
+    walked = cells.selectExpr("*", "sum(n) OVER (ORDER BY cell DESC) AS seen")
+    return walked.selectExpr(
+        f"max_by(struct(low, high, {need} - seen + n AS need), cell) FILTER (WHERE seen >= {need}) AS found",
+        "min(low) AS smallest",
     ).head()
 
 
@@ -55,13 +48,13 @@ def top_n_threshold(df: DataFrame, score: str, n: int) -> float | None:
     scores = df.select(F.col(score).cast("double").alias("score")).where(
         value.isNotNull() & ~F.isnan(value)
     )
-    row = _narrow(scores, _log_cell(value), n)
+    row = _narrow(scores, LOG_CELL, n)
     if row.found is None:
         return row.smallest
     found = row.found
     while found.low < found.high:
         inside = scores.where(value.between(found.low, found.high))
-        found = _narrow(inside, _linear_cell(value, found.low, found.high), found.need).found
+        found = _narrow(inside, _linear_cell(found.low, found.high), found.need).found
     return found.low
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,18 +49,15 @@ class AgentWeights:
     def to_frame(self, spark: SparkSession) -> DataFrame:
         """(family, key, ord, weight): one row per category, in merge order."""
         entries = [(f, k, w) for f in FAMILIES for k, w in self.family(f).items()]
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(f).alias("family"),
-                    F.lit(k).alias("key"),
-                    F.lit(i).alias("ord"),
-                    F.lit(float(w)).alias("weight"),
-                )
-                for i, (f, k, w) in enumerate(entries)
-            ]
+        table = pa.table(
+            {
+                "family": [f for f, _, _ in entries],
+                "key": [k for _, k, _ in entries],
+                "ord": pa.array(range(len(entries)), pa.int32()),
+                "weight": [float(w) for _, _, w in entries],
+            }
         )
-        return spark.range(1).select(F.inline(rows))
+        return spark.createDataFrame(table)
 
     def agent_json(self) -> str:
         return json.dumps(
@@ -111,40 +109,64 @@ def influence_stats(losses: DataFrame) -> DataFrame:
 
 
 def fold_losses(
-    lines: DataFrame, weights: AgentWeights, rule: UpdateRule = UpdateRule()
+    lines: DataFrame, weights: AgentWeights, rule: UpdateRule = UpdateRule(), block_bits: int = 16
 ) -> DataFrame:
     """Per category: folded weight, loss count and last loss.
 
-    The step ``w <- (1-eta) w + eta exp(c loss)`` is unrolled: the loss ``j``
-    places from the end counts ``(1-eta)**j``. Sums combine on the map side,
-    so a category holding most of the losses is no heavier than the others.
+    The step ``w <- (1-eta) w + eta exp(c loss)`` is linear in ``w``, so each
+    block of 65,536 line numbers is folded from zero on its own, and a block's
+    result counts ``(1-eta)`` to the power of the losses after it. A category
+    holding most of the losses is spread over its blocks; what is ordered per
+    category is one row per block.
     """
-    start = F.broadcast(weights.to_frame(lines.sparkSession))  # one row per category
-    sizes = lines.where(F.col("influence").isNotNull()).groupBy("family", "key").agg(
-        F.sum(F.size("influence")).cast("long").alias("n")
-    )
-    known = start.join(sizes, ["family", "key"], "left").select(
-        "family", "key", "ord", "weight", F.coalesce("n", F.lit(0).cast("long")).alias("n")
+    keep = F.lit(1 - rule.eta)
+    blocks = (
+        lines.where(F.col("influence").isNotNull())
+        .groupBy("family", "key", F.shiftright("line_no", block_bits).alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "influence"))).alias("lines"))
+        .select(
+            "family",
+            "key",
+            "block",
+            F.flatten(F.transform("lines", lambda line: line["influence"])).alias("losses"),
+        )
+        .where(F.size("losses") > 0)
+        .select(
+            "family",
+            "key",
+            "block",
+            F.size("losses").cast("long").alias("n"),
+            F.element_at("losses", -1).alias("last_loss"),
+            F.aggregate(
+                "losses",
+                F.lit(0.0),
+                lambda w, loss: keep * w + F.lit(rule.eta) * F.exp(loss * rule.loss_scale),
+            ).alias("gained"),
+        )
     )
-    age = F.col("n") - 1 - F.col("position")
-    terms = flatten_influence(lines).join(
-        F.broadcast(known.select("family", "key", "n")), ["family", "key"]
+    later = (
+        Window.partitionBy("family", "key")
+        .orderBy(F.desc("block"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    folded = terms.groupBy("family", "key").agg(
-        F.sum(
-            F.lit(rule.eta) * F.pow(F.lit(1 - rule.eta), age) * F.exp(F.col("loss") * rule.loss_scale)
-        ).alias("gained"),
-        F.max_by("loss", "position").alias("last_loss"),
+    after = F.coalesce(F.sum("n").over(later), F.lit(0).cast("long"))
+    folded = (
+        blocks.withColumn("after", after)
+        .groupBy("family", "key")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.pow(keep, "after") * F.col("gained")).alias("gained"),
+            F.max_by("last_loss", "block").alias("last_loss"),
+        )
     )
-    return known.join(folded, ["family", "key"], "left").select(
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    start = weights.to_frame(lines.sparkSession)  # one row per category
+    return start.join(folded, ["family", "key"], "left").select(
         "family",
         "key",
         "ord",
-        (
-            F.pow(F.lit(1 - rule.eta), F.col("n")) * F.col("weight")
-            + F.coalesce("gained", F.lit(0.0))
-        ).alias("weight"),
-        "n",
+        (F.pow(keep, n) * F.col("weight") + F.coalesce("gained", F.lit(0.0))).alias("weight"),
+        n.alias("n"),
         "last_loss",
     )
 
@@ -209,16 +231,12 @@ def update_weights(
 ) -> AgentWeights:
     """One whole update. At most 28 values come back to the driver."""
     categories = s_values(normalize_families(fold_losses(lines, weights, rule)), rule)
-    rows = categories.orderBy("ord").collect()
+    rows = sorted(categories.collect(), key=lambda r: r.ord)
     updated = {f: {r.key: r.weight for r in rows if r.family == f} for f in FAMILIES}
     kept = [r for r in rows if r.s is not None]
     spark = lines.sparkSession
     if len(kept) < len(weights.collaboration):
         return AgentWeights(**updated, collaboration=list(weights.collaboration))
-    again = spark.range(1).select(
-        F.inline(
-            F.array(*[F.struct(F.lit(r.ord).alias("ord"), F.lit(r.s).alias("s")) for r in kept])
-        )
-    )
-    moved = collaborate(again, weights.collaboration, rule).orderBy("agent").collect()
+    again = spark.createDataFrame(pa.table({"ord": [r.ord for r in kept], "s": [r.s for r in kept]}))
+    moved = sorted(collaborate(again, weights.collaboration, rule).collect())
     return AgentWeights(**updated, collaboration=[r.weight for r in moved])

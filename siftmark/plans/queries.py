@@ -29,6 +29,7 @@ from siftmark.operators import (
 from siftmark.operators.ordering import running_total
 from siftmark.plans import tables
 from siftmark.plans.tables import table
+from siftmark.session import materialize
 from siftmark.sources.corpus import parse_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,12 +80,11 @@ def score_drop_rules(spark, folder):
 
 @query
 def quality_bucket_lookup(spark, folder):
-    edu = F.col("edu")
     return tables.records(spark, folder).select(
         "doc_id",
         "edu",
-        scoring.quality_bucket(edu, ladder().quality).alias("bucket"),
-        r6(scoring.quality_value(edu, ladder().quality)).alias("quality"),
+        scoring.quality_bucket("edu", ladder().quality).alias("bucket"),
+        r6(scoring.quality_value("edu", ladder().quality)).alias("quality"),
     )
 
 
@@ -703,7 +703,10 @@ def gradient_matching(spark, folder):
     """Unigram gradients, projected and normalized, matched against labelled good documents."""
     model = providers.UnigramGradient(providers.share_vector({}, VOCABULARY))
     rows = providers.apply_provider(_bucketed(tables.document_words(spark, folder)), "tokens", model, "vector")
-    projected = matching.normalize_rows(projection.random_projection(rows, "vector", 32), "vector")
+    # stored once, like any gradients: both sides read them back column-wise
+    projected = materialize(
+        matching.normalize_rows(projection.random_projection(rows, "vector", 32), "vector"), "gradients"
+    )
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
     validation = projected.join(good, "doc_id").select(
         F.lit(0).alias("ckpt"), F.lit(0).alias("position"), "vector"
