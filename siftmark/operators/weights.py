@@ -15,7 +15,7 @@ from siftmark.operators.ordering import running_total
 FAMILIES = ("quality", "domain", "topic")
 
 
-@dataclass
+@dataclass(frozen=True)
 class UpdateRule:
     """Constants of one weight update."""
 
