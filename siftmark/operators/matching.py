@@ -90,14 +90,14 @@ def _blas_dots(train: DataFrame, centres: dict[int, np.ndarray], weights: dict[i
 
     @F.pandas_udf("array<double>")
     def dots(ckpt: pd.Series, vector: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(ckpt), dtype=object)
+        out: list = [None] * len(ckpt)
         for number, matrix in shipped.value.items():
             at = np.flatnonzero((ckpt == number).to_numpy())
             if len(at):
                 block = np.stack(vector.iloc[at].to_numpy()).astype(np.float64) @ matrix
-                for place, row in zip(at, block):
-                    out.iat[place] = row
-        return out
+                for place, row in zip(at, block.tolist()):
+                    out[place] = row
+        return pd.Series(out, dtype=object)
 
     return train.select("train_id", dots("ckpt", "vector").alias("dots"))
 
