@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftmark import fixed_values as fixed
+from siftmark.functions.arrow_blocks import as_lists, as_matrix
 
 ROW_BLOCK = 256
 
@@ -41,13 +42,19 @@ def random_projection(
     kept up to the factor ``width``, as with any sign projection.
     """
 
-    @F.pandas_udf("array<double>")
-    def projected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            if len(vectors):
-                block = np.stack(vectors.to_numpy()).astype(np.float64)
-                yield pd.Series(list(project(block, width, seed)))
-            else:
-                yield pd.Series([], dtype=object)
-
-    return df.withColumn(vector, projected(vector))
+    names = df.columns
+    schema = T.StructType(
+        [
+            T.StructField(vector, T.ArrayType(T.DoubleType())) if f.name == vector else f
+            for f in df.schema.fields
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = as_lists(project(as_matrix(batch.column(vector)), width, seed))
+                columns = [out if n == vector else batch.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.mapInArrow(run, schema)

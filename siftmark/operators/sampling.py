@@ -78,10 +78,11 @@ def mix_sources(
     """Interleave sources: each draw picks one by weight and takes its next row.
 
     Adds ``draw``. The mix ends with the first draw whose source has run out,
-    so at most ``draws`` (by default one per row) rows come back.
+    so at most ``draws`` (by default one per row) rows come back. Only the ids
+    are ordered and matched; other columns are joined on at the end.
     """
     names = list(weights)
-    kept = rows.where(F.col(source_col).isin(names))
+    kept = rows.where(F.col(source_col).isin(names)).select(id_col, source_col)
     placed = running_total(kept, id_col, groups=(source_col,), out="_turn")
     if draws is None:
         draws = kept.count()
@@ -96,9 +97,11 @@ def mix_sources(
     matched = turns.join(placed, [source_col, "_turn"], "left")
     first_miss = matched.where(F.col(id_col).isNull()).agg(F.min("draw").alias("end"))
     mixed = matched.where(F.col(id_col).isNotNull()).withColumn("_end", first_miss.scalar())
-    return mixed.where(F.col("_end").isNull() | (F.col("draw") < F.col("_end"))).select(
-        "draw", *rows.columns
-    )
+    mixed = mixed.where(F.col("_end").isNull() | (F.col("draw") < F.col("_end")))
+    mixed = mixed.select("draw", id_col, source_col)
+    if set(rows.columns) > {id_col, source_col}:
+        mixed = mixed.join(rows, [id_col, source_col])
+    return mixed.select("draw", *rows.columns)
 
 
 def permute_blocks(blocks: DataFrame, window_chunks: int, blocks_per_chunk: int, seed: int) -> DataFrame:

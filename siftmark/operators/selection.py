@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmark.operators.joins import join_checked
+
 LINE_KEY = ("subfolder", "file", "line_no")
 
 
@@ -16,10 +18,11 @@ def is_selected(flag: Column) -> Column:
 def select_lines(source: DataFrame, meta: DataFrame, flag: str = "selection") -> DataFrame:
     """Source lines whose (subfolder, file, line_no) is selected in ``meta``.
 
-    The full key spreads one big file over all tasks.
+    A small selection is broadcast; for a big one the full key spreads even a
+    single huge file over all tasks.
     """
     keys = meta.where(is_selected(F.col(flag))).select(*LINE_KEY)
-    return source.join(keys, list(LINE_KEY), "left_semi")
+    return join_checked(source, keys, LINE_KEY, "left_semi")
 
 
 def output_name(subfolder: Column, file: Column) -> Column:

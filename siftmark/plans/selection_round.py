@@ -50,34 +50,41 @@ def move_weights(spark: SparkSession, job: Round) -> AgentWeights:
 
 
 def write_scores(spark: SparkSession, job: Round, weights: AgentWeights) -> None:
-    """Corpus lines with their score, next to a narrow parquet table of the scores."""
-    name = f"score_{job.iteration}"
+    """The scored corpus lines as parquet: later passes read the score column alone."""
     scored = score_records(read_records(spark, job.corpus), weights, job.iteration)
-    scored.select(
-        *LINE_KEY, F.col(name).alias("score"), with_field(F.col("line"), name, F.col(name)).alias("line")
-    ).write.mode("overwrite").parquet(job.folder("scored"))
+    scored.select(*LINE_KEY, F.col(f"score_{job.iteration}").alias("score"), "line").write.mode(
+        "overwrite"
+    ).parquet(job.folder("scored"))
 
 
 def flag_scores(spark: SparkSession, job: Round) -> DataFrame:
-    """(subfolder, file, line_no, line, score, selection); reads scores column-wise."""
+    """(subfolder, file, line_no, score, line, selection)."""
     scored = spark.read.parquet(job.folder("scored"))
     limit = top_n_threshold(scored, "score", job.top_n)
     return scored.withColumn("selection", flag_from(F.col("score"), limit))
 
 
 def run_round(spark: SparkSession, job: Round) -> AgentWeights:
-    """Weights, scores, flags and selected lines of one iteration, all written."""
+    """Weights, scores, flags and selected lines of one iteration, all written.
+
+    When the lines to select are the scored ones, they are taken from the
+    flagged table itself; only another ``source`` folder needs the join.
+    """
     weights = move_weights(spark, job)
     write_scores(spark, job, weights)
     flagged = flag_scores(spark, job)
+    scored_line = with_field(F.col("line"), f"score_{job.iteration}", F.col("score"))
     write_lines(
-        flagged.withColumn("line", with_field(F.col("line"), "selection", F.col("selection"))),
+        flagged.withColumn("line", with_field(scored_line, "selection", F.col("selection"))),
         "line",
         job.folder("processed"),
         ["subfolder", "file"],
     )
-    source = numbered_lines(spark, job.source or job.corpus)
-    chosen = select_lines(source, flagged).withColumn("part", output_name(F.col("subfolder"), F.col("file")))
+    if job.source is None:
+        chosen = flagged.where(F.col("selection") == 1)
+    else:
+        chosen = select_lines(numbered_lines(spark, job.source), flagged)
+    chosen = chosen.withColumn("part", output_name(F.col("subfolder"), F.col("file")))
     write_lines(chosen, "line", job.folder("selected"), ["part"])
     return weights
 

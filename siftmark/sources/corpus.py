@@ -82,14 +82,14 @@ def missing_keys(influences: DataFrame, wanted: dict[str, list[str]]) -> list[st
 def read_clusters(spark: SparkSession, base: str, first: int, last: int) -> DataFrame:
     """(cluster, rank, content, tie) of the folders ``clustering-<first..last>``.
 
-    ``tie`` keeps file and line order among equal ranks. Folders outside the
-    range are never listed as input rows; absent ones contribute nothing.
+    ``tie`` keeps file and line order among equal ranks. Only folders in the
+    range are listed; absent ones contribute nothing.
     """
-    lines = numbered_lines(spark, base)
-    cluster = F.nullif(F.regexp_extract("subfolder", r"\Aclustering-(\d+)\z", 1), F.lit(""))
+    numbers = ",".join(str(i) for i in range(first, last + 1))
+    lines = numbered_lines(spark, f"{base}/clustering-{{{numbers}}}")
+    cluster = F.regexp_extract("subfolder", r"\Aclustering-(\d+)\z", 1)
     return (
         lines.withColumn("cluster", cluster.cast("int"))
-        .where(F.col("cluster").between(first, last))
         .withColumn("_r", F.from_json("line", "rank double, content string"))
         .select(
             "cluster",

@@ -6,19 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import file_name, folder_name
+from siftmark.operators.joins import join_checked
+from siftmark.session import materialize
 
 JSONL = "*.jsonl"
+SPLIT_ROWS = 1_000_000  # about 200 bytes each
+
+
+def _text(spark: SparkSession, root: str, recursive: bool, pattern: str) -> DataFrame:
+    if not recursive:
+        return spark.read.text(f"{root}/*/{pattern}")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return reader.text(root)
 
 
 def scan_lines(spark: SparkSession, root: str, recursive: bool = True, pattern: str = JSONL) -> DataFrame:
     """(path, line) of every matching file, at any depth or exactly one folder down."""
-    reader = spark.read
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        lines = reader.text(root)
-    else:
-        lines = reader.text(f"{root}/*/{pattern}")
-    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    return _text(spark, root, recursive, pattern).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")
+    )
+
+
+def _pin_splits(spark: SparkSession) -> None:
+    """Keep file splits from changing with the number of live executors."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
 
 
 def numbered_lines(
@@ -26,18 +39,15 @@ def numbered_lines(
 ) -> DataFrame:
     """(path, subfolder, file, line_no, line) with line numbers from zero.
 
-    Big files stay split over many tasks. A line's number is the number of
-    lines in the file's earlier splits plus its place in its own split; both
-    follow from the scan's fixed splits, and what is totalled has one row per
-    split.
+    Big files stay split over many tasks. A first scan counts the lines of
+    each split; a line's number is the count of the file's earlier splits plus
+    its place in its own split. The counts have one row per split and are
+    joined to the lines without shuffling these. Should a later scan be split
+    differently, it fails instead of numbering wrongly: a shifted split
+    always has a line outside its counted range.
     """
-    reader = spark.read
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        text = reader.text(root)
-    else:
-        text = reader.text(f"{root}/*/{pattern}")
-    lines = text.select(
+    _pin_splits(spark)
+    lines = _text(spark, root, recursive, pattern).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
@@ -45,16 +55,18 @@ def numbered_lines(
     )
     splits = lines.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = splits.select(
-        "path",
-        "_block",
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")) - F.col("_first")).alias("_shift"),
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long"))
+    counted = materialize(splits.withColumn("_before", before), "splits")
+    joined = join_checked(lines, counted, ["path", "_block"], "left", SPLIT_ROWS)
+    place = F.col("_at") - F.col("_first")
+    line_no = F.when((place >= 0) & (place < F.col("_n")), F.col("_before") + place).otherwise(
+        F.raise_error(F.concat(F.lit("splits changed while numbering "), "path")).cast("long")
     )
-    return lines.join(shifts, ["path", "_block"]).select(
+    return joined.select(
         "path",
         folder_name(F.col("path")).alias("subfolder"),
         file_name(F.col("path")).alias("file"),
-        (F.col("_at") + F.col("_shift")).alias("line_no"),
+        line_no.alias("line_no"),
         "line",
     )
 

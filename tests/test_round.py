@@ -197,19 +197,37 @@ def test_two_rounds_over_files(spark, tmp_path, small_splits):
         assert {(r.subfolder, r.file[:-6], r.line_no) for r in rows} == set(scored)
         for r in rows:
             assert math.isclose(r.score, scored[r.subfolder, r.file[:-6], r.line_no], rel_tol=1e-12)
-            assert json.loads(r.line)[f"score_{iteration}"] == r.score
+            assert r.line == corpus[r.subfolder, r.file[:-6], r.line_no]
         limit = sorted(scored.values(), reverse=True)[39]
         expected = sorted(corpus[k] for k, s in scored.items() if s >= limit * (1 - 1e-12))
         chosen = spark.read.option("recursiveFileLookup", True).text(job.folder("selected"))
         assert sorted(r.value for r in chosen.collect()) == expected
-        flags = [
-            json.loads(r.value)["selection"]
-            for r in spark.read.option("recursiveFileLookup", True).text(job.folder("processed")).collect()
-        ]
-        assert sum(flags) == len(expected) and len(flags) == len(scored)
+        processed = spark.read.option("recursiveFileLookup", True).text(job.folder("processed"))
+        records = [json.loads(r.value) for r in processed.collect()]
+        assert sum(r["selection"] for r in records) == len(expected) and len(records) == len(scored)
+        assert sorted(r[f"score_{iteration}"] for r in records) == sorted(r.score for r in rows)
         assert any("part=alpha_f0.jsonl" in p for p in glob.glob(f"{job.folder('selected')}/*"))
 
 
+def test_lines_come_from_another_source_by_number(spark, tmp_path):
+    influence_files(f"{tmp_path}/inf", 1)
+    record = '{{"domain": "c4", "attr-fineweb-edu": {}, "attr-cc_en_topic": 1, "epoch": 0}}'
+    write(f"{tmp_path}/corpus/a/f.jsonl", [record.format(e) for e in ("9", "1", "null", "1", "9")])
+    write(f"{tmp_path}/source/a/f.jsonl", [f"text {i}" for i in range(7)])
+    job = Round(f"{tmp_path}/inf", f"{tmp_path}/corpus", f"{tmp_path}/out", f"{tmp_path}/source", top_n=1)
+    run_round(spark, job)
+    chosen = spark.read.option("recursiveFileLookup", True).text(job.folder("selected")).collect()
+    assert sorted(r.value for r in chosen) == ["text 1", "text 3"]
+
+
+def test_changed_splits_fail_instead_of_misnumbering(spark, tmp_path, small_splits):
+    write(f"{tmp_path}/a/x.jsonl", [f"line {i}" for i in range(2000)])
+    lines = numbered_lines(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    with pytest.raises(Exception, match="splits changed"):
+        lines.collect()
+
+
 def test_missing_and_bad_influence_files(spark, tmp_path):
     influence_files(f"{tmp_path}/a", 1, drop="c4")
     wanted = {f: list(AgentWeights().family(f)) for f in ("quality", "domain", "topic")}
