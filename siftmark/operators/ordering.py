@@ -36,8 +36,9 @@ def running_total(
 ) -> DataFrame:
     """Add ``out``: the total ``size`` of rows with a smaller ``id_col`` in the group.
 
-    ``id_col`` is a long, unique within its group. With no ``size`` every row
-    counts one, so ``out`` is the zero-based position. Ids are cut into digits:
+    ``id_col`` is a long, unique within its group; neither it nor the groups
+    may be null. Only what is in ``df`` is sorted along, so pass narrow rows.
+    With no ``size`` every row counts one, so ``out`` is the zero-based position. Ids are cut into digits:
     the lowest ``bits`` bits order rows in a block, the next ``upper`` bits
     order blocks, the rest order stretches of blocks. As ids are unique, the
     windows hold at most 65,536 rows or 16.8 million block totals, however the
@@ -45,7 +46,9 @@ def running_total(
     """
     groups = list(groups)
     size = F.lit(1).cast("long") if size is None else size.cast("long")
-    rows = df.withColumn("_size", size).withColumn("_b0", F.shiftright(id_col, bits))
+    # never null, so that both uses of the block totals plan alike and share one scan
+    block = F.coalesce(F.shiftright(id_col, bits), F.lit(0).cast("long"))
+    rows = df.withColumn("_size", size).withColumn("_b0", block)
 
     blocks = rows.groupBy(*groups, "_b0").agg(F.sum("_size").alias("_t0"))
     blocks = blocks.withColumn("_b1", F.shiftright("_b0", upper))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
 from siftmark.operators.ordering import running_total
+from siftmark.session import materialize
 
 
 def overlap_starts(length: Column, window: int, limit: int = fixed.SEQUENCE_LENGTH) -> Column:
@@ -39,10 +40,9 @@ def pack_tokens(df: DataFrame, id_col: str, tokens: str, chunk_size: int, filler
     chunk gathers at most ``chunk_size`` tokens, so no group is unbounded. The
     last chunk is filled up; with no tokens at all there is one filler chunk.
     """
-    # keyed by id alone, so the long arrays never pass through the ordering
-    starts = running_total(
-        df.select(id_col, F.size(tokens).cast("long").alias("_len")), id_col, F.col("_len"), out="_start"
-    )
+    # lengths are stored once, so tokens are made twice in all, and never sorted
+    lengths = materialize(df.select(id_col, F.size(tokens).cast("long").alias("_len")), "lengths")
+    starts = running_total(lengths, id_col, F.col("_len"), out="_start")
     placed = df.select(id_col, tokens).join(starts, id_col).where(F.col("_len") > 0)
     end = F.col("_start") + F.col("_len")
     cut = placed.withColumn(

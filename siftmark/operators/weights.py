@@ -186,57 +186,52 @@ def s_values(normalized: DataFrame, rule: UpdateRule = UpdateRule()) -> DataFram
     return normalized.withColumn("s", F.try_divide(F.col("weight") * scaled, F.col("n")))
 
 
-def collaborate(
+def with_collaboration(
     s_frame: DataFrame, previous: list[float], rule: UpdateRule = UpdateRule()
 ) -> DataFrame:
-    """(agent, weight): collaboration weights moved by the first values of S.
+    """Add ``agent`` and ``agent_weight`` to the rows that move an agent.
 
-    The values are taken in merge order, so agent i moves with the i-th
-    category of that order, against the mean over all categories.
+    Agent i moves with the i-th value of S in merge order, against the mean
+    over all categories. There is one row per category to order here.
     """
-    leading = [
-        F.max(F.when(F.col("place") == i, F.col("s"))).alias(f"s{i}")
-        for i in range(len(previous))
-    ]
-    placed = s_frame.where(F.col("s").isNotNull()).withColumn(
-        "place", F.row_number().over(Window.orderBy("ord")) - 1
-    )
-    summary = placed.agg(F.avg("s").alias("mean"), *leading)
-    moved = []
-    for i, weight in enumerate(previous):
-        diff = F.col(f"s{i}") - F.col("mean")
-        moved.append(F.lit(weight) + F.signum(diff) * F.pow(F.abs(diff), F.lit(rule.beta)))
-    total = moved[0]
-    for column in moved[1:]:
-        total = total + column
-    shares = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("agent"),
-                F.when(F.col("total") != 0, F.col(f"m{i}") / F.nullif("total", F.lit(0.0)))
-                .otherwise(F.col(f"m{i}"))
-                .alias("weight"),
-            )
-            for i in range(len(moved))
-        ]
-    )
+    everything = Window.partitionBy()
+    place = F.row_number().over(Window.orderBy(F.col("s").isNull(), "ord")) - 1
+    agent = F.when(F.col("s").isNotNull() & (place < len(previous)), place)
+    diff = F.col("s") - F.avg("s").over(everything)
+    before = F.get(F.array(*[F.lit(float(w)) for w in previous]), F.col("agent"))
+    moved = before + F.signum(diff) * F.pow(F.abs(diff), F.lit(rule.beta))
+    total = F.sum("moved").over(everything)
     return (
-        summary.select(*[c.alias(f"m{i}") for i, c in enumerate(moved)], total.alias("total"))
-        .select(F.inline(shares))
+        s_frame.withColumn("agent", agent)
+        .withColumn("moved", moved)
+        .withColumn("total", total)
+        .withColumn(
+            "agent_weight",
+            F.when(F.col("total") != 0, F.try_divide("moved", "total")).otherwise(F.col("moved")),
+        )
+        .drop("moved", "total")
     )
 
 
+def collaborate(
+    s_frame: DataFrame, previous: list[float], rule: UpdateRule = UpdateRule()
+) -> DataFrame:
+    """(agent, weight): the collaboration weights after the move."""
+    moved = with_collaboration(s_frame, previous, rule).where(F.col("agent").isNotNull())
+    return moved.select("agent", F.col("agent_weight").alias("weight"))
+
+
 def update_weights(
     lines: DataFrame, weights: AgentWeights, rule: UpdateRule = UpdateRule()
 ) -> AgentWeights:
-    """One whole update. At most 28 values come back to the driver."""
+    """One whole update in one job; one row per category comes back to the driver."""
     categories = s_values(normalize_families(fold_losses(lines, weights, rule)), rule)
-    rows = sorted(categories.collect(), key=lambda r: r.ord)
-    updated = {f: {r.key: r.weight for r in rows if r.family == f} for f in FAMILIES}
-    kept = [r for r in rows if r.s is not None]
-    spark = lines.sparkSession
-    if len(kept) < len(weights.collaboration):
-        return AgentWeights(**updated, collaboration=list(weights.collaboration))
-    again = spark.createDataFrame(pa.table({"ord": [r.ord for r in kept], "s": [r.s for r in kept]}))
-    moved = sorted(collaborate(again, weights.collaboration, rule).collect())
-    return AgentWeights(**updated, collaboration=[r.weight for r in moved])
+    rows = with_collaboration(categories, weights.collaboration, rule).collect()
+    rows.sort(key=lambda r: r.ord)
+    collaboration = [r.agent_weight for r in rows if r.agent is not None]
+    if len(collaboration) < len(weights.collaboration):
+        raise ValueError("too few categories have losses to move the collaboration weights")
+    return AgentWeights(
+        **{f: {r.key: r.weight for r in rows if r.family == f} for f in FAMILIES},
+        collaboration=collaboration,
+    )
