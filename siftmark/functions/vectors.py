@@ -75,6 +75,12 @@ def cross_entropy(logits: Column, target: Column, ignore: int = fixed.PAD_TARGET
     return F.when(target != ignore, -log_softmax_at(logits, target))
 
 
+def last_state(states: Column, mask: Column) -> Column:
+    """The hidden state at the last token that the attention mask keeps."""
+    kept = F.aggregate(mask, F.lit(0), lambda total, x: total + x.cast("int"))
+    return F.get(states, kept - 1)
+
+
 def argmax(values: Column) -> Column:
     """Zero-based place of the first largest element."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

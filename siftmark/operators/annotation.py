@@ -57,7 +57,11 @@ def build_requests(
     model: str = fixed.ANNOTATOR_MODEL,
     temperature: float = fixed.ANNOTATOR_TEMPERATURE,
 ) -> DataFrame:
-    """Add ``request``: one chat-completion batch line per sampled document."""
+    """Add ``request``: one chat-completion batch line per sampled document.
+
+    The id carries ``rank_text`` (the rank as its file writes it) if there is one.
+    """
+    rank = "rank_text" if "rank_text" in sampled.columns else "rank"
 
     def message(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -69,7 +73,7 @@ def build_requests(
         F.array(message("system", F.lit(prompt)), message("user", F.col("content"))).alias("messages"),
     )
     line = F.struct(
-        custom_id(F.col("cluster"), F.col("rank")).alias("custom_id"),
+        custom_id(F.col("cluster"), F.col(rank)).alias("custom_id"),
         F.lit("POST").alias("method"),
         F.lit(fixed.ANNOTATOR_URL).alias("url"),
         body.alias("body"),
@@ -77,11 +81,12 @@ def build_requests(
     return sampled.withColumn("request", F.to_json(line))
 
 
-def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame:
+def parse_responses(responses: DataFrame, column: str = "response", keep_id: bool = False) -> DataFrame:
     """(cluster, rank, topic, selected_topic, explanation), all text.
 
     An id of another shape leaves cluster and rank null; no choices, or an
-    answer that is not JSON, leave the topic fields null.
+    answer that is not JSON, leave the topic fields null. ``keep_id`` adds the
+    whole custom_id, which also tells fractional ranks apart.
     """
     parsed = responses.select(F.from_json(column, RESPONSE_SCHEMA).alias("r"))
     content = F.get("r.response.body.choices", F.lit(0))["message"]["content"]
@@ -91,11 +96,14 @@ def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame
         return F.nullif(F.regexp_extract("id", fixed.CUSTOM_ID_PATTERN, n), F.lit(""))
 
     answers = fields.select(
+        "id",
         group(1).alias("cluster"),
         group(2).alias("rank"),
         F.from_json("content", ANSWER_SCHEMA).alias("a"),
     )
+    kept = [F.col("id").alias("custom_id")] if keep_id else []
     return answers.select(
+        *kept,
         "cluster",
         "rank",
         F.col("a.topic").alias("topic"),

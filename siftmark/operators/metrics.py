@@ -143,6 +143,12 @@ def top_k_accuracy(df: DataFrame, most: int = 5, logits: str = "logits") -> Data
     return counts.select(F.inline(F.array(*rows)))
 
 
+def mean_cross_entropy(losses: DataFrame, loss: str = "loss") -> DataFrame:
+    """One row: the sum of position losses over the positions that count, at least one."""
+    counted = F.greatest(F.count(loss), F.lit(1).cast("long"))
+    return losses.agg((F.coalesce(F.sum(loss), F.lit(0.0)) / counted).alias("loss"))
+
+
 def token_weighted_loss(batches: DataFrame) -> DataFrame:
     """(num_tokens, loss) from per-batch (loss, num_tokens)."""
     return batches.agg(

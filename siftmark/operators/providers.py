@@ -46,6 +46,24 @@ def apply_provider(df: DataFrame, tokens: str, provider: Provider, out: str) ->
     return df.mapInPandas(run, schema)
 
 
+def apply_and_store(
+    df: DataFrame, id_col: str, tokens: str, provider: Provider, out: str, path: str
+) -> DataFrame:
+    """Answers for all rows, kept as parquet under ``path``.
+
+    Rows already answered there by an earlier, interrupted run are left out,
+    so a rerun only pays for the rest.
+    """
+    spark = df.sparkSession
+    schema = T.StructType([df.schema[id_col], T.StructField(out, T.ArrayType(T.DoubleType()))])
+    # an empty append makes the folder exist before it is read
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    done = spark.read.schema(schema).parquet(path).select(id_col)
+    rest = df.select(id_col, tokens).join(done, id_col, "left_anti")
+    apply_provider(rest, tokens, provider, out).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def token_frequencies(tokens: pd.Series, vocabulary: int) -> np.ndarray:
     """One row of relative token frequencies per sequence; zeros for an empty one."""
     block = np.zeros((len(tokens), vocabulary))

@@ -268,6 +268,9 @@ SELECT vec_id, round(p, 6) AS probability, p > 0.1 AS above FROM soft WHERE clas
     sql["cross_entropy"] = f"""WITH {PREDICTIONS}, spread AS (
   SELECT vec_id, ln(sum(exp(logit))) AS z FROM scores GROUP BY vec_id)
 SELECT s.vec_id, CASE WHEN label <> 9 THEN round(z - logit, 6) END AS loss FROM scores s JOIN spread USING (vec_id) WHERE class = label"""
+    sql["cross_entropy_mean"] = f"""WITH {PREDICTIONS}, spread AS (
+  SELECT vec_id, ln(sum(exp(logit))) AS z FROM scores GROUP BY vec_id)
+SELECT round(avg(z - logit), 6) AS loss FROM scores JOIN spread USING (vec_id) WHERE class = label AND label <> 9"""
     sql["sample_next"] = f"""WITH {PREDICTIONS}, top AS (
   SELECT vec_id, class, logit / 0.8::DOUBLE AS l FROM (
     SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, class) AS place FROM scores) WHERE place <= 3),

@@ -311,6 +311,14 @@ def cross_entropy(spark, folder):
     return tables.predictions(spark, folder).select("vec_id", r6(loss).alias("loss"))
 
 
+@query
+def cross_entropy_mean(spark, folder):
+    losses = tables.predictions(spark, folder).select(
+        vectors.cross_entropy(F.col("logits"), F.col("label"), ignore=9).alias("loss")
+    )
+    return metrics.mean_cross_entropy(losses).select(r6("loss").alias("loss"))
+
+
 @query
 def sample_next(spark, folder):
     kept = vectors.softmax_kept(vectors.crop_to_top(F.col("logits"), 3), 0.8)

@@ -80,7 +80,7 @@ def missing_keys(influences: DataFrame, wanted: dict[str, list[str]]) -> list[st
 
 
 def read_clusters(spark: SparkSession, base: str, first: int, last: int) -> DataFrame:
-    """(cluster, rank, content, tie) of the folders ``clustering-<first..last>``.
+    """(cluster, rank, rank_text, content, tie) of the folders ``clustering-<first..last>``.
 
     ``tie`` keeps file and line order among equal ranks. Only folders in the
     range are listed; absent ones contribute nothing.
@@ -90,10 +90,11 @@ def read_clusters(spark: SparkSession, base: str, first: int, last: int) -> Data
     cluster = F.regexp_extract("subfolder", r"\Aclustering-(\d+)\z", 1)
     return (
         lines.withColumn("cluster", cluster.cast("int"))
-        .withColumn("_r", F.from_json("line", "rank double, content string"))
+        .withColumn("_r", F.from_json("line", "rank string, content string"))
         .select(
             "cluster",
-            F.col("_r.rank").alias("rank"),
+            parse_number(F.col("_r.rank")).alias("rank"),
+            F.col("_r.rank").alias("rank_text"),
             F.col("_r.content").alias("content"),
             F.concat_ws("#", "file", F.lpad(F.col("line_no").cast("string"), 12, "0")).alias("tie"),
         )

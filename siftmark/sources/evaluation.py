@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import file_name
+from siftmark.sources.lines import numbered_lines
 
 MMLU_LETTERS = ("a", "b", "c", "d")
 
@@ -55,6 +56,23 @@ def read_mmlu(spark: SparkSession, folder: str, split: str = "test", first: int
     )
 
 
-def read_items(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A task's split stored as parquet or JSON lines."""
-    return spark.read.format(fmt).load(path)
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """A task's split stored as parquet, with ``item_no`` in file, then row order."""
+    items = spark.read.parquet(path)
+    rows = items.select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row")
+    )
+    files = rows.groupBy("_path").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = files.select("_path", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")).alias("_s"))
+    return rows.join(starts, "_path").select(
+        *items.columns, (F.col("_s") + F.col("_row")).alias("item_no")
+    )
+
+
+def read_json_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A task's split stored as one JSON-lines file, with ``item_no``."""
+    lines = numbered_lines(spark, path)
+    return lines.select(F.from_json("line", schema).alias("r"), F.col("line_no").alias("item_no")).select(
+        "r.*", "item_no"
+    )

@@ -245,4 +245,5 @@ def test_cluster_folders(spark, tmp_path):
     write(f"{tmp_path}/unrelated/a.jsonl", ['{"rank": 1, "content": "no"}'])
     rows = read_clusters(spark, str(tmp_path), 0, 9).orderBy("tie").collect()
     assert [(r.cluster, r.rank, r.content) for r in rows] == [(3, 2.0, "x"), (3, None, "y")]
+    assert [r.rank_text for r in rows] == ["2", None]
     assert read_clusters(spark, str(tmp_path), 0, 99).count() == 3
