@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
@@ -120,48 +120,43 @@ def fold_losses(
     category is one row per block.
     """
     keep = F.lit(1 - rule.eta)
-    blocks = (
-        lines.where(F.col("influence").isNotNull())
-        .groupBy("family", "key", F.shiftright("line_no", block_bits).alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "influence"))).alias("lines"))
-        .select(
-            "family",
-            "key",
-            "block",
-            F.flatten(F.transform("lines", lambda line: line["influence"])).alias("losses"),
-        )
-        .where(F.size("losses") > 0)
-        .select(
-            "family",
-            "key",
-            "block",
-            F.size("losses").cast("long").alias("n"),
-            F.element_at("losses", -1).alias("last_loss"),
-            F.aggregate(
-                "losses",
-                F.lit(0.0),
-                lambda w, loss: keep * w + F.lit(rule.eta) * F.exp(loss * rule.loss_scale),
-            ).alias("gained"),
-        )
+    step = F.aggregate(
+        "influence",
+        F.lit(0.0),
+        lambda w, loss: keep * w + F.lit(rule.eta) * F.exp(loss * rule.loss_scale),
     )
-    later = (
-        Window.partitionBy("family", "key")
-        .orderBy(F.desc("block"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+    start = weights.to_frame(lines.sparkSession)
+    numbers = F.broadcast(start.select("family", "key", "ord"))  # one row per category
+    # each line is folded where it is read; its list and names are not shuffled
+    known = lines.where(F.size("influence") > 0).join(numbers, ["family", "key"])
+    folded_lines = known.select(
+        "ord",
+        F.shiftright("line_no", block_bits).alias("block"),
+        "line_no",
+        F.size("influence").cast("long").alias("n"),
+        step.alias("gained"),
+        F.element_at("influence", -1).alias("last_loss"),
     )
-    after = F.coalesce(F.sum("n").over(later), F.lit(0).cast("long"))
-    folded = (
-        blocks.withColumn("after", after)
-        .groupBy("family", "key")
-        .agg(
+
+    def later(order: str, *within: str) -> Column:
+        frame = (
+            Window.partitionBy("ord", *within)
+            .orderBy(F.desc(order))
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        return F.coalesce(F.sum("n").over(frame), F.lit(0).cast("long"))
+
+    def total(rows: DataFrame, order: str, *within: str) -> DataFrame:
+        aged = rows.withColumn("after", later(order, *within))
+        return aged.groupBy("ord", *within).agg(
             F.sum("n").alias("n"),
             F.sum(F.pow(keep, "after") * F.col("gained")).alias("gained"),
-            F.max_by("last_loss", "block").alias("last_loss"),
+            F.max_by("last_loss", order).alias("last_loss"),
         )
-    )
+
+    folded = total(total(folded_lines, "line_no", "block"), "block")
     n = F.coalesce("n", F.lit(0).cast("long"))
-    start = weights.to_frame(lines.sparkSession)  # one row per category
-    return start.join(folded, ["family", "key"], "left").select(
+    return start.join(folded, "ord", "left").select(
         "family",
         "key",
         "ord",
