@@ -77,7 +77,7 @@ def sorted_positions(
     partitions, and numbered inside each partition. The numbered table is
     written to the shared folder before its stretches are totalled: both
     readers then see the same partition bounds, also after an executor loss.
-    ``order`` should end in a unique column. ``count`` names an optional
+    ``order`` should end in a unique column; groups may not be null. ``count`` names an optional
     column for the group's row count.
     """
     groups = list(groups)
