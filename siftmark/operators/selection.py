@@ -15,14 +15,18 @@ def is_selected(flag: Column) -> Column:
     return F.coalesce(F.lower(flag.cast("string")).isin("1", "1.0", "true"), F.lit(False))
 
 
-def select_lines(source: DataFrame, meta: DataFrame, flag: str = "selection") -> DataFrame:
-    """Source lines whose (subfolder, file, line_no) is selected in ``meta``.
+def lines_of(source: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Source lines with the (subfolder, file, line_no) of a chosen row.
 
     A small selection is broadcast; for a big one the full key spreads even a
     single huge file over all tasks.
     """
-    keys = meta.where(is_selected(F.col(flag))).select(*LINE_KEY)
-    return join_checked(source, keys, LINE_KEY, "left_semi")
+    return join_checked(source, chosen.select(*LINE_KEY), LINE_KEY, "left_semi")
+
+
+def select_lines(source: DataFrame, meta: DataFrame, flag: str = "selection") -> DataFrame:
+    """Source lines that ``meta`` flags as selected."""
+    return lines_of(source, meta.where(is_selected(F.col(flag))))
 
 
 def output_name(subfolder: Column, file: Column) -> Column:

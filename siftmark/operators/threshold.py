@@ -66,6 +66,13 @@ def flag_from(score: Column, threshold: float | None) -> Column:
     return F.when(reaches & ~F.isnan(score.cast("double")), 1).otherwise(0)
 
 
+def reaching(df: DataFrame, score: str, threshold: float | None) -> DataFrame:
+    """Rows whose score reaches the threshold, as a condition a scan can skip by."""
+    if threshold is None:
+        return df.where(F.lit(False))
+    return df.where((F.col(score) >= F.lit(threshold)) & ~F.isnan(score))
+
+
 def flag_top_n(df: DataFrame, score: str, n: int, out: str = "selection") -> DataFrame:
     """Add ``out`` = 1 where the score reaches the top-N threshold, else 0.
 
@@ -80,4 +87,4 @@ def select_top_share(df: DataFrame, score: str, percent: float) -> DataFrame:
     n = int(total * percent / 100.0)
     if n == 0:
         return df.where(F.lit(False))
-    return df.where(flag_from(F.col(score), top_n_threshold(df, score, n)) == 1)
+    return reaching(df, score, top_n_threshold(df, score, n))

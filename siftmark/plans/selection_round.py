@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
 from siftmark.operators.scoring import score_records
-from siftmark.operators.selection import LINE_KEY, output_name, select_lines
-from siftmark.operators.threshold import flag_from, top_n_threshold
+from siftmark.operators.selection import LINE_KEY, lines_of, output_name
+from siftmark.operators.threshold import flag_from, reaching, top_n_threshold
 from siftmark.operators.weights import AgentWeights, UpdateRule, update_weights
 from siftmark.sources.corpus import missing_keys, parse_records, read_influences, read_records
 from siftmark.sources.lines import numbered_lines, with_field, write_lines
@@ -57,22 +57,17 @@ def write_scores(spark: SparkSession, job: Round, weights: AgentWeights) -> None
     ).parquet(job.folder("scored"))
 
 
-def flag_scores(spark: SparkSession, job: Round) -> DataFrame:
-    """(subfolder, file, line_no, score, line, selection)."""
-    scored = spark.read.parquet(job.folder("scored"))
-    limit = top_n_threshold(scored, "score", job.top_n)
-    return scored.withColumn("selection", flag_from(F.col("score"), limit))
-
-
 def run_round(spark: SparkSession, job: Round) -> AgentWeights:
     """Weights, scores, flags and selected lines of one iteration, all written.
 
-    When the lines to select are the scored ones, they are taken from the
-    flagged table itself; only another ``source`` folder needs the join.
+    When the lines to select are the scored ones, they are read back by score;
+    only another ``source`` folder needs the join.
     """
     weights = move_weights(spark, job)
     write_scores(spark, job, weights)
-    flagged = flag_scores(spark, job)
+    scored = spark.read.parquet(job.folder("scored"))
+    limit = top_n_threshold(scored, "score", job.top_n)
+    flagged = scored.withColumn("selection", flag_from(F.col("score"), limit))
     scored_line = with_field(F.col("line"), f"score_{job.iteration}", F.col("score"))
     write_lines(
         flagged.withColumn("line", with_field(scored_line, "selection", F.col("selection"))),
@@ -80,10 +75,9 @@ def run_round(spark: SparkSession, job: Round) -> AgentWeights:
         job.folder("processed"),
         ["subfolder", "file"],
     )
-    if job.source is None:
-        chosen = flagged.where(F.col("selection") == 1)
-    else:
-        chosen = select_lines(numbered_lines(spark, job.source), flagged)
+    chosen = reaching(scored, "score", limit)
+    if job.source is not None:
+        chosen = lines_of(numbered_lines(spark, job.source), chosen)
     chosen = chosen.withColumn("part", output_name(F.col("subfolder"), F.col("file")))
     write_lines(chosen, "line", job.folder("selected"), ["part"])
     return weights

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from siftmark.operators.threshold import flag_top_n, select_top_share, top_n_threshold
+from siftmark.operators.threshold import flag_top_n, reaching, select_top_share, top_n_threshold
 
 
 def by_heap(scores, n):
@@ -56,3 +56,12 @@ def test_top_share(spark):
     frame = spark.range(200).selectExpr("id", "cast(id as double) s")
     assert sorted(r.id for r in select_top_share(frame, "s", 1).collect()) == [198, 199]
     assert select_top_share(frame, "s", 0.1).count() == 0
+
+
+def test_selection_is_pushed_into_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id / 100D AS score").write.parquet(f"{tmp_path}/s")
+    stored = spark.read.parquet(f"{tmp_path}/s")
+    best = reaching(stored, "score", top_n_threshold(stored, "score", 5))
+    assert sorted(r.id for r in best.collect()) == list(range(95, 100))
+    assert "GreaterThanOrEqual(score,0.95)" in best._jdf.queryExecution().executedPlan().toString()
+    assert reaching(stored, "score", None).count() == 0
