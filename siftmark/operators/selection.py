@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.operators.joins import join_checked
+from siftmark.session import materialize
 
 LINE_KEY = ("subfolder", "file", "line_no")
+STRETCH = 32_768
+PACKED_ROWS = 1_000_000
+PACKED_KEYS = 20_000_000
 
 
 def is_selected(flag: Column) -> Column:
@@ -18,10 +21,26 @@ def is_selected(flag: Column) -> Column:
 def lines_of(source: DataFrame, chosen: DataFrame) -> DataFrame:
     """Source lines with the (subfolder, file, line_no) of a chosen row.
 
-    A small selection is broadcast; for a big one the full key spreads even a
-    single huge file over all tasks.
+    The source is far bigger than the keys, so it should not be shuffled for
+    them: line numbers are packed per stretch of 32,768 lines, stored once and,
+    up to ``PACKED_KEYS`` keys in ``PACKED_ROWS`` stretches (about 200 MB),
+    broadcast. Beyond that both sides are shuffled on the full key, which
+    spreads even a single huge file over all tasks.
     """
-    return join_checked(source, chosen.select(*LINE_KEY), LINE_KEY, "left_semi")
+    keys = chosen.select("subfolder", "file", "line_no")
+    place = (F.col("line_no") % STRETCH).cast("int")
+    stretch = F.floor(F.col("line_no") / STRETCH)
+    packed = materialize(
+        keys.groupBy("subfolder", "file", stretch.alias("_stretch")).agg(F.collect_set(place).alias("_places")),
+        "selected",
+    )
+    size = packed.agg(F.count("*").alias("rows"), F.sum(F.size("_places")).alias("keys")).head()
+    if size.rows > PACKED_ROWS or (size["keys"] or 0) > PACKED_KEYS:
+        return source.join(keys, list(LINE_KEY), "left_semi")
+    held = source.withColumn("_stretch", stretch).join(
+        F.broadcast(packed), ["subfolder", "file", "_stretch"]
+    )
+    return held.where(F.array_contains("_places", place)).select(*source.columns)
 
 
 def select_lines(source: DataFrame, meta: DataFrame, flag: str = "selection") -> DataFrame:

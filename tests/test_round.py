@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftmark.operators.selection import select_lines
+from siftmark.operators.selection import lines_of, select_lines
 from siftmark.operators.weights import AgentWeights
 from siftmark.plans.selection_round import Round, flag_lines, run_round
 from siftmark.sources.corpus import missing_keys, parse_records, read_clusters, read_influences
@@ -73,6 +73,20 @@ def test_selected_lines_by_key(spark, tmp_path):
     assert sorted(r.line for r in chosen) == ["l0", "l2", "m0", "m1"]
 
 
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_packed_and_shuffled_selection_agree(spark, monkeypatch, most):
+    monkeypatch.setattr("siftmark.operators.selection.PACKED_KEYS", most)
+    source = spark.range(100_000).selectExpr(
+        "concat('s', id % 2) subfolder", "concat('f', id % 3) file", "id line_no", "concat('x', id) line"
+    )
+    chosen = source.where("line_no % 997 = 3 OR line_no > 99990").drop("line").union(source.limit(1).drop("line"))
+    got = lines_of(source, chosen)
+    assert ("LeftSemi" in got._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+    expected = {i for i in range(100_000) if i % 997 == 3 or i > 99_990 or i == 0}
+    rows = got.collect()
+    assert {r.line_no for r in rows} == expected and len(rows) == len(expected)
+
+
 def test_field_is_appended_and_the_last_one_counts(spark):
     rows = [('{"a": 1}',), ("{}",), ('{"s": 1, "b": {"c": 2}} ',)]
     got = spark.createDataFrame(rows, "line string").select(with_field(F.col("line"), "s", F.lit(0.5)))
