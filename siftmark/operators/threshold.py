@@ -10,8 +10,11 @@ LARGEST = 1.7976931348623157e308
 
 
 # A cell number that never falls as ``score`` rises: 32 cells per power of two,
-# so the whole double range has under 140,000 of them.
-LOG_CELL = f"sign(score) * (floor(log2(least(abs(score), {LARGEST!r}D)) * 32) + 40000)"
+# so the whole double range has under 140,000 of them. Infinities have their own.
+LOG_CELL = (
+    f"CASE WHEN abs(score) > {LARGEST!r}D THEN sign(score) * 200000 "
+    "ELSE sign(score) * (floor(log2(abs(score)) * 32) + 40000) END"
+)
 
 
 def _linear_cell(low: float, high: float) -> str:

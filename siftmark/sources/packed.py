@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
 
-LAYOUT = struct.Struct("<7sQBQ")  # magic, version, number code, chunk size
+LAYOUT = "<7sQBQ"  # magic, version, number code, chunk size
 
 
 def dtype_for(vocab_size: int) -> str:
@@ -28,12 +28,12 @@ def dtype_code(name: str) -> int:
 
 
 def encode_chunk(tokens, dtype: str) -> bytes:
-    header = LAYOUT.pack(fixed.PACKED_MAGIC, fixed.PACKED_VERSION, dtype_code(dtype), len(tokens))
+    header = struct.pack(LAYOUT, fixed.PACKED_MAGIC, fixed.PACKED_VERSION, dtype_code(dtype), len(tokens))
     return header + np.asarray(tokens, dtype=np.dtype(dtype).newbyteorder("<")).tobytes()
 
 
 def decode_chunk(content: bytes) -> np.ndarray:
-    magic, version, code, size = LAYOUT.unpack_from(content)
+    magic, version, code, size = struct.unpack_from(LAYOUT, content)
     if magic != fixed.PACKED_MAGIC or version != fixed.PACKED_VERSION:
         raise ValueError("not a packed token file of version 1")
     dtype = np.dtype(fixed.PACKED_DTYPES[code]).newbyteorder("<")

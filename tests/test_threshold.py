@@ -26,12 +26,13 @@ def spread(kind, size=300):
         "negative": [-draw.random() for _ in range(size)],
         "close": [1.0 + i * 2.0**-52 for i in range(size)],
         "scales": [10.0 ** draw.randint(-300, 300) for _ in range(size)],
+        "infinite": [draw.choice([1.0, 2.0, float("inf"), float("-inf")]) for _ in range(size)],
         "tiny": [5e-324 * draw.randint(0, 9) for _ in range(size)],
     }[kind]
 
 
 @pytest.mark.parametrize(
-    "kind", ["uniform", "ties", "one_value", "signs", "negative", "close", "scales", "tiny"]
+    "kind", ["uniform", "ties", "one_value", "signs", "negative", "close", "scales", "tiny", "infinite"]
 )
 def test_threshold_equals_the_heap(spark, kind):
     scores = spread(kind)
