@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as contract
 from compare import compare, connect
 
-SQL = contract.oracle_sql()
-QUERIES = contract.queries()
+SQL = {k: v for k, v in contract.oracle_sql().items() if k not in contract.LLM_SQL}
+QUERIES = {k: v for k, v in contract.queries().items() if k not in contract.LLM_QUERIES}
 MODEL_QUERIES = {"random_projection", "unigram_influence", "gradient_matching", "mllib_topic_classifier"}
 
 
