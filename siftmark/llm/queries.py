@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import common, exact_dedup, mixing, packing, simhash
+from siftmark.llm import common, exact_dedup, mixing, packing, quality_rules, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
@@ -53,6 +57,39 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_pieces(documents(spark, folder), tokenizer_json(), CAPACITY)
 
 
+@query
+def op4_secret_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.secret_spans(documents(spark, folder))
+    base = [r.kind for r in secret_scan.BASE]
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    plain = joined(F.filter("spans", lambda x: x["kind"].isin(base)))
+    return found.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(plain.cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op5_certified_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_rules.judged(documents(spark, folder), labels(spark, folder))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query
+def op6_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, folder), labels(spark, folder))
+
+
 @query
 def op9_source_schedule(spark: SparkSession, folder: str) -> DataFrame:
     sized = documents(spark, folder).withColumn("size", common.word_count(common.plain_text()))
