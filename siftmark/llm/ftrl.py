@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 class Ftrl:
     """Per-coordinate rates; weights whose sums stay within ``l1`` are exactly 0."""
 
-    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z = np.zeros(size)
         self.n = np.zeros(size)

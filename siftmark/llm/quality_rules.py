@@ -146,12 +146,15 @@ def certified_cutoffs(
     level = delta / max(1, strata * len(RULES))
     each = risk / len(RULES)
 
-    def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = {stratum: key[0]}
         for name, (_, cutoffs) in RULES.items():
             own = frame[frame["rule"] == name]
             counts = {
-                g: [int(own[(own["good"] == g) & (own["above"] > i)]["count"].sum()) for i in range(len(cutoffs))]
+                g: [  # who is above the i-th is above all stricter ones
+                    int(own[(own["good"] == g) & (own["above"] >= len(cutoffs) - i)]["count"].sum())
+                    for i in range(len(cutoffs))
+                ]
                 for g in (True, False)
             }
             n_good = int(own[own["good"]]["count"].sum())

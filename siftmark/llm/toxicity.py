@@ -19,7 +19,9 @@ from siftmark.session import materialize
 #: Features are hashed to so many bits; feature 0 is the constant.
 BITS = 20
 #: Labelled rows to learn from at most, and how often they are gone through.
-SAMPLE, EPOCHS = 12_000, 3
+SAMPLE, EPOCHS = 16_000, 4
+#: A toxic row counts as much as so many others; there are few of them.
+TOXIC_WEIGHT = 2.0
 REMEMBERED = 400_000
 WORDS = re.compile(r"\w+")
 #: Odd factors that tell the places of a pair apart.
@@ -66,12 +68,12 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text: str = "text", label: str
             columns = [batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(made, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "features"])
 
-    def learn(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         model = Ftrl(1 << bits)
         order = sorted(range(len(frame)), key=lambda i: (crc32(frame["id"][i].encode()), frame["id"][i]))
         for _ in range(EPOCHS):
             for i in order:
-                model.learn(frame["features"][i], float(frame["label"][i]))
+                model.learn(frame["features"][i], float(frame["label"][i]), TOXIC_WEIGHT if frame["label"][i] else 1.0)
         at, weights = sparse(model.weights())
         return pd.DataFrame({"at": [at], "weights": [weights]})
 
