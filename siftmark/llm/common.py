@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 #: ASCII white space: what separates words, and what normalised text leaves out.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: A batch of output is handed on at about so many bytes.
-FLUSH_BYTES = 16_000_000
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -17,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from siftmark.llm.common import FLUSH_BYTES, bucket_count, text_bytes
+from siftmark.llm.common import bucket_count, text_bytes
+from siftmark.llm.word_ids import kept_in
 from siftmark.session import materialize
 
-#: The words whose ids a task remembers; when there are more, it starts anew.
-REMEMBERED = 400_000
+#: Documents are tokenized together up to about so many bytes.
+SLAB_BYTES = 2_000_000
 #: Pieces of one length are ranked in buckets of about so many pieces.
 RANKED = 1024
 
@@ -107,49 +107,41 @@ def token_pieces(
     """(id, piece, start, length, ids): every document's token ids and ``end_id``,
     cut into pieces of ``capacity``; ``ids`` are little-endian 32-bit numbers.
 
-    ``tokenizer_json`` is the content of a tokenizer file whose words never reach
-    across ASCII white space; so the ids of a text are those of its words, and a
-    task asks the tokenizer once for a word it meets again. Null text is empty
+    ``tokenizer_json`` is the content of a tokenizer file as ``WordIds`` needs it:
+    its words never reach across ASCII white space, so the ids of a text are
+    those of its words. Null text is empty
     and gives the one token ``end_id``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # the size of a vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast({"json": tokenizer_json})  # the size of a vocabulary
     step = 4 * capacity
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_str(shared.value)
-        known: dict[bytes, bytes] = {}
-        kind = None
+    def coded(rows: list, words: list[list[bytes]], kind: pa.DataType) -> pa.RecordBatch:
+        ids = kept_in(shared.value)
+        ids.learn(set().union(*words))
         out: list[list] = [[], [], [], [], []]
-        waiting = 0
-
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array(out[0], kind), *map(pa.array, out[1:4], (pa.int32(), pa.int64(), pa.int64())), pa.array(out[4], pa.binary())]
-            for column in out:
-                column.clear()
-            return pa.RecordBatch.from_arrays(columns, names=names)
+        for row, own in zip(rows, words):
+            content = b"".join([ids.known[w] for w in own]) + end
+            for piece, at in enumerate(range(0, len(content), step)):
+                part = content[at : at + step]
+                for column, value in zip(out, (row, piece, at // 4, len(part) // 4, part)):
+                    column.append(value)
+        kinds = (kind, pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.column(0).type
+            rows, words, size = [], [], 0
             for row, content in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                words = content.split()
-                if len(known) > REMEMBERED:
-                    known.clear()
-                fresh = [w for w in set(words) if w not in known]
-                coded = tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-                for word, code in zip(fresh, coded):
-                    known[word] = np.array(code.ids, "<u4").tobytes()
-                ids = b"".join([known[w] for w in words]) + end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    for column, value in zip(out, (row, piece, at // 4, len(part) // 4, part)):
-                        column.append(value)
-                waiting += len(ids)
-                if waiting > FLUSH_BYTES:
-                    yield flush()
-                    waiting = 0
-        if out[0]:
-            yield flush()
+                rows.append(row)
+                words.append(kept_in(shared.value).words(content))
+                size += len(content)
+                if size > SLAB_BYTES:
+                    yield coded(rows, words, kind)
+                    rows, words, size = [], [], 0
+            if rows:
+                yield coded(rows, words, kind)
 
     names = [id_col, "piece", "start", "length", "ids"]
     named = docs.select(F.col(id_col), F.col(text))
