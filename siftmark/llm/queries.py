@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import common, exact_dedup, mixing, packing, quality_rules, secret_scan, simhash, toxicity
+from siftmark.llm import co_training, common, exact_dedup, mixing, packing, quality_rules, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +90,11 @@ def op6_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), labels(spark, folder))
 
 
+@query
+def op7_co_training(spark: SparkSession, folder: str) -> DataFrame:
+    return co_training.quality_scores(documents(spark, folder), labels(spark, folder))
+
+
 @query
 def op9_source_schedule(spark: SparkSession, folder: str) -> DataFrame:
     sized = documents(spark, folder).withColumn("size", common.word_count(common.plain_text()))
