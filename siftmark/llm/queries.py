@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import co_training, common, exact_dedup, mixing, packing, quality_rules, secret_scan, simhash, toxicity
+from siftmark.llm import (
+    co_training,
+    common,
+    exact_dedup,
+    mixing,
+    packing,
+    quality_rules,
+    secret_scan,
+    simhash,
+    substring_tree,
+    suffix_parse,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +47,31 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+@query
+def op1_suffix_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_tree.without_repeats(documents(spark, folder)).drop("kept")
+
+
+SQL["op1_suffix_tree_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS x
+  FROM words, unnest(range(1, len(w) - 33)) AS t(i)),
+again AS (
+  SELECT doc_id, i FROM windows WHERE x IN (SELECT x FROM windows GROUP BY x HAVING count(*) > 1)),
+gone AS (
+  SELECT doc_id, list_distinct(list(i + k)) AS places
+  FROM again, unnest(range(0, 35)) AS t(k) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+         CASE WHEN places IS NULL THEN w ELSE (
+           SELECT coalesce(list(y ORDER BY p), []) FROM (SELECT unnest(w) AS y, unnest(range(1, len(w) + 1)) AS p)
+           WHERE NOT list_contains(places, p)) END AS k
+  FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
+
+
 @query
 def op2_chunk_recipe_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
@@ -95,6 +132,11 @@ def op7_co_training(spark: SparkSession, folder: str) -> DataFrame:
     return co_training.quality_scores(documents(spark, folder), labels(spark, folder))
 
 
+@query
+def op8_prefix_free_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_parse.without_repeats(documents(spark, folder)).drop("kept")
+
+
 @query
 def op9_source_schedule(spark: SparkSession, folder: str) -> DataFrame:
     sized = documents(spark, folder).withColumn("size", common.word_count(common.plain_text()))
