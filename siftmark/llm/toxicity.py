@@ -40,8 +40,9 @@ class Hasher:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        for word in set(words) - known.keys():
-            known[word] = crc32(word.encode()) + 1
+        for word in words:
+            if word not in known:
+                known[word] = crc32(word.encode()) + 1
         codes = np.array([known[w] for w in words], np.uint64)
         found = [codes * PAIR[0], codes[:-1] * PAIR[0] + codes[1:] * PAIR[1], codes[:-2] * SKIP[0] + codes[2:] * SKIP[1]]
         hashes = np.concatenate(found)
