@@ -4,36 +4,37 @@ from __future__ import annotations
 
 import os
 from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: So many words are remembered; beyond, the later half is forgotten.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Endings that a tokenizer of this kind takes as a run of their own behind a letter.
 ENDINGS = b".,;:!?|"
 
+#: Bytes that byte-level models write as themselves; the others follow from code point 256 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SIGNS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - set(_PLAIN)))}
+
 
 class WordIds:
     """Ids of words as little-endian 32-bit numbers, each word tokenized once.
 
-    The tokenizer is made on first use. It must lower letters,
-    drop white space, mark the last token of a run of letters with ``word_end``
-    and take letters, digits and other signs apart.
+    The tokenizer is made on first use. It must compose and lower letters, drop
+    white space, take letters, digits and other signs apart, and write bytes as
+    signs in the usual way.
     """
 
-    def __init__(self, tokenizer_json: str, word_end: str = "</w>"):
-        self.json, self.word_end = tokenizer_json, word_end
-        self.tokenizer = None
+    def __init__(self, tokenizer_json: str):
+        self.json, self.tokenizer = tokenizer_json, None
         self.known: dict[bytes, bytes] = {}
 
     def _open(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(self.json)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, number in vocabulary.items():
-            self.last[number] = token.endswith(self.word_end)
+        self.model = self.tokenizer.model
         self.marks = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def words(self, content: bytes) -> list[bytes]:
@@ -57,17 +58,18 @@ class WordIds:
                 self.known[word] = self.known[stem] + self.known[end]
 
     def _tokenize(self, words: set[bytes]) -> None:
-        texts = [(w, w.decode()) for w in words]
-        letters = [(w, t) for w, t in texts if t.isalpha() and t.lower().isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(t for _, t in letters), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.last[ids]) + 1
-        if len(stops) == len(letters):
-            cuts = [0, *(stops * 4).tolist()]
-            data = ids.tobytes()
-            self.known.update((w, data[a:b]) for (w, _), a, b in zip(letters, cuts, cuts[1:]))
-            texts = [(w, t) for w, t in texts if w not in self.known]
-        coded = self.tokenizer.encode_batch([t for _, t in texts], add_special_tokens=False)
-        self.known.update((w, np.array(c.ids, "<u4").tobytes()) for (w, _), c in zip(texts, coded))
+        """Words that are one run of lower letters go to the model as they are; the others
+        go through the whole tokenizer."""
+        others = []
+        for word in words:
+            text = word.decode()
+            if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+                found = self.model.tokenize(word.decode("latin-1").translate(SIGNS))
+                self.known[word] = np.array([t.id for t in found], "<u4").tobytes()
+            else:
+                others.append((word, text))
+        coded = self.tokenizer.encode_batch([t for _, t in others], add_special_tokens=False)
+        self.known.update((w, np.array(c.ids, "<u4").tobytes()) for (w, _), c in zip(others, coded))
 
 
 def kept_in(holder: dict) -> WordIds:
