@@ -25,6 +25,15 @@ STRETCH = 4096
 SPARE = 1.02
 
 
+def source_key(name: str) -> Column:
+    """The source as a text that is never null and sorts by code points, null last."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(name).cast("string")), F.lit("t")).alias("source")
+
+
+def all_differ(rows: DataFrame, key: str) -> bool:
+    return rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
+
+
 def source_targets(
     sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0
 ) -> DataFrame:
@@ -162,8 +171,7 @@ def taken_words(docs: DataFrame, block: int = 128, seed: int = 17) -> DataFrame:
     evenly; a null id is an id. Documents without words, and all documents of an
     empty mix, take none.
     """
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
-    sizes = materialize(docs.select("doc_id", key.alias("source"), "size"), "sizes")
+    sizes = materialize(docs.select("doc_id", source_key("source"), "size"), "sizes")
     targets = materialize(source_targets(sizes), "targets")
     mixed = mixture(sizes, targets, block, seed)
     key = F.struct("doc_id", "source", "size")

@@ -70,20 +70,23 @@ def measures(content: bytes) -> tuple[int, ...]:
     )
 
 
-def text_measures(docs: DataFrame, id_col: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
-    """(id, stratum, the ``COUNTS``, base_failed); null text counts as empty."""
+def text_measures(
+    docs: DataFrame, id_col: str = "doc_id", stratum: str = "lang", text: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, stratum, columns to carry, the ``COUNTS``, base_failed); null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [measures(x) for x in text_bytes(batch.column(2))]
+            made = [measures(x) for x in text_bytes(batch.column(0))]
             columns = zip(*made) if made else [()] * len(COUNTS)
             arrays = [pa.array(c, pa.int64()) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], names=[*names, *COUNTS])
 
-    names = [id_col, stratum, *COUNTS]
-    named = docs.select(F.col(id_col), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias(stratum), F.col(text))
-    key = named.schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {key}, `{stratum}` string, " + ", ".join(f"{c} long" for c in COUNTS)
+    names = [id_col, stratum, *carry]
+    group = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias(stratum)
+    named = docs.select(F.col(text).alias("_text"), F.col(id_col), group, *carry)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema[1:]]
+    schema = ", ".join([*kinds, *(f"{c} long" for c in COUNTS)])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return named.mapInArrow(run, schema).withColumn("base_failed", failed)
 
@@ -174,8 +177,9 @@ def judged(
     id_col: str = "doc_id",
     stratum: str = "lang",
     text: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, stratum, the ``COUNTS``, base_failed, kept) of every document.
+    """(id, stratum, columns to carry, the ``COUNTS``, base_failed, kept) of every document.
 
     ``kept`` is false for documents that fail the base rules or lie above a
     cutoff of their stratum. Null or empty texts fail. A null stratum is the
@@ -183,7 +187,7 @@ def judged(
     base rules decide. Rows that repeat an id get a row each; a null id has no
     label and is judged. Other columns are ignored; an empty table gives none.
     """
-    measured = materialize(text_measures(docs, id_col, stratum, text), "measures")
+    measured = materialize(text_measures(docs, id_col, stratum, text, carry), "measures")
     cutoffs = materialize(certified_cutoffs(measured, labels, risk, delta, id_col, stratum), "cutoffs")
     over = [F.coalesce(F.expr(value) > F.col(name), F.lit(False)) for name, (value, _) in RULES.items()]
     rejected = F.col("base_failed")
