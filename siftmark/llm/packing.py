@@ -11,6 +11,7 @@ their length, in a join with the plan.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,6 +131,13 @@ def token_pieces(
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of words in few lists, and no cycles
+        try:
+            yield from pieces(batches)
+        finally:
+            gc.enable()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.column(0).type
             rows, words, size = [], [], 0

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 from itertools import islice
+from struct import pack
 from unicodedata import is_normalized
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: So many words are remembered; beyond, the later half is forgotten.
@@ -19,6 +19,11 @@ _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SIGNS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - set(_PLAIN)))}
 
 
+def numbers(ids: list[int]) -> bytes:
+    """As little-endian 32-bit numbers."""
+    return pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Ids of words as little-endian 32-bit numbers, each word tokenized once.
 
@@ -48,28 +53,39 @@ class WordIds:
         """Afterwards ``known`` has all ``words``."""
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        fresh = [w for w in words if w not in self.known]
-        stems = [w.rstrip(ENDINGS) for w in fresh]
-        whole = [s if s and s[-1:].isalnum() else w for w, s in zip(fresh, stems)]
-        ends = [w[len(s) :] for w, s in zip(fresh, whole)]
-        self._tokenize({x for x in (*whole, *ends) if x and x not in self.known})
-        for word, stem, end in zip(fresh, whole, ends):
-            if end:
-                self.known[word] = self.known[stem] + self.known[end]
+        known = self.known
+        whole, cut = set(), []
+        for word in words:
+            if word not in known:
+                stem = word.rstrip(ENDINGS)
+                if stem == word or not stem[-1:].isalnum():
+                    whole.add(word)
+                else:
+                    cut.append((word, stem, word[len(stem) :]))
+        whole.update(stem for _, stem, _ in cut if stem not in known)
+        whole.update(end for end in {end for _, _, end in cut} if end not in known)
+        self._tokenize(whole)
+        for word, stem, end in cut:
+            known[word] = known[stem] + known[end]
 
     def _tokenize(self, words: set[bytes]) -> None:
         """Words that are one run of lower letters go to the model as they are; the others
         go through the whole tokenizer."""
+        known, tokenize = self.known, self.model.tokenize
         others = []
         for word in words:
+            if word.isalpha():  # of bytes: ASCII letters, which byte-level models write as themselves
+                text = word.decode()
+                if text.islower():
+                    known[word] = numbers([t.id for t in tokenize(text)])
+                    continue
             text = word.decode()
             if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
-                found = self.model.tokenize(word.decode("latin-1").translate(SIGNS))
-                self.known[word] = np.array([t.id for t in found], "<u4").tobytes()
+                known[word] = numbers([t.id for t in tokenize(word.decode("latin-1").translate(SIGNS))])
             else:
                 others.append((word, text))
         coded = self.tokenizer.encode_batch([t for _, t in others], add_special_tokens=False)
-        self.known.update((w, np.array(c.ids, "<u4").tobytes()) for (w, _), c in zip(others, coded))
+        known.update((w, numbers(c.ids)) for (w, _), c in zip(others, coded))
 
 
 def kept_in(holder: dict) -> WordIds:
