@@ -196,5 +196,5 @@ def judged(
     return (
         join_spread(measured, cutoffs, [stratum], "left")
         .withColumn("kept", ~rejected)
-        .drop(*RULES)
+        .select(*measured.columns, "kept")
     )
