@@ -42,12 +42,16 @@ class RecordedAnnotator:
         return recorded.join(wanted, "custom_id", "left_semi").select("response")
 
 
-def custom_id(cluster: Column, rank: Column) -> Column:
+def custom_id(cluster: Column, rank: Column, tie: Column | None = None) -> Column:
+    """The request's id. ``tie`` tells documents of a cluster with equal or missing
+    ranks apart; parsers that look for cluster and rank only do not see it."""
+    more = [] if tie is None else [F.lit("-doc-"), tie.cast("string")]
     return F.concat(
         F.lit("task-cluster-"),
         F.coalesce(cluster.cast("string"), F.lit("None")),
         F.lit("-rank-"),
         F.coalesce(rank.cast("string"), F.lit("None")),
+        *more,
     )
 
 
@@ -56,10 +60,12 @@ def build_requests(
     prompt: str = fixed.ANNOTATOR_PROMPT,
     model: str = fixed.ANNOTATOR_MODEL,
     temperature: float = fixed.ANNOTATOR_TEMPERATURE,
+    tie: str | None = None,
 ) -> DataFrame:
     """Add ``request``: one chat-completion batch line per sampled document.
 
-    The id carries ``rank_text`` (the rank as its file writes it) if there is one.
+    The id carries ``rank_text`` (the rank as its file writes it) if there is
+    one, and the column ``tie`` where ranks do not tell documents apart.
     """
     rank = "rank_text" if "rank_text" in sampled.columns else "rank"
 
@@ -73,7 +79,7 @@ def build_requests(
         F.array(message("system", F.lit(prompt)), message("user", F.col("content"))).alias("messages"),
     )
     line = F.struct(
-        custom_id(F.col("cluster"), F.col(rank)).alias("custom_id"),
+        custom_id(F.col("cluster"), F.col(rank), F.col(tie) if tie else None).alias("custom_id"),
         F.lit("POST").alias("method"),
         F.lit(fixed.ANNOTATOR_URL).alias("url"),
         body.alias("body"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import words
+from siftmark.operators.joins import join_checked
 
 
 def class_weights(train: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def train_classifier(
     regression = LogisticRegression(featuresCol="features", maxIter=rounds, regParam=0.01, family="multinomial")
     if weighted:
         balance = class_weights(rows)  # one row per class
-        rows = rows.join(balance, "label")
+        # a class per row; the number of classes is bounded by what the model can tell apart
+        rows = join_checked(rows, balance, ["label"])
         regression = regression.setWeightCol("weight")
     stages = [
         HashingTF(inputCol="words", outputCol="tf", numFeatures=features),

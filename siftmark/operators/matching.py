@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,18 @@ def _jvm_dots(vector: Column, centres: dict[int, np.ndarray], weights: dict[int,
     return chosen
 
 
+def _checked(centres: dict[int, np.ndarray]) -> Column:
+    """``vector``, or an error where it is null, holds a null or is not as wide as its checkpoint."""
+    width = F.lit(None).cast("int")
+    for ckpt, matrix in centres.items():
+        width = F.when(F.col("ckpt") == ckpt, matrix.shape[1]).otherwise(width)
+    vector = F.col("vector")
+    good = vector.isNotNull() & (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull())
+    return F.when(good, vector).otherwise(
+        F.raise_error(F.lit("a vector is null or has another width")).cast("array<double>")
+    )
+
+
 def _blas_dots(train: DataFrame, centres: dict[int, np.ndarray], weights: dict[int, float]) -> DataFrame:
     shipped = train.sparkSession.sparkContext.broadcast(
         {ckpt: (weights[ckpt] * matrix).T for ckpt, matrix in centres.items()}
@@ -100,10 +113,13 @@ def _blas_dots(train: DataFrame, centres: dict[int, np.ndarray], weights: dict[i
                 if part.num_rows:
                     products = as_matrix(part.column("vector")) @ matrix
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("train_id"), as_lists(products)], ["train_id", "dots"]
+                        [part.column("ckpt"), part.column("train_id"), as_lists(products)],
+                        ["ckpt", "train_id", "dots"],
                     )
 
-    schema = T.StructType([train.schema["train_id"], T.StructField("dots", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType(
+        [train.schema["ckpt"], train.schema["train_id"], T.StructField("dots", T.ArrayType(T.DoubleType()))]
+    )
     return train.select("ckpt", "train_id", "vector").mapInArrow(multiply, schema)
 
 
@@ -120,7 +136,9 @@ def match_influence(
     the mean over a subtask's validation rows equals one dot product with
     their mean vector, so no train x validation pairs are formed: each
     training row meets ``subtasks`` centres where it is, and only the small
-    arrays of sums are shuffled when there are several checkpoints.
+    arrays of sums are shuffled when there are several checkpoints. A row that
+    lacks a checkpoint, or has one twice, is returned with a null score. A
+    vector that is null, holds a null or is of another width stops the job.
     """
     centres = subtask_centres(validation, subtasks)
     if weights is None:
@@ -128,16 +146,18 @@ def match_influence(
     if set(weights) != set(centres):
         raise ValueError("checkpoint weights do not match the validation checkpoints")
     shares = dict(zip(weights, renormalize(list(weights.values()))))
-    used = train.where(F.col("ckpt").isin(list(shares)))
+    used = train.where(F.col("ckpt").isin(list(shares))).withColumn("vector", _checked(centres))
     products = next(iter(centres.values())).size
     if wide if wide is not None else products > JVM_PRODUCTS:
         dotted = _blas_dots(used, centres, shares)
     else:
-        dotted = used.select("train_id", _jvm_dots(F.col("vector"), centres, shares).alias("dots"))
+        dotted = used.select("ckpt", "train_id", _jvm_dots(F.col("vector"), centres, shares).alias("dots"))
     if len(shares) == 1:
         return dotted.select("train_id", F.array_max("dots").alias("score"))
+    met = [F.sum((F.col("ckpt") == c).cast("int")) == 1 for c in shares]
     sums = dotted.groupBy("train_id").agg(
-        *[F.sum(F.get("dots", F.lit(i))).alias(f"d{i}") for i in range(subtasks)]
+        reduce(Column.__and__, met).alias("whole"),
+        *[F.sum(F.get("dots", F.lit(i))).alias(f"d{i}") for i in range(subtasks)],
     )
     best = F.array_max(F.array(*[F.col(f"d{i}") for i in range(subtasks)]))
-    return sums.select("train_id", best.alias("score"))
+    return sums.select("train_id", F.when(F.col("whole"), best).alias("score"))

@@ -104,22 +104,38 @@ def mix_sources(
     return mixed.select("draw", *rows.columns)
 
 
-def permute_blocks(blocks: DataFrame, window_chunks: int, blocks_per_chunk: int, seed: int) -> DataFrame:
-    """Shuffle blocks inside each full window of chunks; an unfilled last window is dropped.
+def permute_blocks(
+    blocks: DataFrame, window_chunks: int, blocks_per_chunk: int, seed: int, wrap: bool = False
+) -> DataFrame:
+    """Shuffle blocks inside each window of chunks.
 
-    ``blocks`` has (chunk_id, block_id, ...). A window holds a fixed number of
-    blocks, whatever the size of the data. Adds ``read_order``.
+    ``blocks`` has (chunk_id, block_id, ...), with chunks numbered from 0. A
+    window holds a fixed number of blocks, whatever the size of the data. Adds
+    ``read_order``. An unfilled last window is filled up with the first chunks
+    if ``wrap`` is set, so that some are read twice; else it is not read, as
+    with readers that stop there.
     """
-    windowed = blocks.withColumn("window_id", F.floor(F.col("chunk_id") / window_chunks))
+    if wrap:
+        total = blocks.agg(F.max("chunk_id") + 1).scalar()
+        missing = F.pmod(F.lit(window_chunks) - total % window_chunks, F.lit(window_chunks))
+        again = blocks.withColumn("_total", total).withColumn("_missing", missing)
+        rounds = F.floor((F.col("_missing") - 1 - F.col("chunk_id")) / F.col("_total"))
+        again = again.where("chunk_id < _missing").withColumn("_round", F.explode(F.sequence(F.lit(0).cast("long"), rounds)))
+        place = F.col("_total") * (F.col("_round") + 1) + F.col("chunk_id")
+        first = blocks.withColumn("_place", F.col("chunk_id"))
+        blocks = first.unionByName(again.withColumn("_place", place).select(*blocks.columns, "_place"))
+    else:
+        blocks = blocks.withColumn("_place", F.col("chunk_id"))
+    windowed = blocks.withColumn("window_id", F.floor(F.col("_place") / window_chunks))
     inside = Window.partitionBy("window_id")
     full = windowed.withColumn("_n", F.count("*").over(inside)).where(
         F.col("_n") == window_chunks * blocks_per_chunk
     )
-    order = uniform(seed, F.col("chunk_id"), F.col("block_id"))
-    place = F.row_number().over(inside.orderBy(order, "chunk_id", "block_id")) - 1
+    order = uniform(seed, F.col("_place"), F.col("block_id"))
+    place = F.row_number().over(inside.orderBy(order, "_place", "block_id")) - 1
     return full.withColumn(
         "read_order", F.col("window_id") * window_chunks * blocks_per_chunk + place
-    ).drop("_n")
+    ).drop("_n", "_place")
 
 
 def repeat_epochs(df: DataFrame, epochs: int) -> DataFrame:

@@ -10,22 +10,28 @@ from siftmark.operators.ordering import running_total
 from siftmark.session import materialize
 
 
-def overlap_starts(length: Column, window: int, limit: int = fixed.SEQUENCE_LENGTH) -> Column:
-    """Starts of windows that overlap by a quarter, up to the one reaching ``limit``."""
+def overlap_starts(length: Column, window: int, limit: int | None = None) -> Column:
+    """Starts of windows that overlap by a quarter, over the whole length.
+
+    With ``limit`` they stop at the window that reaches it.
+    """
     step = window - window // 4
-    last = max(0, -(-(limit - window) // step))
-    most = F.least(F.lit(last).cast("long"), F.floor((length - 1) / step))
+    most = F.floor((length - 1) / step)
+    if limit is not None:
+        most = F.least(F.lit(max(0, -(-(limit - window) // step))).cast("long"), most)
     return F.when(
         length > 0, F.transform(F.sequence(F.lit(0).cast("long"), most), lambda k: (k * step).cast("int"))
     )
 
 
 def overlap_chunks(
-    df: DataFrame, tokens: str, window: int = fixed.SEQUENCE_LENGTH, limit: int = fixed.SEQUENCE_LENGTH
+    df: DataFrame, tokens: str, window: int = fixed.SEQUENCE_LENGTH, limit: int | None = None
 ) -> DataFrame:
     """One row per window: ``chunk_no``, ``start`` and the window's ``input_ids``.
 
-    An empty sequence gives no row. The labels of a window are its tokens.
+    All tokens are in some window; only with ``limit`` do the windows of a
+    sequence stop, at the one that reaches it. An empty sequence gives no row.
+    The labels of a window are its tokens.
     """
     starts = overlap_starts(F.size(tokens), window, limit)
     return df.select("*", F.posexplode(starts).alias("chunk_no", "start")).withColumn(

@@ -45,8 +45,11 @@ def top_n_threshold(df: DataFrame, score: str, n: int) -> float | None:
     many rows tie on it. The first pass uses logarithmic cells, later ones cut
     the kept cell 65,536-fold, so two or three narrow scans of the score
     column are usual. Only one row of bounds per pass reaches the driver.
-    Null and NaN scores are never selected; no rows give ``None``.
+    Null and NaN scores are never selected; no rows, or an ``n`` below one,
+    give ``None``, which no score reaches.
     """
+    if n < 1:
+        return None
     value = F.col("score")
     scores = df.select(F.col(score).cast("double").alias("score")).where(
         value.isNotNull() & ~F.isnan(value)
@@ -86,7 +89,8 @@ def flag_top_n(df: DataFrame, score: str, n: int, out: str = "selection") -> Dat
 
 def select_top_share(df: DataFrame, score: str, percent: float) -> DataFrame:
     """Rows whose score reaches the best ``percent`` of all scored rows."""
-    total = df.where(F.col(score).isNotNull()).count()
+    value = F.col(score).cast("double")
+    total = df.where(value.isNotNull() & ~F.isnan(value)).count()
     n = int(total * percent / 100.0)
     if n == 0:
         return df.where(F.lit(False))

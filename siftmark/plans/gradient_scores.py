@@ -28,18 +28,20 @@ def training_chunks(
     slice_no: int | None = None,
     share: float = 1.0,
     seed: int = 0,
+    limit: int | None = None,
 ) -> DataFrame:
     """(line_no, chunk_no, start, input_ids) of one file's (line_no, content) rows.
 
     ``slice_no`` keeps one slice of lines, counted from one; ``share`` then
-    keeps that part of them at random.
+    keeps that part of them at random. ``limit`` stops a text's windows at the
+    one that reaches it.
     """
     if slice_no is not None:
         lines = lines.where(counted_slice(F.col("line_no")) == slice_no)
     if share != 1.0:
         lines = random_share(lines, "line_no", share, seed)
     tokenized = lines.select("line_no", tokens(F.col("content")).alias("tokens"))
-    return overlap_chunks(tokenized, "tokens", window).drop("tokens")
+    return overlap_chunks(tokenized, "tokens", window, limit).drop("tokens")
 
 
 def evaluation_set(

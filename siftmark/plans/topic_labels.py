@@ -10,6 +10,7 @@ from siftmark import fixed_values as fixed
 from siftmark.operators import classifier, metrics
 from siftmark.operators.annotation import Annotator, build_requests, custom_id, parse_responses
 from siftmark.operators.clusters import cluster_window, sample_fixed
+from siftmark.operators.joins import join_checked
 from siftmark.operators.sampling import split_by_draw
 from siftmark.sources.corpus import read_clusters
 
@@ -17,7 +18,7 @@ from siftmark.sources.corpus import read_clusters
 def write_requests(spark: SparkSession, base: str, first: int, last: int, output: str) -> None:
     """Sampled documents as request lines, one folder per window of clusters."""
     sampled = sample_fixed(read_clusters(spark, base, first, last), "tie")
-    requests = build_requests(sampled).withColumn("window", cluster_window(F.col("cluster")))
+    requests = build_requests(sampled, tie="tie").withColumn("window", cluster_window(F.col("cluster")))
     requests.select("window", F.col("request").alias("value")).write.partitionBy("window").text(output)
 
 
@@ -26,14 +27,21 @@ def label_documents(requests: DataFrame, annotator: Annotator) -> DataFrame:
     return parse_responses(annotator.annotate(requests), keep_id=True)
 
 
-def labelled_examples(sampled: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sampled documents with the topic chosen for their request, and its number."""
-    keyed = labels.where(F.col("selected_topic").isin(list(fixed.TOPIC_NAMES))).select(
-        "custom_id", F.col("selected_topic").alias("topic")
-    )
-    asked = sampled.withColumn("custom_id", custom_id(F.col("cluster"), F.col("rank_text")))
+def labelled_examples(sampled: DataFrame, labels: DataFrame, tie: str = "tie") -> DataFrame:
+    """Sampled documents with the topic chosen for their request, and its number.
+
+    One row per answered document: ``tie`` makes the request's id unique, and of
+    several answers to one request the least topic counts. Any topic is kept;
+    ``known`` says whether it is one that was asked for. An answer without a
+    topic gives no row.
+    """
+    rank = "rank_text" if "rank_text" in sampled.columns else "rank"
+    keyed = labels.where(F.col("selected_topic").isNotNull())
+    keyed = keyed.groupBy("custom_id").agg(F.min("selected_topic").alias("topic"))
+    asked = sampled.withColumn("custom_id", custom_id(F.col("cluster"), F.col(rank), F.col(tie)))
     examples = asked.join(keyed, "custom_id")
-    return examples.join(metrics.label_map(examples, "topic"), "topic")
+    known = F.col("topic").isin(list(fixed.TOPIC_NAMES)).alias("known")
+    return join_checked(examples, metrics.label_map(examples, "topic"), ["topic"]).select("*", known)
 
 
 def fit_and_report(examples: DataFrame, id_col: str, seed: int = 0) -> tuple[PipelineModel, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,17 @@ RECORD_SCHEMA = (
 NUMBER = r"(?i)\A\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*\z"
 
 
+def as_fields(columns: str) -> str:
+    """A list of columns as the fields of a struct type."""
+    return re.sub(r"(?m)(`[^`]+`|\b\w+) (\w+)(?=,|$)", r"\1: \2", columns)
+
+
 def parse_number(text: Column) -> Column:
-    """A double from a JSON number or numeric text; null for anything else."""
+    """A double from a JSON number or numeric text; null for anything else.
+
+    Texts are numbers as JSON or a spreadsheet would write them; ``true`` and
+    digits grouped by underscores, which some languages also take, are not.
+    """
     bare = F.btrim(text, F.lit('"'))
     return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
 
@@ -24,11 +35,19 @@ def parse_records(lines: DataFrame, line: str = "line", score: str | None = None
     """Add the scoring fields of each JSON line.
 
     ``topic`` stays text, since 3 and 3.0 name different keys. A line that is
-    no JSON object has every field null. ``score`` names a score field to
-    read as ``score``, 0 when the line has none.
+    not one JSON object and nothing else has every field null: it is read as
+    the only element of a list, followed by a field of our own. ``score`` names
+    a score field to read as ``score``, 0 when the line has none.
+
+    The parsed record comes from a generator, which filters do not cross. So a
+    line is parsed once, however many conditions read its fields.
     """
-    schema = RECORD_SCHEMA + (f", `{score}` double" if score else "")
-    parsed = lines.withColumn("_r", F.from_json(line, schema))
+    record = RECORD_SCHEMA + (f", `{score}` double" if score else "")
+    wrapped = F.concat(F.lit('{"only": ['), F.col(line), F.lit('], "end": 1}'))
+    read = F.from_json(wrapped, f"only array<struct<{as_fields(record)}>>, end int")
+    parsed = lines.select("*", F.inline(F.array(F.struct(read.alias("_l")))))
+    alone = (F.col("_l.end") == 1) & (F.size("_l.only") == 1)
+    parsed = parsed.withColumn("_r", F.when(alone, F.get("_l.only", F.lit(0))))
     extra = [F.coalesce(F.col("_r")[score], F.lit(0.0)).alias("score")] if score else []
     return parsed.select(
         *lines.columns,

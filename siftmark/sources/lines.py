@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +74,15 @@ def numbered_lines(
 
 
 def with_field(line: Column, name: str, value: Column) -> Column:
-    """The JSON object line with one more field; on a repeated name the last one counts."""
-    head = F.regexp_replace(line, r"\s*\}\s*\z", "")
+    """The JSON object line with the field ``name`` set to a number.
+
+    A field of that name at the line's end, as an earlier run leaves it, is
+    replaced, so that running again gives the same line.
+    """
+    number = r"-?[0-9][0-9.eE+-]*"
+    old = rf',?\s*"{re.escape(name)}": {number}(?=(, "(selection|score_[0-9]+)": {number})*\s*\}}\s*\z)'
+    clean = F.regexp_replace(F.regexp_replace(line, old, ""), r"\A\{\s*,\s*", "{")
+    head = F.regexp_replace(clean, r"\s*\}\s*\z", "")
     comma = F.when(head.rlike(r"\{\s*\z"), "").otherwise(", ")
     return F.concat(head, comma, F.lit(f'"{name}": '), value.cast("string"), F.lit("}"))
 

@@ -49,6 +49,25 @@ def test_bad_matching_inputs(spark):
     assert matching.renormalize([0.5, 0.5]) == [0.5, 0.5]
 
 
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("bad", [None, [1.0, 2.0], [1.0, 2.0, 3.0, 4.0], [1.0, None, 2.0]])
+def test_bad_vectors_stop_both_ways(spark, wide, bad):
+    rows = [(0, 1, [1.0, 2.0, 3.0]), (0, 2, bad)]
+    train = spark.createDataFrame(rows, "ckpt int, train_id long, vector array<float>")
+    held = frame(spark, blocks(2, 3, 2, ckpts=(0,)), "position")
+    with pytest.raises(Exception, match="null or has another width"):
+        matching.match_influence(train, held, 1, wide=wide).collect()
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_rows_without_every_checkpoint_are_marked(spark, wide):
+    rows = [(0, 1, [1.0]), (1, 1, [1.0]), (0, 2, [1.0]), (0, 3, [1.0]), (0, 3, [1.0])]
+    train = spark.createDataFrame(rows, "ckpt int, train_id long, vector array<float>")
+    held = spark.createDataFrame([(0, 0, [2.0]), (1, 0, [4.0])], "ckpt int, position long, vector array<float>")
+    got = matching.match_influence(train, held, 1, {0: 1.0, 1: 1.0}, wide)
+    assert {r.train_id: r.score for r in got.collect()} == {1: 3.0, 2: None, 3: None}
+
+
 def test_vector_expressions(spark):
     rows = [([3.0, -4.0], [0.1, 0.2], [0.01, 0.0]), ([0.0, 0.0], [0.0, 0.0], [0.0, 0.0])]
     g, m, v = F.col("g"), F.col("m"), F.col("v")

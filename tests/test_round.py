@@ -125,70 +125,67 @@ def influence_files(base, seed, drop=None):
     return losses
 
 
-def expected_score(text, weights, collaboration):
-    """The scoring rules on one raw line; None when it has no score."""
-    try:
-        data = json.loads(text.strip())
-        edu, domain, topic, epoch = (
-            data["attr-fineweb-edu"], data["domain"], data["attr-cc_en_topic"], data["epoch"]
-        )
-        edu = float(edu)
-        quality = 0
-        for low in range(5):
-            if low <= edu < low + 1:
-                quality = weights["quality", f"quality_{low}_{low + 1}"]
-        mixed = (
-            collaboration[0] * quality
-            + collaboration[1] * weights["domain", domain]
-            + collaboration[2] * weights["topic", f"topic_{topic}"]
-        )
-        return mixed * (1 / (1 + 0.1 * epoch))
-    except (ValueError, KeyError, TypeError, ZeroDivisionError):
+#: Raw lines, and what each is worth by hand: (edu bucket or None, domain, topic, epoch divisor), or None.
+FLAWED = {
+    "": None, "   ": None, "not json": None, "[1]": None, "{}": None, '{"domain": "c4"}': None,
+    '{"domain": "nowhere", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": 0}': None,
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1.0, "epoch": 0}': None,
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": "1", "epoch": 0}': ("1_2", "c4", "1", 1.0),
+    '{"domain": "c4", "attr-fineweb-edu": " 2.5 ", "attr-cc_en_topic": 1, "epoch": 0}': ("2_3", "c4", "1", 1.0),
+    '{"domain": "c4", "attr-fineweb-edu": "2.5d", "attr-cc_en_topic": 1, "epoch": 0}': None,
+    '{"domain": "c4", "attr-fineweb-edu": "1_0", "attr-cc_en_topic": 1, "epoch": 0}': None,
+    '{"domain": "c4", "attr-fineweb-edu": true, "attr-cc_en_topic": 1, "epoch": 0}': None,
+    '{"domain": "c4", "attr-fineweb-edu": null, "attr-cc_en_topic": 1, "epoch": 0}': None,
+    '{"domain": "c4", "attr-fineweb-edu": "nan", "attr-cc_en_topic": 1, "epoch": 0}': (None, "c4", "1", 1.0),
+    '{"domain": "c4", "attr-fineweb-edu": NaN, "attr-cc_en_topic": 1, "epoch": 0}': (None, "c4", "1", 1.0),
+    '{"domain": "c4", "attr-fineweb-edu": 5.0, "attr-cc_en_topic": 1, "epoch": 0}': (None, "c4", "1", 1.0),
+    '{"domain": "c4", "attr-fineweb-edu": -0.5, "attr-cc_en_topic": 1, "epoch": 0}': (None, "c4", "1", 1.0),
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": "2"}': None,
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1}': None,
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": -10}': None,
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": -20}': ("1_2", "c4", "1", -1.0),
+    '{"domain": "c4", "attr-fineweb-edu": 1e0, "attr-cc_en_topic": 12, "epoch": 2.5, "score_1": 9}': ("1_2", "c4", "12", 1.25),
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": 0} junk': None,
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": 0}]': None,
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": 0}, {"epoch": 0}': None,
+    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": 0} {"epoch": 0}': None,
+}
+
+
+def worth(traits, weights, collaboration):
+    """The score of a line's traits, or None."""
+    if traits is None:
         return None
-
-
-FLAWED = [
-    "", "   ", "not json", "[1]", "{}", '{"domain": "c4"}',
-    '{"domain": "nowhere", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1.0, "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": "1", "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": " 2.5 ", "attr-cc_en_topic": 1, "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": "2.5d", "attr-cc_en_topic": 1, "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": null, "attr-cc_en_topic": 1, "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": "nan", "attr-cc_en_topic": 1, "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": NaN, "attr-cc_en_topic": 1, "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": 5.0, "attr-cc_en_topic": 1, "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": -0.5, "attr-cc_en_topic": 1, "epoch": 0}',
-    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": "2"}',
-    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1}',
-    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": -10}',
-    '{"domain": "c4", "attr-fineweb-edu": 1, "attr-cc_en_topic": 1, "epoch": -20}',
-    '{"domain": "c4", "attr-fineweb-edu": 1e0, "attr-cc_en_topic": 12, "epoch": 2.5, "score_1": 9}',
-]
+    bucket, domain, topic, divisor = traits
+    parts = [weights.get(("quality", f"quality_{bucket}"), 0), weights["domain", domain], weights["topic", f"topic_{topic}"]]
+    return sum(c * w for c, w in zip(collaboration, parts)) / divisor
 
 
 def test_two_rounds_over_files(spark, tmp_path, small_splits):
     draw = random.Random(5)
-    corpus = {}
+    corpus, known = {}, {}
     for sub in ("alpha", "beta"):
         for name in ("f0", "f1"):
-            lines = [
-                json.dumps(
-                    {
-                        "content": "text " * draw.randint(1, 9) + "é",
-                        "domain": draw.choice([k for f, k in ORDER if f == "domain"] + ["other"]),
-                        "attr-fineweb-edu": round(draw.uniform(0, 5.5), 2),
-                        "attr-cc_en_topic": draw.randint(0, 13),
-                        "epoch": draw.randint(0, 3),
-                    },
-                    ensure_ascii=False,
-                )
-                for _ in range(60)
-            ]
+            lines, traits = [], []
+            for _ in range(60):
+                domain = draw.choice([k for f, k in ORDER if f == "domain"] + ["other"])
+                low, topic, epoch = draw.randint(0, 5), draw.randint(0, 13), draw.randint(0, 3)
+                record = {
+                    "content": "text " * draw.randint(1, 9) + "é",
+                    "domain": domain,
+                    "attr-fineweb-edu": low + draw.choice([0.0, 0.25, 0.99]),
+                    "attr-cc_en_topic": topic,
+                    "epoch": epoch,
+                }
+                lines.append(json.dumps(record, ensure_ascii=False))
+                good = domain != "other" and topic < 13
+                traits.append((f"{low}_{low + 1}", domain, str(topic), 1 + 0.1 * epoch) if good else None)
             if (sub, name) == ("beta", "f0"):
                 lines += FLAWED
+                traits += FLAWED.values()
             write(f"{tmp_path}/corpus/{sub}/{name}.jsonl", lines)
             corpus.update({(sub, name, i): line for i, line in enumerate(lines)})
+            known.update({(sub, name, i): t for i, t in enumerate(traits)})
 
     weights = ({k: 10.0 for k in ORDER}, [1 / 3] * 3)
     for iteration in (1, 2):
@@ -205,7 +202,7 @@ def test_two_rounds_over_files(spark, tmp_path, small_splits):
         assert got.collaboration == pytest.approx(weights[1], rel=1e-12)
         assert load_weights(spark, f"{tmp_path}/out/weights", iteration) == got
 
-        scores = {k: expected_score(line, *weights) for k, line in corpus.items()}
+        scores = {k: worth(t, *weights) for k, t in known.items()}
         scored = {k: s for k, s in scores.items() if s is not None}
         rows = spark.read.parquet(job.folder("scored")).collect()
         assert {(r.subfolder, r.file[:-6], r.line_no) for r in rows} == set(scored)

@@ -11,37 +11,30 @@ from siftmark.operators import sampling, sequences
 from siftmark.sources import packed
 
 
-def windows(tokens, size, limit=1024):
-    out, start = [], 0
-    while start < len(tokens):
-        out.append(tokens[start : start + size])
-        if start + size >= limit:
-            break
-        start += size - size // 4
-    return out
-
-
+@pytest.mark.parametrize("limit", [None, 1024])
 @pytest.mark.parametrize("size", [1024, 512, 300, 100, 7])
-def test_overlapping_windows(spark, size):
+def test_overlapping_windows(spark, size, limit):
     draw = random.Random(size)
-    rows = [(i, list(range(draw.choice([0, 1, size - 1, size, size + 1, 900, 1500])))) for i in range(30)]
-    got = sequences.overlap_chunks(spark.createDataFrame(rows, "id int, t array<int>"), "t", size)
-    found = {}
+    lengths = [0, 1, size - 1, size, size + 1, 900, 1500, 2300]
+    rows = [(i, list(range(draw.choice(lengths)))) for i in range(30)]
+    got = sequences.overlap_chunks(spark.createDataFrame(rows, "id int, t array<int>"), "t", size, limit)
+    found = {i: [] for i, _ in rows}
     for r in got.orderBy("id", "chunk_no").collect():
-        found.setdefault(r.id, []).append(r.input_ids)
-    assert found == {i: windows(t, size) for i, t in rows if t}
-
-
-def pack(sequences_, size, filler):
-    """The builder's buffer: cut on overflow, one last write."""
-    chunks, buffer = [], []
-    for tokens in sequences_:
-        while len(buffer) + len(tokens) > size:
-            room = size - len(buffer)
-            chunks.append(buffer + tokens[:room])
-            buffer, tokens = [], tokens[room:]
-        buffer = buffer + tokens
-    return chunks + [buffer + [filler] * (size - len(buffer))]
+        assert r.chunk_no == len(found[r.id])
+        found[r.id].append(r.input_ids)
+    for i, tokens in rows:
+        chunks = found[i]
+        assert bool(chunks) == bool(tokens)
+        for before, after in zip(chunks, chunks[1:]):
+            assert before[size - size // 4 :] == after[: size // 4][: len(before) - (size - size // 4)]
+            assert after[0] - before[0] == size - size // 4
+        covered = {t for c in chunks for t in c}
+        assert covered >= set(tokens[: limit or len(tokens)])
+        assert all(c == tokens[c[0] : c[0] + size] for c in chunks)
+        if limit:  # all but the last end before the stop
+            assert all(c[0] + size < limit for c in chunks[:-1])
+        elif chunks:
+            assert chunks[-1][0] + size - size // 4 >= len(tokens)
 
 
 @pytest.mark.parametrize("lengths", [[], [0, 0], [8], [16, 16], [3, 40, 0, 5, 8, 1], [1] * 100, [200]])
@@ -51,8 +44,10 @@ def test_packing(spark, lengths):
     rows = [(i, [draw.randint(1, 99) for _ in range(n)]) for i, n in zip(ids, lengths)]
     frame = spark.createDataFrame(rows, "id long, t array<int>").repartition(3)
     got = sequences.pack_tokens(frame, "id", "t", 8, F.lit(0)).orderBy("chunk_id").collect()
-    assert [r.chunk_id for r in got] == list(range(len(got)))
-    assert [r.tokens for r in got] == pack([t for _, t in rows], 8, 0)
+    assert [r.chunk_id for r in got] == list(range(max(1, -(-sum(lengths) // 8))))
+    packed_tokens = [t for r in got for t in r.tokens]
+    real = [t for _, tokens in rows for t in tokens]
+    assert packed_tokens == real + [0] * (len(got) * 8 - len(real))
 
 
 @pytest.mark.parametrize("dtype, code", [("uint16", 8), ("int32", 4), ("int64", 5), ("uint8", 1)])
@@ -73,16 +68,24 @@ def test_packed_files(spark, tmp_path, dtype, code):
         packed.dtype_code("float16")
 
 
-def test_blocks_and_their_order(spark):
-    chunks = spark.createDataFrame([(i, list(range(10))) for i in range(7)], "chunk_id long, tokens array<int>")
-    blocks = sequences.blocks_of(chunks, 10, 3)
-    assert blocks.count() == 21
+@pytest.mark.parametrize("chunks", [7, 6, 1, 2])
+def test_blocks_and_their_order(spark, chunks):
+    frame = spark.createDataFrame([(i, list(range(10))) for i in range(chunks)], "chunk_id long, tokens array<int>")
+    blocks = sequences.blocks_of(frame, 10, 3)
+    assert blocks.count() == 3 * chunks
     order = sampling.permute_blocks(blocks, 3, 3, seed=1).orderBy("read_order").collect()
-    assert [r.read_order for r in order] == list(range(18))
-    assert {(r.chunk_id, r.block_id) for r in order[:9]} == {(c, b) for c in range(3) for b in range(3)}
+    assert [r.read_order for r in order] == list(range(chunks // 3 * 9))
+    if order:
+        assert {(r.chunk_id, r.block_id) for r in order[:9]} == {(c, b) for c in range(3) for b in range(3)}
     again = sampling.permute_blocks(blocks.repartition(5), 3, 3, seed=1).orderBy("read_order").collect()
     assert [(r.chunk_id, r.block_id) for r in again] == [(r.chunk_id, r.block_id) for r in order]
 
+    wrapped = sampling.permute_blocks(blocks, 3, 3, seed=1, wrap=True).orderBy("read_order").collect()
+    assert [r.read_order for r in wrapped] == list(range(-(-chunks // 3) * 9))
+    assert [(r.chunk_id, r.block_id) for r in wrapped[: len(order)]] == [(r.chunk_id, r.block_id) for r in order]
+    filled = [i % chunks for i in range(-(-chunks // 3) * 3)]
+    assert sorted((r.chunk_id, r.block_id) for r in wrapped) == sorted((c, b) for c in filled for b in range(3))
+
 
 def test_masking_padding_and_joining(spark):
     rows = [("q ", "a", ["x"] * 5, 2), ("q", "\ta", ["x"] * 2, 4), ("q", "a", [], 0), ("q\n", "\na", ["x"], 1)]

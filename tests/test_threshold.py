@@ -1,4 +1,3 @@
-import heapq
 import random
 
 import pytest
@@ -6,16 +5,6 @@ import pytest
 from siftmark.operators.threshold import flag_top_n, reaching, select_top_share, top_n_threshold
 
 
-def by_heap(scores, n):
-    heap = []
-    for score in scores:
-        if len(heap) < n:
-            heapq.heappush(heap, score)
-        elif score > heap[0]:
-            heapq.heapreplace(heap, score)
-    return heap[0]
-
-
 def spread(kind, size=300):
     draw = random.Random(kind)
     return {
@@ -34,11 +23,11 @@ def spread(kind, size=300):
 @pytest.mark.parametrize(
     "kind", ["uniform", "ties", "one_value", "signs", "negative", "close", "scales", "tiny", "infinite"]
 )
-def test_threshold_equals_the_heap(spark, kind):
+def test_threshold_is_the_nth_largest(spark, kind):
     scores = spread(kind)
     frame = spark.createDataFrame([(s,) for s in scores], "s double").repartition(3).cache()
     for n in (1, 7, len(scores) // 2, len(scores), 10_000):
-        assert top_n_threshold(frame, "s", n) == by_heap(scores, n)
+        assert top_n_threshold(frame, "s", n) == sorted(scores, reverse=True)[:n][-1]
 
 
 def test_ties_are_kept_and_nulls_are_not(spark):
@@ -53,6 +42,18 @@ def test_no_rows(spark):
     assert flag_top_n(empty, "s", 3).count() == 0
 
 
+def test_none_are_wanted(spark):
+    frame = spark.range(5).selectExpr("cast(id as double) s")
+    for n in (0, -3):
+        assert top_n_threshold(frame, "s", n) is None
+        assert flag_top_n(frame, "s", n).where("selection = 1").count() == 0
+
+
+def test_nan_is_not_counted_in_a_share(spark):
+    frame = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("nan"),)] * 90 + [(None,)], "s double")
+    assert [r.s for r in select_top_share(frame, "s", 10).collect()] == [9.0]
+
+
 def test_top_share(spark):
     frame = spark.range(200).selectExpr("id", "cast(id as double) s")
     assert sorted(r.id for r in select_top_share(frame, "s", 1).collect()) == [198, 199]
