@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
@@ -37,14 +37,34 @@ def pad_or_cut(tokens: Column, length: int, pad: Column) -> Column:
     return F.concat(kept, F.array_repeat(pad, F.lit(length) - F.size(kept)))
 
 
+def padded_rows(df: DataFrame, length: int, pad: Column, ignored: Column) -> DataFrame:
+    """``input_ids`` and ``labels`` cut or filled up to ``length``, with the mask of what was there."""
+    there = F.least(F.size("input_ids"), F.lit(length))
+    mask = F.concat(F.array_repeat(F.lit(1), there), F.array_repeat(F.lit(0), F.lit(length) - there))
+    return df.withColumns(
+        {
+            "attention_mask": mask,
+            "input_ids": pad_or_cut(F.col("input_ids"), length, pad),
+            "labels": pad_or_cut(F.col("labels"), length, ignored),
+        }
+    )
+
+
 def counted_labels(labels: Column, ignore: int = fixed.IGNORE_INDEX) -> Column:
     """How many labels take part in the loss."""
     return F.size(F.filter(labels, lambda x: x != ignore))
 
 
+def _part(path: Column, name: str, rest: str) -> Column:
+    """The value of a ``name=value`` folder in a path, or null."""
+    return F.nullif(F.regexp_extract(path, rf"/{name}=([^/]+)/{rest}[^/]+\z", 1), F.lit(""))
+
+
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    """The file's name; for files written as ``file=<name>/part-...`` that name."""
+    return F.coalesce(_part(path, "file", ""), F.element_at(F.split(path, "/"), -1))
 
 
 def folder_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -2)
+    """The folder's name; for ``subfolder=<name>/file=<name>/part-...`` that of the subfolder."""
+    return F.coalesce(_part(path, "subfolder", r"(?:file=[^/]+/)?"), F.element_at(F.split(path, "/"), -2))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
-from siftmark.functions.text import mask_prompt
+from siftmark.functions.text import join_question_answer, mask_prompt
 
 TULU, INST, RAW = "tulu", "inst", "raw"
 
@@ -219,6 +219,25 @@ def build_prompts(items: DataFrame, task: str, style: str = TULU, chinese: bool
     return items.select("*", chat(body, style).alias("prompt"), answer.alias("completion"))
 
 
+def encode_pairs(
+    pairs: DataFrame,
+    tokens: Callable[[Column], Column],
+    eos: str,
+    max_length: int = fixed.SEQUENCE_LENGTH,
+    ignore: Column | None = None,
+) -> DataFrame:
+    """(question, answer) rows as input_ids, labels and attention_mask.
+
+    The answer follows the question after a blank, if neither side has one, and
+    ends with ``eos``; the question's tokens are masked in the labels.
+    """
+    whole = join_question_answer(F.col("question"), F.col("answer"), eos)
+    marked = pairs.withColumn("prompt", F.col("question"))
+    after = F.expr("substring(_whole, length(question) + 1)")
+    marked = marked.withColumn("_whole", whole).withColumn("completion", after).drop("_whole")
+    return tokenize_prompts(marked, tokens, max_length, ignore).drop("prompt", "completion")
+
+
 def tokenize_prompts(
     prompts: DataFrame,
     tokens: Callable[[Column], Column],

@@ -95,7 +95,7 @@ PLACED = """placed AS (
   SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS line_no FROM documents)"""
 
 PREDICTIONS = """scores AS (
-  SELECT vec_id, label, unnest(range(10)) AS class, unnest(embedding[1:10])::DOUBLE AS logit FROM embeddings),
+  SELECT vec_id, label, unnest(range(64)) AS class, unnest(embedding)::DOUBLE AS logit FROM embeddings),
 preds AS (
   SELECT vec_id, any_value(label) AS label, arg_max(class, (logit, -class)) AS pred FROM scores GROUP BY vec_id),
 cells AS (SELECT label, pred, count(*) AS n FROM preds GROUP BY ALL)"""
@@ -176,15 +176,19 @@ def oracle_sql() -> dict[str, str]:
 SELECT doc_id, domain, round({LADDER_SCORE}, 6) AS score FROM records WHERE domain <> 'unknown' AND topic < 13"""
     sql["score_epoch_decay"] = f"""WITH {RECORDS}
 SELECT doc_id, epoch, round(1 / (1 + 0.1::DOUBLE * epoch), 6) AS decay FROM records"""
-    sql["score_drop_rules"] = f"""WITH {RECORDS}, flawed AS (
-  SELECT * REPLACE (CASE WHEN doc_id % 12 = 10 THEN 5.0::DOUBLE ELSE edu END AS edu),
-    CASE WHEN doc_id % 12 IN (1, 2, 6, 7) THEN 'bad_quality'
-         WHEN doc_id % 12 = 3 OR domain = 'unknown' THEN 'unknown_domain'
-         WHEN doc_id % 12 = 4 OR topic = 13 THEN 'unknown_topic'
-         WHEN doc_id % 12 IN (8, 11) THEN 'bad_epoch'
-         WHEN doc_id % 12 = 9 THEN 'zero_divisor' ELSE 'kept' END AS reason
-  FROM records)
+    flawed = f"""WITH {RECORDS}, flawed AS (
+  SELECT * REPLACE (CASE WHEN doc_id % 14 = 10 THEN 5.0::DOUBLE ELSE edu END AS edu),
+    CASE WHEN doc_id % 14 IN (1, 2, 6, 7, 12, 13) THEN 'bad_quality'
+         WHEN doc_id % 14 = 3 OR domain = 'unknown' THEN 'unknown_domain'
+         WHEN doc_id % 14 = 4 OR topic = 13 THEN 'unknown_topic'
+         WHEN doc_id % 14 IN (8, 11) THEN 'bad_epoch'
+         WHEN doc_id % 14 = 9 THEN 'zero_divisor' ELSE 'kept' END AS reason
+  FROM records)"""
+    sql["score_drop_rules"] = f"""{flawed}
 SELECT doc_id, reason, CASE WHEN reason = 'kept' THEN round({LADDER_SCORE}, 6) END AS score FROM flawed"""
+    sql["file_scores"] = f"""{flawed}, {PLACED}
+SELECT p.source AS subfolder, p.lang AS file, p.line_no, round({LADDER_SCORE}, 6) AS score
+FROM flawed JOIN placed p USING (doc_id) WHERE reason = 'kept'"""
     sql["quality_bucket_lookup"] = f"""WITH {RECORDS}
 SELECT doc_id, edu, CASE WHEN edu < 5 THEN 'quality_' || floor(edu)::INT || '_' || (floor(edu)::INT + 1) END AS bucket,
        round(CASE WHEN edu < 5 THEN (floor(edu) + 1) / 15::DOUBLE ELSE 0 END, 6) AS quality FROM records"""
@@ -212,6 +216,17 @@ SELECT doc_id, round(score, 6) AS score, CAST(score >= (SELECT threshold FROM cu
 SELECT round((SELECT threshold FROM cut), 6) AS threshold, count(*) AS selected FROM scored WHERE score >= (SELECT threshold FROM cut)"""
     sql["selection_flag"] = """SELECT o_orderkey, CAST(o_totalprice >= (SELECT min(p) FROM (
   SELECT o_totalprice AS p FROM orders ORDER BY p DESC LIMIT (SELECT count(*) // 20 FROM orders))) AS INTEGER) AS selection FROM orders"""
+    sql["topn_zero"] = "SELECT o_orderkey, 0 AS selection FROM orders"
+    sql["file_influences"] = sql["ewma_weights"]
+    sql["file_weights"] = f"""{COLLAB} SELECT family, key, round(weight, 6) AS weight FROM shares
+UNION ALL SELECT 'collaboration', CAST(agent AS VARCHAR), round(weight, 6) FROM collab"""
+    sql["round_over_files"] = f"""{ITERATION} SELECT text AS content FROM scored WHERE score >= (SELECT threshold FROM cut)"""
+    sql["file_flags"] = f"""WITH {PLACED}, marked AS (
+  SELECT *, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 101 ELSE 0 END AS score FROM placed)
+SELECT source AS subfolder, lang AS file, line_no, CAST(score >= (
+  SELECT min(score) FROM (SELECT score FROM marked ORDER BY score DESC LIMIT 50)) AS INTEGER) AS selection FROM marked"""
+    sql["file_selected_lines"] = f"""WITH {PLACED}
+SELECT source AS subfolder, lang AS file, line_no, text AS content FROM placed WHERE doc_id % 6 < 3"""
     sql["select_lines"] = f"""{ITERATION}, {PLACED}
 SELECT p.source AS subfolder, p.lang AS file, p.line_no, p.text AS line
 FROM placed p JOIN scored s ON s.doc_id = p.doc_id WHERE s.score >= (SELECT threshold FROM cut)"""
@@ -228,6 +243,13 @@ ordered AS (
          count(*) OVER (PARTITION BY cluster) AS n FROM members)"""
     sql["cluster_sample_10"] = f"""WITH {members}
 SELECT cluster, rank, content, doc_id FROM ordered WHERE i % CAST(ceil(n / 10.0) AS BIGINT) = 0 AND content IS NOT NULL"""
+    sql["file_clusters"] = f"""WITH {members}
+SELECT cluster, rank, content FROM ordered WHERE i % CAST(ceil(n / 10.0) AS BIGINT) = 0 AND content IS NOT NULL"""
+    sql["labelled_examples"] = f"""WITH answered AS (
+  SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS cluster,
+         CASE WHEN doc_id % 29 = 0 THEN 'Gardening' ELSE {_list(fixed.TOPIC_NAMES)}[doc_id % 13 + 1] END AS topic
+  FROM documents WHERE doc_id % 19 <> 0 AND doc_id % 11 <> 0)
+SELECT doc_id, cluster, topic, CAST(dense_rank() OVER (ORDER BY topic) - 1 AS INTEGER) AS label, topic <> 'Gardening' AS known FROM answered"""
     by_size = """spaced AS (
   SELECT *, greatest(floor(n / k::DOUBLE), 1)::BIGINT AS step FROM (SELECT *, greatest(ceil(n / {per}.0), 1)::BIGINT AS k FROM ordered))"""
     sql["cluster_sample_by_size"] = f"""WITH {members}, {by_size.format(per=20)}
@@ -239,7 +261,7 @@ SELECT cluster, rank, content, doc_id FROM spaced WHERE i % step = 0 AND i // st
 SELECT cluster, rank, content, event_id FROM spaced WHERE i % step = 0 AND i // step < k"""
     sql["batch_requests"] = f"""SELECT doc_id, 'task-cluster-' || CAST(substr(source, 4) AS INTEGER) || '-rank-' || n_chars AS custom_id,
   'POST' AS method, '{fixed.ANNOTATOR_URL}' AS url, '{fixed.ANNOTATOR_MODEL}' AS model, '0.1' AS temperature,
-  'json_object' AS format, 'system' AS first_role, {len(fixed.ANNOTATOR_PROMPT)} AS prompt_chars, 'user' AS second_role, text AS content FROM documents"""
+  'json_object' AS format, 'system' AS first_role, {_text(fixed.ANNOTATOR_PROMPT)} AS prompt, 'user' AS second_role, text AS content FROM documents"""
     sql["parse_responses"] = f"""SELECT CASE WHEN doc_id % 7 <> 0 THEN CAST(CAST(substr(source, 4) AS INTEGER) AS VARCHAR) END AS cluster,
   CASE WHEN doc_id % 7 <> 0 THEN CAST(n_chars AS VARCHAR) END AS rank,
   CASE WHEN doc_id % 11 <> 0 THEN lang END AS topic,
@@ -262,6 +284,8 @@ FROM report, (SELECT unnest([0.8, 0.6, 0.4, 0.2, 0.0])::DOUBLE AS threshold) GRO
   SELECT label, class, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, class DESC) AS place FROM scores)
 SELECT CAST(k AS INTEGER) AS k, round(count(*) FILTER (WHERE place <= k) / count(*)::DOUBLE, 6) AS accuracy
 FROM ranked, range(1, 6) AS t(k) WHERE class = label GROUP BY k"""
+    sql["class_weights"] = """SELECT label, round((SELECT count(*) FROM embeddings) / ((SELECT count(DISTINCT label) FROM embeddings) * count(*)::DOUBLE), 6) AS weight
+FROM embeddings GROUP BY label"""
     sql["softmax_threshold"] = f"""WITH {PREDICTIONS}, soft AS (
   SELECT vec_id, class, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS p FROM scores)
 SELECT vec_id, round(p, 6) AS probability, p > 0.1 AS above FROM soft WHERE class = 1"""
@@ -279,7 +303,7 @@ running AS (
 SELECT vec_id, CAST(min(class) AS INTEGER) AS next FROM running
 WHERE upto > {UNIFORM.format(seed=5, key='vec_id')} GROUP BY vec_id"""
     batches = f"""batches AS (
-  SELECT doc_id, n_chars / 1000::DOUBLE AS loss, len({WORDS.format('text')}) AS num_tokens FROM documents JOIN labels USING (doc_id))"""
+  SELECT doc_id, n_chars / 1000::DOUBLE AS loss, len({WORDS.format('text')}) AS num_tokens FROM documents)"""
     sql["token_weighted_loss"] = f"""WITH {batches}
 SELECT CAST(sum(num_tokens) AS BIGINT) AS num_tokens, round(sum(loss * num_tokens) / sum(num_tokens), 6) AS loss FROM batches"""
     sql["mean_validation_loss"] = f"WITH {batches} SELECT round(avg(loss), 6) AS loss FROM batches"
@@ -291,13 +315,18 @@ SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(x / greatest(sqrt(sum(x * x) O
     sql["sign_gradient"] = """SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(sign(x) AS DOUBLE) AS value
 FROM (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
     sql["adam_gradient"] = """WITH e AS (
-  SELECT vec_id, unnest(range(16)) AS pos, unnest(embedding[1:16])::DOUBLE AS g, unnest(embedding[17:32])::DOUBLE AS m,
-         unnest(embedding[33:48])::DOUBLE AS r FROM embeddings)
+  SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS g, unnest(list_reverse(embedding))::DOUBLE AS m,
+         unnest(embedding[33:64] || embedding[1:32])::DOUBLE AS r FROM embeddings)
 SELECT vec_id, CAST(pos AS INTEGER) AS pos,
   round((0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * g) / sqrt(0.999::DOUBLE * (r * r) + (1 - 0.999::DOUBLE) * g * g + 1e-8::DOUBLE), 6) + 0 AS value FROM e"""
-    sql["match_influence"] = f"""WITH {GRADIENTS}
+    sql["match_influence"] = """WITH gradients AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT t.vec_id AS train_id, round(avg(list_dot_product(t.v, w.v)), 6) + 0 AS score
-FROM gradients t, gradients w WHERE t.ckpt = 0 AND w.ckpt = 0 AND t.label <> 0 AND w.label = 0 GROUP BY t.vec_id"""
+FROM gradients t, gradients w WHERE t.label <> 0 AND w.label = 0 GROUP BY t.vec_id"""
+    sql["match_incomplete"] = f"""WITH {GRADIENTS}, pairs AS (
+  SELECT t.vec_id AS train_id, w.vec_id // 6 AS sub, w.vec_id AS val_id, sum(list_dot_product(t.v, w.v) / 2) AS d
+  FROM gradients t JOIN gradients w ON t.ckpt = w.ckpt WHERE w.vec_id < 54 GROUP BY ALL)
+SELECT train_id, CASE WHEN train_id % 5 <> 0 THEN round(max(m), 6) + 0 END AS score
+FROM (SELECT train_id, sub, avg(d) AS m FROM pairs GROUP BY ALL) GROUP BY train_id"""
     sql["match_multi_ckpt"] = f"""WITH {GRADIENTS}, pairs AS (
   SELECT t.vec_id AS train_id, w.vec_id // 2 AS sub, w.vec_id AS val_id,
          sum(CASE t.ckpt WHEN 0 THEN 2 / 5::DOUBLE ELSE 3 / 5::DOUBLE END * list_dot_product(t.v, w.v)) AS d
@@ -309,6 +338,19 @@ SELECT train_id, round(max(m), 6) + 0 AS score FROM (SELECT train_id, sub, avg(d
     sql["qa_join"] = f"""WITH {PAIRS}
 SELECT conv_id, turn, CASE WHEN regexp_matches(question, '[ \\n\\t]$') OR regexp_matches(answer, '^[ \\n\\t]')
   THEN question || answer ELSE question || ' ' || answer END || '</s>' AS text FROM pairs"""
+    whole = """question || CASE WHEN regexp_matches(question, '[ \\n\\t]$') OR regexp_matches(answer, '^[ \\n\\t]') THEN '' ELSE ' ' END || answer || ' </s>'"""
+    sql["qa_encode"] = f"""WITH {PAIRS}, cut AS (
+  SELECT conv_id, turn, {WORDS.format(f"({whole})")}[1:96] AS w, least(len({WORDS.format('question')}), 96) AS p FROM pairs)
+SELECT conv_id, turn, array_to_string(w, ' ') AS input_ids,
+  array_to_string(list_transform(w, lambda x, i: CASE WHEN i <= p THEN '-100' ELSE x END), ' ') AS labels,
+  CAST(len(w) AS INTEGER) AS attended FROM cut"""
+    sql["pad_with_mask"] = f"""WITH {TOKENS}, chunks AS (
+  SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, w[k * 192 + 1 : k * 192 + 256] AS w FROM tokens, unnest(range(0, (len(w) + 191) // 192)) AS t(k))
+SELECT doc_id, chunk_no, array_to_string(list_transform(range(1, 257), lambda i: coalesce(w[i], '0')), ' ') AS input_ids,
+  array_to_string(list_transform(range(1, 257), lambda i: coalesce(w[i], '-1')), ' ') AS labels,
+  repeat('1', len(w)) || repeat('0', 256 - len(w)) AS attention_mask FROM chunks"""
+    sql["last_token_state"] = """SELECT vec_id, round(x, 6) + 0 AS first, round(-x, 6) + 0 AS second
+FROM (SELECT vec_id, embedding[vec_id % 64 + 1]::DOUBLE AS x FROM embeddings)"""
     sql["prompt_mask"] = f"""WITH {PAIRS}, cut AS (
   SELECT conv_id, turn, {WORDS.format("question || ' ' || answer")}[1:64] AS w, least(len({WORDS.format('question')}), 64) AS p FROM pairs)
 SELECT conv_id, turn, array_to_string(w, ' ') AS input_ids,
@@ -318,15 +360,27 @@ SELECT conv_id, turn, array_to_string(w, ' ') AS input_ids,
 SELECT doc_id, array_to_string(list_transform(range(1, 1025), lambda i: coalesce(w[i], '0')), ' ') AS input_ids FROM tokens"""
     sql["chunk_overlap"] = f"""WITH {TOKENS}
 SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(k * 384 AS INTEGER) AS start, array_to_string(w[k * 384 + 1 : k * 384 + 512], ' ') AS input_ids
+FROM tokens, unnest(range(0, (len(w) + 383) // 384)) AS t(k)"""
+    sql["chunk_all"] = f"""WITH {TOKENS}
+SELECT doc_id, CAST(len(w) AS INTEGER) AS tokens, CAST(sum(least(100, len(w) - k * 75)) AS BIGINT) AS held
+FROM tokens, unnest(range(0, (len(w) + 74) // 75)) AS t(k) GROUP BY doc_id, len(w)"""
+    sql["chunk_stopped"] = f"""WITH {TOKENS}
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(k * 384 AS INTEGER) AS start, array_to_string(w[k * 384 + 1 : k * 384 + 512], ' ') AS input_ids
 FROM tokens, range(0, 3) AS t(k) WHERE k * 384 < len(w) AND (k = 0 OR (k - 1) * 384 + 512 < 1024)"""
     sql["chunk_whole"] = f"""WITH {TOKENS}
-SELECT doc_id, array_to_string(w[1:1024], ' ') AS input_ids, CAST(least(len(w), 1024) AS INTEGER) AS n FROM tokens WHERE len(w) > 0"""
+SELECT doc_id, array_to_string(w[k * 768 + 1 : k * 768 + 1024], ' ') AS input_ids, CAST(least(len(w) - k * 768, 1024) AS INTEGER) AS n
+FROM tokens, unnest(range(0, (len(w) + 767) // 768)) AS t(k)"""
     sql["pack_blocks"] = f"{PACKED} SELECT chunk_id, CAST(block_id AS INTEGER) AS block_id, tokens FROM blocks"
     sql["block_permutation"] = f"""{PACKED}, windows AS (
   SELECT *, chunk_id // 2 AS window_id, count(*) OVER (PARTITION BY chunk_id // 2) AS n FROM blocks)
 SELECT chunk_id, CAST(block_id AS INTEGER) AS block_id, CAST(window_id * 16 + row_number() OVER (PARTITION BY window_id
   ORDER BY {UNIFORM.format(seed=12345, key="chunk_id || ':' || block_id")}, chunk_id, block_id) - 1 AS BIGINT) AS read_order
 FROM windows WHERE n = 16"""
+    sql["block_permutation_wrap"] = f"""{PACKED}, size AS (SELECT max(chunk_id) + 1 AS chunks FROM blocks),
+places AS (SELECT CAST(p AS BIGINT) AS place, CAST(p % chunks AS BIGINT) AS chunk_id FROM size, unnest(range(0, CAST((chunks + 3) // 4 * 4 AS BIGINT))) AS t(p))
+SELECT chunk_id, CAST(block_id AS INTEGER) AS block_id, CAST(place // 4 * 32 + row_number() OVER (PARTITION BY place // 4
+  ORDER BY {UNIFORM.format(seed=12345, key="place || ':' || block_id")}, place, block_id) - 1 AS BIGINT) AS read_order
+FROM places JOIN blocks USING (chunk_id)"""
     place = "row_number() OVER (ORDER BY event_id)"
     sql["slice_counted"] = f"SELECT event_id, CAST({place} // 1250 AS BIGINT) AS slice FROM events"
     sql["slice_plain"] = f"SELECT event_id, CAST(({place} - 1) // 1250 AS BIGINT) AS slice FROM events"
@@ -411,6 +465,31 @@ FROM (SELECT doc_id, n_chars::DOUBLE AS n FROM documents)"""
 SELECT item_id, example_no, '<|user|>' || chr(10) || text || chr(10) || chr(10) || array_to_string(list_transform(list_filter([1, 2, 3],
     lambda i: i <> example_no + 1), lambda i: q[i] || chr(10) || 'A:' || a[i] || chr(10) || chr(10)), '')
   || q[example_no + 1] || chr(10) || '<|assistant|>' || chr(10) || 'A:' AS prompt, a[example_no + 1] AS completion FROM asked"""
+    sql["bbh_styles"] = f"""{ITEMS}, asked AS (
+  SELECT item_id, text, CAST(k AS INTEGER) AS example_no, ['Q: ' || {_w(1)}, 'Q: ' || {_w(2)}, 'Q: ' || {_w(3)}][k + 1] AS q,
+         [' ' || {_w(4)}, ' ' || {_w(5)}, ' ' || {_w(6)}][k + 1] AS a FROM items, range(3) AS t(k))
+SELECT item_id, example_no, 'inst' AS style, '<s> [INST] ' || text || ' ' || q || ' [/INST] A:' AS prompt, a AS completion FROM asked
+UNION ALL SELECT item_id, example_no, 'raw', text || chr(10) || chr(10) || q || chr(10) || 'A:', a FROM asked"""
+    sql["template_tydiqa_zh"] = f"""SELECT doc_id, '<|user|>' || chr(10) || {_text(fixed.CHINESE_TEMPLATE[0])} || {_text(fixed.CHINESE_TEMPLATE[1])} || ' ' || text || chr(10)
+  || {_text(fixed.CHINESE_TEMPLATE[2])} || ' ' || {DOC_QUESTION} || chr(10) || '<|assistant|>' || chr(10) || {_text(fixed.CHINESE_TEMPLATE[3])} AS prompt,
+  ' ' || source AS completion FROM documents"""
+    squad = TULU.format(body=passage)
+    sql["squad_rows"] = f"""WITH items AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS item_no FROM documents),
+kept AS (SELECT * FROM items WHERE item_no < 501 ORDER BY {UNIFORM.format(seed=0, key='item_no')}, item_no LIMIT 500),
+cut AS (
+  SELECT doc_id, item_no, {WORDS.format(f"({squad} || ' ' || source)")}[1:1024] AS w, least(len({WORDS.format(f"({squad})")}), 1024) AS p FROM kept)
+SELECT doc_id, CAST(item_no AS BIGINT) AS item_no, array_to_string(w, ' ') AS input_ids,
+  array_to_string(list_transform(w, lambda x, i: CASE WHEN i <= p THEN '-' ELSE x END), ' ') AS labels FROM cut"""
+    sql["file_bbh"] = "SELECT 'task_' || item_id AS task, text FROM benchmark"
+    sql["file_tydiqa"] = f"""SELECT language, text AS context, 'item ' || item_id AS question, {WORDS.format('text')}[1] AS answer
+FROM (SELECT *, {_list(fixed.LANGUAGE_TEMPLATES)}[item_id % 9 + 1] AS language FROM benchmark)
+QUALIFY row_number() OVER (PARTITION BY language ORDER BY item_id) = 1"""
+    sql["file_mmlu"] = f"""SELECT 'subject_' || item_id % 3 AS subject, CAST(row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) - 1 AS INTEGER) AS row_no,
+  text AS question, array_to_string({WORDS.format('text')}[1:4], '|') AS options, ['A', 'B', 'C', 'D'][item_id % 4 + 1] AS answer
+FROM benchmark QUALIFY row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) <= 10"""
+    lengths = PACKED.replace("SELECT t, row_number()", "SELECT CAST(length(t) AS VARCHAR) AS t, row_number()").replace("'<pad>'", "'0'")
+    sql["file_packed"] = f"""{lengths} SELECT chunk_id, string_agg(tokens, ' ' ORDER BY block_id) AS tokens FROM blocks GROUP BY chunk_id"""
     inst = "'<s> [INST] ' || {body} || ' [/INST] The answer is:'"
     sql["template_chat_styles"] = f"""{ITEMS}, bodies AS (
   SELECT item_id, {_text(fixed.DESCRIPTION_INSTRUCTION)} || chr(10) || 'Description:' || chr(10) || text || chr(10) AS body FROM items)

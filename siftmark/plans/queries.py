@@ -27,7 +27,7 @@ from siftmark.operators import (
     weights,
 )
 from siftmark.operators.ordering import running_total
-from siftmark.plans import tables
+from siftmark.plans import gradient_scores, tables, topic_labels
 from siftmark.plans.tables import table
 from siftmark.session import materialize
 from siftmark.sources.corpus import parse_records
@@ -175,6 +175,13 @@ def selection_flag(spark, folder):
     return threshold.flag_top_n(orders, "o_totalprice", orders.count() // 20).select("o_orderkey", "selection")
 
 
+@query
+def topn_zero(spark, folder):
+    """No row is flagged when none is wanted."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return threshold.flag_top_n(orders, "o_totalprice", 0).select("o_orderkey", "selection")
+
+
 @query
 def select_lines(spark, folder):
     source = tables.source_lines(spark, folder)
@@ -235,7 +242,7 @@ def batch_requests(spark, folder):
         F.col("r.body.temperature").cast("string").alias("temperature"),
         F.col("r.body.response_format.type").alias("format"),
         message[0]["role"].alias("first_role"),
-        F.length(message[0]["content"]).alias("prompt_chars"),
+        message[0]["content"].alias("prompt"),
         message[1]["role"].alias("second_role"),
         message[1]["content"].alias("content"),
     )
@@ -246,6 +253,27 @@ def parse_responses(spark, folder):
     return annotation.parse_responses(tables.responses(spark, folder))
 
 
+@query
+def labelled_examples(spark, folder):
+    """Documents with the topic that their answer names; some answers name another one."""
+    docs = tables.clusters(spark, folder).where("content IS NOT NULL")
+    topic = F.when(F.col("doc_id") % 29 == 0, "Gardening").otherwise(
+        F.get(F.array(*[F.lit(t) for t in fixed.TOPIC_NAMES]), (F.col("doc_id") % 13).cast("int"))
+    )
+    answer = F.to_json(F.struct(F.col("lang").alias("topic"), topic.alias("selected topic")))
+    choices = F.array(F.struct(F.struct(answer.alias("content")).alias("message")))
+    response = F.struct(
+        F.get_json_object("request", "$.custom_id").alias("custom_id"),
+        F.struct(F.struct(choices.alias("choices")).alias("body")).alias("response"),
+    )
+    asked = annotation.build_requests(docs, tie="doc_id").join(
+        table(spark, folder, "documents").select("doc_id", "lang"), "doc_id"
+    )
+    answered = asked.where(F.col("doc_id") % 11 != 0).select(F.to_json(response).alias("response"))
+    found = topic_labels.labelled_examples(docs, annotation.parse_responses(answered, keep_id=True), "doc_id")
+    return found.select("doc_id", "cluster", "topic", "label", "known")
+
+
 # ------------------------------------------------------------------- metrics
 def _predicted(spark, folder):
     return metrics.with_predictions(tables.predictions(spark, folder))
@@ -295,6 +323,12 @@ def topk_accuracy(spark, folder):
     return metrics.top_k_accuracy(tables.predictions(spark, folder)).select("k", r6("accuracy").alias("accuracy"))
 
 
+@query
+def class_weights(spark, folder):
+    labels = table(spark, folder, "embeddings").select("label")
+    return classifier.class_weights(labels).select("label", r6("weight").alias("weight"))
+
+
 @query
 def softmax_threshold(spark, folder):
     logits = F.col("logits")
@@ -327,11 +361,8 @@ def sample_next(spark, folder):
 
 
 def _batches(spark, folder):
-    labels = table(spark, folder, "labels").select("doc_id")
-    return (
-        table(spark, folder, "documents")
-        .join(labels, "doc_id")
-        .select((F.col("n_chars") / 1000).alias("loss"), F.size(text.words(F.col("text"))).alias("num_tokens"))
+    return table(spark, folder, "documents").select(
+        (F.col("n_chars") / 1000).alias("loss"), F.size(text.words(F.col("text"))).alias("num_tokens")
     )
 
 
@@ -367,15 +398,17 @@ def sign_gradient(spark, folder):
 
 @query
 def adam_gradient(spark, folder):
-    part = [vectors.doubles(F.slice("embedding", 16 * i + 1, 16)) for i in range(3)]
-    squared = F.transform(part[2], lambda x: x * x)
-    direction = vectors.adam_gradient(part[0], part[1], squared).alias("v")
+    gradient = vectors.doubles(F.col("embedding"))
+    squared = F.transform(F.concat(F.slice(gradient, 33, 32), F.slice(gradient, 1, 32)), lambda x: x * x)
+    direction = vectors.adam_gradient(gradient, F.reverse(gradient), squared).alias("v")
     return _elements(table(spark, folder, "embeddings").select("vec_id", direction), "v")
 
 
 @query
 def match_influence(spark, folder):
-    rows = tables.gradients(spark, folder).where(F.col("ckpt") == 0)
+    rows = table(spark, folder, "embeddings").select(
+        F.lit(0).alias("ckpt"), "vec_id", "label", F.col("embedding").alias("vector")
+    )
     validation = rows.where(F.col("label") == 0).withColumn("position", F.lit(0))
     train = rows.where(F.col("label") != 0).withColumnRenamed("vec_id", "train_id")
     return matching.match_influence(train, validation, 1).select("train_id", r6("score").alias("score"))
@@ -393,8 +426,20 @@ def match_multi_ckpt(spark, folder):
 @query
 def ckpt_renormalize(spark, folder):
     counts = table(spark, folder, "embeddings").groupBy(F.col("label").alias("ckpt")).agg(F.count("*").alias("w"))
-    total = counts.agg(F.sum("w"))
-    return counts.select("ckpt", r6(F.col("w") / total.scalar()).alias("weight"))
+    rows = counts.collect()  # one number per checkpoint
+    shares = matching.renormalize([float(r.w) for r in rows])
+    weighed = spark.createDataFrame([(r.ckpt, w) for r, w in zip(rows, shares)], "ckpt int, weight double")
+    return weighed.select(F.col("ckpt").cast(counts.schema["ckpt"].dataType).alias("ckpt"), r6("weight").alias("weight"))
+
+
+@query
+def match_incomplete(spark, folder):
+    """Every fifth training row lacks a checkpoint and is marked by a null score."""
+    rows = tables.gradients(spark, folder)
+    validation = rows.where(F.col("vec_id") < 54).withColumn("position", F.col("vec_id"))
+    train = rows.where((F.col("ckpt") == 0) | (F.col("vec_id") % 5 != 0)).withColumnRenamed("vec_id", "train_id")
+    scores = matching.match_influence(train, validation, 9, {0: 1.0, 1: 1.0})
+    return scores.select("train_id", r6("score").alias("score"))
 
 
 # --------------------------------------------------------------------- texts
@@ -404,6 +449,46 @@ def qa_join(spark, folder):
     return tables.question_pairs(spark, folder).select("conv_id", "turn", joined.alias("text"))
 
 
+@query
+def qa_encode(spark, folder):
+    """Question and answer joined, ended, tokenized and masked."""
+    masked = prompts.encode_pairs(
+        tables.question_pairs(spark, folder), text.words, " </s>", 96, F.lit(str(fixed.IGNORE_INDEX))
+    )
+    return masked.select(
+        "conv_id",
+        "turn",
+        F.array_join("input_ids", " ").alias("input_ids"),
+        F.array_join("labels", " ").alias("labels"),
+        F.size("attention_mask").alias("attended"),
+    )
+
+
+@query
+def pad_with_mask(spark, folder):
+    """Ids padded with 0 and labels with the ignored value, to whole rows with a mask."""
+    chunks = sequences.overlap_chunks(tables.document_words(spark, folder), "tokens", 256)
+    padded = text.padded_rows(chunks.withColumn("labels", F.col("input_ids")), 256, F.lit("0"), F.lit("-1"))
+    return padded.select(
+        "doc_id",
+        "chunk_no",
+        *[F.array_join(c, " ").alias(c) for c in ("input_ids", "labels")],
+        F.array_join(F.transform("attention_mask", lambda x: x.cast("string")), "").alias("attention_mask"),
+    )
+
+
+@query
+def last_token_state(spark, folder):
+    """The value of the last token that is not padding."""
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id",
+        F.transform("embedding", lambda x: F.array(x.cast("double"), -x.cast("double"))).alias("states"),
+        F.transform("embedding", lambda x, i: (i <= F.col("vec_id") % 64).cast("int")).alias("mask"),
+    )
+    state = vectors.last_state(F.col("states"), F.col("mask"))
+    return rows.select("vec_id", r6(F.get(state, F.lit(0))).alias("first"), r6(F.get(state, F.lit(1))).alias("second"))
+
+
 @query
 def prompt_mask(spark, folder):
     pairs = tables.question_pairs(spark, folder).select(
@@ -432,6 +517,23 @@ def chunk_overlap(spark, folder):
     return chunks.select("doc_id", "chunk_no", "start", F.array_join("input_ids", " ").alias("input_ids"))
 
 
+@query
+def chunk_stopped(spark, folder):
+    """Windows that stop once 1,024 tokens are reached."""
+    chunks = sequences.overlap_chunks(
+        tables.document_words(spark, folder), "tokens", 512, fixed.SEQUENCE_LENGTH
+    )
+    return chunks.select("doc_id", "chunk_no", "start", F.array_join("input_ids", " ").alias("input_ids"))
+
+
+@query
+def chunk_all(spark, folder):
+    """How often windows of 100 tokens hold each document's tokens: no token is missing."""
+    chunks = sequences.overlap_chunks(tables.document_words(spark, folder), "tokens", 100)
+    held = chunks.groupBy("doc_id").agg(F.sum(F.size("input_ids")).alias("held"), F.max(F.col("start") + F.size("input_ids")).alias("tokens"))
+    return held.select("doc_id", "tokens", "held")
+
+
 @query
 def chunk_whole(spark, folder):
     chunks = sequences.overlap_chunks(tables.document_words(spark, folder), "tokens")
@@ -453,6 +555,13 @@ def block_permutation(spark, folder):
     return sampling.permute_blocks(_blocks(spark, folder), 2, 8, 12345).select("chunk_id", "block_id", "read_order")
 
 
+@query
+def block_permutation_wrap(spark, folder):
+    """With an unfilled last window filled from the beginning."""
+    order = sampling.permute_blocks(_blocks(spark, folder), 4, 8, 12345, wrap=True)
+    return order.select("chunk_id", "block_id", "read_order")
+
+
 def _event_positions(spark, folder):
     return running_total(table(spark, folder, "events").select("event_id"), "event_id")
 
@@ -662,6 +771,12 @@ def template_tydiqa(spark, folder):
     return _prompted(items, "tydiqa", "doc_id")
 
 
+@query
+def template_tydiqa_zh(spark, folder):
+    items = _doc_items(spark, folder).select("doc_id", "context", "question", F.col("source").alias("answer"), F.lit("english").alias("language"))
+    return prompts.build_prompts(items, "tydiqa", chinese=True).select("doc_id", "prompt", "completion")
+
+
 @query
 def template_bbh(spark, folder):
     examples = [F.concat(F.lit("Q: "), _word(i), F.lit("\nA: "), _word(i + 3)) for i in range(3)]
@@ -681,6 +796,27 @@ def template_chat_styles(spark, folder):
     return styled[0].unionByName(styled[1])
 
 
+@query
+def bbh_styles(spark, folder):
+    """The three-example task in the two styles without roles."""
+    examples = [F.concat(F.lit("Q: "), _word(i), F.lit("\nA: "), _word(i + 3)) for i in range(3)]
+    items = _word_items(spark, folder).select("item_id", F.concat_ws("\n\n", F.col("text"), *examples).alias("text"))
+    styled = [
+        prompts.build_prompts(items, "bbh", style).select("item_id", "example_no", F.lit(style).alias("style"), "prompt", "completion")
+        for style in (prompts.INST, prompts.RAW)
+    ]
+    return styled[0].unionByName(styled[1])
+
+
+@query
+def squad_rows(spark, folder):
+    """The first 501 items, of which 500 shuffled ones are kept and encoded."""
+    items = _doc_items(spark, folder).withColumn("answers", F.struct(F.array("source").alias("text")))
+    items = running_total(items.select("doc_id"), "doc_id", out="item_no").join(items, "doc_id")
+    kept = gradient_scores.evaluation_set(items, "squad", text.words, ignore=F.lit("-"))
+    return kept.select("doc_id", "item_no", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"))
+
+
 # -------------------------------------------- models (checked by row and test)
 @query
 def random_projection(spark, folder):

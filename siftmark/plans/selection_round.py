@@ -13,7 +13,7 @@ from siftmark.operators.selection import LINE_KEY, lines_of, output_name
 from siftmark.operators.threshold import flag_from, reaching, top_n_threshold
 from siftmark.operators.weights import AgentWeights, UpdateRule, update_weights
 from siftmark.sources.corpus import missing_keys, parse_records, read_influences, read_records
-from siftmark.sources.lines import numbered_lines, with_field, write_lines
+from siftmark.sources.lines import JSONL, numbered_lines, with_field, write_lines
 from siftmark.sources.weight_files import load_weights, save_weights
 
 
@@ -27,6 +27,7 @@ class Round:
     source: str | None = None
     iteration: int = 1
     top_n: int = fixed.TOP_N
+    pattern: str = JSONL
     rule: UpdateRule = UpdateRule()
 
     def folder(self, name: str) -> str:
@@ -40,7 +41,7 @@ def move_weights(spark: SparkSession, job: Round) -> AgentWeights:
         if job.iteration == 1
         else load_weights(spark, f"{job.output}/weights", job.iteration - 1)
     )
-    influences = read_influences(spark, job.influence)
+    influences = read_influences(spark, job.influence, job.pattern)
     absent = missing_keys(influences, {f: list(before.family(f)) for f in ("quality", "domain", "topic")})
     if absent:
         raise FileNotFoundError(f"no influences for {', '.join(absent)}")
@@ -51,7 +52,8 @@ def move_weights(spark: SparkSession, job: Round) -> AgentWeights:
 
 def write_scores(spark: SparkSession, job: Round, weights: AgentWeights) -> None:
     """The scored corpus lines as parquet: later passes read the score column alone."""
-    scored = score_records(read_records(spark, job.corpus), weights, job.iteration)
+    records = read_records(spark, job.corpus, job.pattern != JSONL, job.pattern)
+    scored = score_records(records, weights, job.iteration)
     scored.select(*LINE_KEY, F.col(f"score_{job.iteration}").alias("score"), "line").write.mode(
         "overwrite"
     ).parquet(job.folder("scored"))
@@ -77,7 +79,7 @@ def run_round(spark: SparkSession, job: Round) -> AgentWeights:
     )
     chosen = reaching(scored, "score", limit)
     if job.source is not None:
-        chosen = lines_of(numbered_lines(spark, job.source), chosen)
+        chosen = lines_of(numbered_lines(spark, job.source, pattern=job.pattern), chosen)
     chosen = chosen.withColumn("part", output_name(F.col("subfolder"), F.col("file")))
     write_lines(chosen, "line", job.folder("selected"), ["part"])
     return weights

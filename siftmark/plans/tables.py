@@ -75,12 +75,9 @@ def event_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Embeddings as classifier output: ten logits and a label."""
-    return table(spark, folder, "embeddings").select(
-        "vec_id",
-        F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"),
-        "label",
-    )
+    """Embeddings as classifier output: a logit for each value, and a label."""
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, folder, "embeddings").select("vec_id", logits.alias("logits"), "label")
 
 
 def gradients(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,8 +126,8 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as JSON lines, a twelfth each with one kind of flaw."""
-    kind = F.col("doc_id") % 12
+    """Documents as JSON lines, a fourteenth each with one kind of flaw."""
+    kind = F.col("doc_id") % 14
     edu = F.round(F.col("edu"), 2).cast("string")
     edu_text = (
         F.when(kind == 5, F.concat(F.lit('"'), edu, F.lit('"')))
@@ -156,8 +153,9 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
         epoch,
         F.when(kind == 1, "").otherwise("}"),
     )
+    flawed = F.when(kind == 2, "").when(kind == 12, F.concat(line, F.lit(" junk")))
     return records(spark, folder).select(
-        "doc_id", F.when(kind == 2, "").otherwise(line).alias("line")
+        "doc_id", flawed.when(kind == 13, F.concat_ws(" ", line, line)).otherwise(line).alias("line")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import file_name, folder_name
-from siftmark.sources.lines import numbered_lines, scan_lines
+from siftmark.sources.lines import JSONL, numbered_lines, scan_lines
 
 RECORD_SCHEMA = (
     "domain string, `attr-fineweb-edu` string, `attr-cc_en_topic` string, epoch double, selection string"
@@ -60,9 +60,9 @@ def parse_records(lines: DataFrame, line: str = "line", score: str | None = None
     )
 
 
-def read_records(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, root: str, recursive: bool = False, pattern: str = JSONL) -> DataFrame:
     """Numbered corpus lines with their scoring fields."""
-    return parse_records(numbered_lines(spark, root, recursive))
+    return parse_records(numbered_lines(spark, root, recursive, pattern))
 
 
 def influence_key(path: Column) -> tuple[Column, Column]:
@@ -73,13 +73,13 @@ def influence_key(path: Column) -> tuple[Column, Column]:
     return family, F.when(folder == "edu", F.replace(stem, F.lit("edu_bin_"), F.lit("quality_"))).otherwise(stem)
 
 
-def read_influences(spark: SparkSession, base: str) -> DataFrame:
+def read_influences(spark: SparkSession, base: str, pattern: str = JSONL) -> DataFrame:
     """(family, key, line_no, influence) from the three folders under ``base``.
 
     A blank or malformed line stops the job; an influence that is missing or
     no list comes out null, to be skipped.
     """
-    lines = numbered_lines(spark, base)
+    lines = numbered_lines(spark, base, pattern=pattern)
     family, key = influence_key(F.col("path"))
     text = F.when(F.trim("line") == "", F.raise_error(F.concat(F.lit("blank line in "), "path"))).otherwise(
         F.from_json("line", "influence string", {"mode": "FAILFAST"})["influence"]
@@ -98,14 +98,14 @@ def missing_keys(influences: DataFrame, wanted: dict[str, list[str]]) -> list[st
     return [key for family, keys in wanted.items() for key in keys if (family, key) not in found]
 
 
-def read_clusters(spark: SparkSession, base: str, first: int, last: int) -> DataFrame:
+def read_clusters(spark: SparkSession, base: str, first: int, last: int, pattern: str = JSONL) -> DataFrame:
     """(cluster, rank, rank_text, content, tie) of the folders ``clustering-<first..last>``.
 
     ``tie`` keeps file and line order among equal ranks. Only folders in the
     range are listed; absent ones contribute nothing.
     """
     numbers = ",".join(str(i) for i in range(first, last + 1))
-    lines = numbered_lines(spark, f"{base}/clustering-{{{numbers}}}")
+    lines = numbered_lines(spark, f"{base}/{{,subfolder=}}clustering-{{{numbers}}}", pattern=pattern)
     cluster = F.regexp_extract("subfolder", r"\Aclustering-(\d+)\z", 1)
     return (
         lines.withColumn("cluster", cluster.cast("int"))

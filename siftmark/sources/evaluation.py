@@ -29,7 +29,9 @@ def read_tydiqa(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_mmlu(spark: SparkSession, folder: str, split: str = "test", first: int = 10) -> DataFrame:
+def read_mmlu(
+    spark: SparkSession, folder: str, split: str = "test", first: int = 10, pattern: str | None = None
+) -> DataFrame:
     """(subject, row_no, question, options, answer): the first rows of each subject's file."""
     columns = ["question", *MMLU_LETTERS, "answer"]
     schema = ", ".join(f"{c} string" for c in columns)
@@ -37,7 +39,8 @@ def read_mmlu(spark: SparkSession, folder: str, split: str = "test", first: int
         spark.read.schema(schema)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("pathGlobFilter", f"*_{split}.csv")
+        .option("pathGlobFilter", pattern or f"*_{split}.csv")
+        .option("recursiveFileLookup", True)
         .csv(folder)
         .select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_at"))
     )

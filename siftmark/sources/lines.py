@@ -12,6 +12,7 @@ from siftmark.operators.joins import join_checked
 from siftmark.session import materialize
 
 JSONL = "*.jsonl"
+PARTS = "part-*"
 SPLIT_ROWS = 1_000_000  # about 200 bytes each
 
 
@@ -87,6 +88,17 @@ def with_field(line: Column, name: str, value: Column) -> Column:
     return F.concat(head, comma, F.lit(f'"{name}": '), value.cast("string"), F.lit("}"))
 
 
+def write_files(df: DataFrame, line: str, path: str) -> None:
+    """(subfolder, file, line_no, line) rows as one text file for each (subfolder, file).
+
+    Lines are in order, so reading them with ``PARTS`` as the pattern gives
+    their numbers again, if these are without gaps.
+    """
+    keys = ["subfolder", "file"]
+    ordered = df.select(*keys, "line_no", F.col(line).alias("value")).repartition(*keys)
+    ordered.sortWithinPartitions(*keys, "line_no").select(*keys, "value").write.partitionBy(*keys).text(path)
+
+
 def write_lines(df: DataFrame, line: str, path: str, partition_by: list[str]) -> None:
     """Write a text column, one folder per value of ``partition_by``.
 
