@@ -126,5 +126,7 @@ class UnigramInfluence:
 
 
 def token_bucket(tokens, vocabulary: int):
-    """Token ids for words: a seedless hash into ``vocabulary`` buckets."""
-    return F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(vocabulary)).cast("int"))
+    """Token ids for words: MD5 into ``vocabulary`` buckets, the same in any engine."""
+    return F.transform(
+        tokens, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % vocabulary).cast("int")
+    )

@@ -332,6 +332,35 @@ FROM (SELECT train_id, sub, avg(d) AS m FROM pairs GROUP BY ALL) GROUP BY train_
          sum(CASE t.ckpt WHEN 0 THEN 2 / 5::DOUBLE ELSE 3 / 5::DOUBLE END * list_dot_product(t.v, w.v)) AS d
   FROM gradients t JOIN gradients w ON t.ckpt = w.ckpt WHERE t.vec_id >= 54 AND w.vec_id < 54 GROUP BY ALL)
 SELECT train_id, round(max(m), 6) + 0 AS score FROM (SELECT train_id, sub, avg(d) AS m FROM pairs GROUP BY ALL) GROUP BY train_id"""
+    def projected(width: int, seed: int) -> str:
+        digit = f"strpos('0123456789abcdef', substr(md5('{seed}:' || i || ':' || (j // 128)), CAST(j % 128 // 4 + 1 AS BIGINT), 1)) - 1"
+        return f"""signs AS (
+  SELECT i, j, CAST((({digit}) >> (j % 4)) & 1 AS DOUBLE) * 2 - 1 AS s FROM range(64) AS a(i), range({width}) AS b(j)),
+elements AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+projected AS (SELECT vec_id, any_value(label) AS label, j, sum(x * s) AS y FROM elements JOIN signs USING (i) GROUP BY vec_id, j)"""
+
+    unit = "y / greatest(sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 1e-12::DOUBLE)"
+    sql["random_projection"] = f"""WITH {projected(16, 0)}
+SELECT vec_id, CAST(j AS INTEGER) AS pos, round(y, 6) + 0 AS value FROM projected"""
+    sql["project_and_normalize"] = f"""WITH {projected(160, 3)}
+SELECT vec_id, CAST(j AS INTEGER) AS pos, round({unit}, 6) + 0 AS value FROM projected"""
+    sql["gradient_matching"] = f"""WITH {projected(32, 0)}, units AS (SELECT vec_id, label, j, {unit} AS u FROM projected),
+centre AS (SELECT j, avg(u) AS c FROM units WHERE label = 0 GROUP BY j)
+SELECT vec_id AS train_id, round(sum(u * c), 6) + 0 AS score FROM units JOIN centre USING (j) GROUP BY vec_id"""
+    bucket = "('0x' || substr(md5(t), 1, 8))::BIGINT % 64"
+    sql["unigram_influence"] = f"""WITH {TOKENS},
+counted AS (SELECT doc_id, {bucket} AS b, count(*) AS n FROM (SELECT doc_id, unnest(w) AS t FROM tokens) GROUP BY ALL),
+held AS (
+  SELECT b, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS v
+  FROM (SELECT {bucket} AS b FROM (SELECT unnest({WORDS.format('text')}) AS t FROM benchmark)) GROUP BY b),
+gradient AS (
+  SELECT d.doc_id, k.b, 1 / 64::DOUBLE - coalesce(c.n / sum(c.n) OVER (PARTITION BY d.doc_id), 0) AS g
+  FROM documents d CROSS JOIN range(64) AS k(b) LEFT JOIN counted c ON c.doc_id = d.doc_id AND c.b = k.b),
+clipped AS (
+  SELECT doc_id, b, g * least(1.0::DOUBLE, 1 / greatest(sqrt(sum(g * g) OVER (PARTITION BY doc_id)), 1e-12::DOUBLE)) AS g FROM gradient),
+stepped AS (SELECT doc_id, b, -0.001::DOUBLE * g / (abs(g) + 1e-8::DOUBLE) AS l FROM clipped),
+spread AS (SELECT doc_id, ln(sum(exp(l))) AS z FROM stepped GROUP BY doc_id)
+SELECT doc_id, round(sum(v * (z - l)), 6) + 0 AS influence FROM stepped JOIN spread USING (doc_id) JOIN held USING (b) GROUP BY doc_id"""
     sql["ckpt_renormalize"] = """SELECT label AS ckpt, round(count(*) / sum(count(*)) OVER (), 6) AS weight FROM embeddings GROUP BY label"""
 
     # ------------------------------------------------------------------ texts

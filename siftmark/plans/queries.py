@@ -844,21 +844,22 @@ def unigram_influence(spark, folder):
 
 @query
 def gradient_matching(spark, folder):
-    """Unigram gradients, projected and normalized, matched against labelled good documents."""
-    model = providers.UnigramGradient(providers.share_vector({}, VOCABULARY))
-    rows = providers.apply_provider(_bucketed(tables.document_words(spark, folder)), "tokens", model, "vector")
-    # stored once, like any gradients: both sides read them back column-wise
-    projected = materialize(
-        matching.normalize_rows(projection.random_projection(rows, "vector", 32), "vector"), "gradients"
-    )
-    good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
-    validation = projected.join(good, "doc_id").select(
-        F.lit(0).alias("ckpt"), F.lit(0).alias("position"), "vector"
-    )
-    train = projected.select(F.lit(0).alias("ckpt"), F.col("doc_id").alias("train_id"), "vector")
+    """Vectors, projected and normalized, matched against those of one label."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    projected = materialize(gradient_scores.project_and_normalize(rows, 32), "gradients")
+    good = projected.where("label = 0")
+    validation = good.select(F.lit(0).alias("ckpt"), F.lit(0).alias("position"), "vector")
+    train = projected.select(F.lit(0).alias("ckpt"), F.col("vec_id").alias("train_id"), "vector")
     return matching.match_influence(train, validation, 1).select("train_id", r6("score").alias("score"))
 
 
+@query
+def project_and_normalize(spark, folder):
+    """All values of all vectors, projected to more than one digest's signs, at length one."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return _elements(gradient_scores.project_and_normalize(rows, 160, 3), "vector")
+
+
 @query
 def mllib_topic_classifier(spark, folder):
     labelled = (

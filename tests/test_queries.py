@@ -7,7 +7,7 @@ from compare import compare, connect
 
 SQL = {k: v for k, v in contract.oracle_sql().items() if k not in contract.LLM_SQL}
 QUERIES = {k: v for k, v in contract.queries().items() if k not in contract.LLM_QUERIES}
-MODEL_QUERIES = {"random_projection", "unigram_influence", "gradient_matching", "mllib_topic_classifier"}
+MODEL_QUERIES = {"mllib_topic_classifier"}
 
 
 @pytest.fixture(scope="module")
