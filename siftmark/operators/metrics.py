@@ -91,35 +91,34 @@ def macro_metrics(cells: DataFrame) -> DataFrame:
 def class_report(cells: DataFrame) -> DataFrame:
     """Class rows by falling support, then accuracy, macro and weighted means.
 
-    The accuracy row carries its single number in every column.
+    The accuracy row carries its single number in every column. All come from
+    one pass over the confusion cells: the classes, no more than these, are
+    gathered in one row.
     """
-    classes = per_class(cells)
     fields = ("precision", "recall", "f1")
-    weighted = [_ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in fields]
-    total = F.sum("support").cast("double").alias("support")
-    number = F.col("accuracy")
-    body = classes.select(
-        F.row_number().over(Window.orderBy(F.desc("support"), "class")).alias("place"),
-        F.col("class").cast("string").alias("name"),
-        *fields,
-        F.col("support").cast("double").alias("support"),
+    support = F.col("support").cast("double")
+    one = per_class(cells).agg(
+        F.array_sort(F.collect_list(F.struct(-support, "class", *fields, support.alias("support")))).alias("rows"),
+        F.sum(support).alias("total"),
+        _ratio(F.sum(F.col("recall") * support), F.sum(support)).alias("accuracy"),
+        *[F.avg(c).alias(f"mean_{c}") for c in fields],
+        *[_ratio(F.sum(F.col(c) * support), F.sum(support)).alias(f"weighted_{c}") for c in fields],
     )
-    tail = [
-        _accuracy(cells).select(
-            F.lit(1).alias("at"), F.lit("accuracy").alias("name"),
-            *[number.alias(c) for c in fields], number.alias("support"),
-        ),
-        classes.agg(*[F.avg(c).alias(c) for c in fields], total).select(
-            F.lit(2).alias("at"), F.lit("macro avg").alias("name"), *fields, "support"
-        ),
-        classes.agg(*weighted, total).select(
-            F.lit(3).alias("at"), F.lit("weighted avg").alias("name"), *fields, "support"
-        ),
-    ]
-    summary = tail[0].unionByName(tail[1]).unionByName(tail[2])
-    size = classes.agg(F.count("*").cast("int").alias("k"))
-    placed = summary.withColumn("place", size.scalar() + F.col("at")).drop("at")
-    return body.unionByName(placed)
+
+    def row(place: Column, name: Column, values: list[Column], held: Column) -> Column:
+        named = [v.cast("double").alias(c) for c, v in zip(fields, values)]
+        return F.struct(place.cast("int").alias("place"), name.alias("name"), *named, held.alias("support"))
+
+    body = F.transform(
+        "rows", lambda x, i: row(i + 1, x["class"].cast("string"), [x[c] for c in fields], x["support"])
+    )
+    size, number = F.size("rows"), F.col("accuracy")
+    tail = F.array(
+        row(size + 1, F.lit("accuracy"), [number] * 3, number),
+        row(size + 2, F.lit("macro avg"), [F.col(f"mean_{c}") for c in fields], F.col("total")),
+        row(size + 3, F.lit("weighted avg"), [F.col(f"weighted_{c}") for c in fields], F.col("total")),
+    )
+    return one.select(F.inline(F.concat(body, tail)))
 
 
 def precision_counts(report: DataFrame, thresholds=THRESHOLDS) -> DataFrame:

@@ -46,21 +46,21 @@ def pack_tokens(df: DataFrame, id_col: str, tokens: str, chunk_size: int, filler
     chunk gathers at most ``chunk_size`` tokens, so no group is unbounded. The
     last chunk is filled up; with no tokens at all there is one filler chunk.
     """
-    # lengths are stored once, so tokens are made twice in all, and never sorted
-    lengths = materialize(df.select(id_col, F.size(tokens).cast("long").alias("_len")), "lengths")
-    starts = running_total(lengths, id_col, F.col("_len"), out="_start")
-    placed = df.select(id_col, tokens).join(starts, id_col).where(F.col("_len") > 0)
+    # tokens are made once and stored; their lengths are read back without them
+    stored = materialize(df.select(id_col, tokens, F.size(tokens).cast("long").alias("_len")), "tokens")
+    starts = running_total(stored.select(id_col, "_len"), id_col, F.col("_len"), out="_start")
+    placed = stored.select(id_col, tokens).join(starts, id_col).where(F.col("_len") > 0)
     end = F.col("_start") + F.col("_len")
-    cut = placed.withColumn(
-        "chunk_id",
-        F.explode(F.sequence(F.floor(F.col("_start") / chunk_size), F.floor((end - 1) / chunk_size))),
-    )
-    first = F.greatest(F.col("chunk_id") * chunk_size, F.col("_start"))
-    stop = F.least((F.col("chunk_id") + 1) * chunk_size, end)
-    piece = F.slice(
-        F.col(tokens), (first - F.col("_start")).cast("int") + 1, (stop - first).cast("int")
-    )
-    pieces = cut.select("chunk_id", first.alias("at"), piece.alias("part"))
+    chunks = F.sequence(F.floor(F.col("_start") / chunk_size), F.floor((end - 1) / chunk_size))
+
+    def piece(chunk: Column) -> Column:
+        first = F.greatest(chunk * chunk_size, F.col("_start"))
+        stop = F.least((chunk + 1) * chunk_size, end)
+        part = F.slice(F.col(tokens), (first - F.col("_start")).cast("int") + 1, (stop - first).cast("int"))
+        return F.struct(chunk.alias("chunk_id"), first.alias("at"), part.alias("part"))
+
+    # a row per piece that holds its slice only
+    pieces = placed.select(F.inline(F.transform(chunks, piece)))
     # chunk 0 exists even when there is nothing to pack
     opening = pieces.sparkSession.range(1).select(
         F.col("id").alias("chunk_id"),

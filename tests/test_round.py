@@ -75,7 +75,7 @@ def test_selected_lines_by_key(spark, tmp_path):
 
 @pytest.mark.parametrize("most", [0, 10**9])
 def test_packed_and_shuffled_selection_agree(spark, monkeypatch, most):
-    monkeypatch.setattr("siftmark.operators.selection.PACKED_KEYS", most)
+    monkeypatch.setattr("siftmark.operators.selection.PACKED_BYTES", most)
     source = spark.range(100_000).selectExpr(
         "concat('s', id % 2) subfolder", "concat('f', id % 3) file", "id line_no", "concat('x', id) line"
     )
