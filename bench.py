@@ -41,6 +41,24 @@ HEADLINE = (
 )
 
 
+#: The table that a query reads most of, where it is not the documents.
+READS = {
+    "influence_flatten": "events", "ewma_weights": "events", "collaborative_weights": "events",
+    "cluster_sample_by_size_events": "events", "class_report": "embeddings", "topk_accuracy": "embeddings",
+    "match_influence": "embeddings", "match_multi_ckpt": "embeddings", "gradient_matching": "embeddings",
+    "prompt_mask": "conversations",
+}
+
+
+def input_rows(spark, folder, names) -> dict[str, int]:
+    counts = {}
+    for name in names:
+        table = READS.get(name, "documents")
+        if table not in counts:
+            counts[table] = spark.read.parquet(f"{folder}/{table}.parquet").count()
+    return {name: counts[READS.get(name, "documents")] for name in names}
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
@@ -61,6 +79,9 @@ def main() -> None:
                 "queries": seconds,
                 "sf": os.path.basename(os.path.normpath(folder)).removeprefix("sf"),
                 "documents": documents,
+                "rows_per_sec": {
+                    name: round(rows / seconds[name]) for name, rows in input_rows(spark, folder, seconds).items()
+                },
                 "cores": os.environ.get("BENCH_CPUS", "8"),
             }
         )

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
 from siftmark.functions import text
-from siftmark.operators import clusters, scoring, selection, sequences, threshold, weights
+from siftmark.operators import clusters, metrics, providers, scoring, selection, sequences, weights
 from siftmark.operators.ordering import running_total
 from siftmark.plans import tables
 from siftmark.plans.queries import ladder, query, r6
 from siftmark.plans.selection_round import Round, flag_lines, run_round
 from siftmark.plans.tables import table
 from siftmark.session import shared_folder
-from siftmark.sources import corpus, evaluation, packed
+from siftmark.sources import corpus, evaluation, packed, predictions
 from siftmark.sources.lines import PARTS, numbered_lines, with_field, write_files
 from siftmark.sources.weight_files import load_weights, save_weights
 
@@ -197,6 +197,42 @@ def file_weights(spark, folder):
     return read.to_frame(spark).select("family", "key", "weight").unionByName(agents).withColumn("weight", r6("weight"))
 
 
+@query
+def predictions_written(spark, folder):
+    """Predictions as lines: read back, with the report written beside them."""
+    path = fresh(spark, "predictions")
+    rows = metrics.with_predictions(tables.predictions(spark, folder))
+    predictions.write_predictions(rows.withColumn("content", F.concat(F.lit("vector "), F.col("vec_id").cast("string"))), path)
+    report = predictions.read_report(spark, path)
+    count = predictions.read_predictions(spark, path).where(F.size("logits") == 64).groupBy(F.col("pred").cast("string").alias("name"))
+    counts = count.agg(F.count("content").alias("predicted"))
+    return report.join(counts, "name", "left").select(
+        "place", "name", *[r6(c).alias(c) for c in ("precision", "recall", "f1", "support")], "predicted"
+    )
+
+
+@query
+def losses_written(spark, folder):
+    path = fresh(spark, "losses")
+    words = F.size(text.words(F.col("text"))).cast("long")
+    predictions.write_losses(
+        table(spark, folder, "documents").select((F.col("n_chars") / 1000).alias("loss"), words.alias("num_tokens")), path
+    )
+    return predictions.read_loss_summary(spark, path).select("num_tokens", r6("loss").alias("loss"))
+
+
+@query
+def interrupted_provider(spark, folder):
+    """A provider that ran over some rows and then, again, over all: each row once."""
+    rows = tables.document_words(spark, folder).withColumn("tokens", providers.token_bucket(F.col("tokens"), 64))
+    path = fresh(spark, "provider")
+    held_out = providers.share_vector({i: 1 for i in range(64)}, 64)
+    model = providers.UnigramInfluence(held_out * 0.0, held_out)
+    providers.apply_and_store(rows.where("doc_id % 3 = 0"), "doc_id", "tokens", model, "influence", path)
+    done = providers.apply_and_store(rows, "doc_id", "tokens", model, "influence", path)
+    return done.select("doc_id", r6(F.get("influence", F.lit(0))).alias("influence"))
+
+
 @query
 def round_over_files(spark, folder):
     """A whole iteration over files; the lines that it selects."""

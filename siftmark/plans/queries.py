@@ -184,9 +184,13 @@ def topn_zero(spark, folder):
 
 @query
 def select_lines(spark, folder):
-    source = tables.source_lines(spark, folder)
-    flagged = threshold.flag_top_n(_scored(spark, folder), "score_1", _tenth(spark, folder))
-    meta = source.drop("line").join(flagged.select("doc_id", "selection"), "doc_id")
+    # scores and places are stored once, narrow: each has several readers
+    scored = materialize(_scored(spark, folder).select("doc_id", "score_1"), "scores")
+    flagged = threshold.flag_top_n(scored, "score_1", _tenth(spark, folder))
+    places = materialize(tables.source_lines(spark, folder).drop("line"), "places")
+    documents = table(spark, folder, "documents").select("doc_id", F.col("text").alias("line"))
+    source = places.join(documents, "doc_id")
+    meta = places.join(flagged.select("doc_id", "selection"), "doc_id")
     return selection.select_lines(source, meta).select("subfolder", "file", "line_no", "line")
 
 

@@ -14,6 +14,7 @@ from siftmark.operators.threshold import flag_from, reaching, top_n_threshold
 from siftmark.operators.weights import AgentWeights, UpdateRule, update_weights
 from siftmark.sources.corpus import missing_keys, parse_records, read_influences, read_records
 from siftmark.sources.lines import JSONL, numbered_lines, with_field, write_lines
+from siftmark.session import scratch
 from siftmark.sources.weight_files import load_weights, save_weights
 
 
@@ -63,8 +64,14 @@ def run_round(spark: SparkSession, job: Round) -> AgentWeights:
     """Weights, scores, flags and selected lines of one iteration, all written.
 
     When the lines to select are the scored ones, they are read back by score;
-    only another ``source`` folder needs the join.
+    only another ``source`` folder needs the join. Tables stored on the way are
+    deleted in the end.
     """
+    with scratch(spark):
+        return _run_round(spark, job)
+
+
+def _run_round(spark: SparkSession, job: Round) -> AgentWeights:
     weights = move_weights(spark, job)
     write_scores(spark, job, weights)
     scored = spark.read.parquet(job.folder("scored"))

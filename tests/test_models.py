@@ -1,83 +1,16 @@
-"""Tokenizers, the topic classifier and weights that follow a stream."""
+"""The topic classifier and weights that follow a stream."""
 
 import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from siftmark.functions import tokenizers
 from siftmark.operators import classifier
 from siftmark.operators.weights import AgentWeights, update_weights
 from siftmark.sources.weight_files import load_weights
 from siftmark.streaming.weight_rounds import follow_influences
 
 
-@pytest.fixture()
-def word_folder(tmp_path):
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    vocabulary = {"<s>": 0, "</s>": 1, "[UNK]": 2, "a": 3, "b": 4, "c": 5}
-    tokenizer = Tokenizer(models.WordLevel(vocabulary, unk_token="[UNK]"))
-    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
-    folder = tmp_path / "words"
-    folder.mkdir()
-    tokenizer.save(str(folder / "tokenizer.json"))
-    return folder
-
-
-def ids(spark, folder, rows=("a b zz", "c", None), **kwargs):
-    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
-    encode = tokenizers.token_ids(str(folder), **kwargs)
-    return [r[0] for r in frame.orderBy("i").select(encode("t")).collect()]
-
-
-def test_vocabulary_file_with_special_tokens(spark, word_folder):
-    assert ids(spark, word_folder) == [[3, 4, 2], [5], None]
-    with pytest.raises(Exception, match="begin"):
-        ids(spark, word_folder, bos=True)
-
-
-def test_special_tokens_come_from_the_configuration(spark, word_folder):
-    (word_folder / "tokenizer_config.json").write_text(
-        json.dumps({"bos_token": "<s>", "tokenizer_class": "LlamaTokenizer"})
-    )
-    (word_folder / "generation_config.json").write_text(json.dumps({"eos_token_id": 1, "bos_token_id": 9}))
-    assert ids(spark, word_folder, eos=True) == [[0, 3, 4, 2, 1], [0, 5, 1], None]
-    assert ids(spark, word_folder, bos=False, max_length=2) == [[3, 4], [5], None]
-    decode = tokenizers.token_text(str(word_folder))
-    assert spark.range(1).select(decode(F.array(F.lit(3), F.lit(4)))).first()[0] == "a b"
-
-
-def test_begin_token_rules():
-    assert not tokenizers.wants_bos({})
-    assert tokenizers.wants_bos({"add_bos_token": True})
-    assert tokenizers.wants_bos({"add_prefix_space": True, "add_bos_token": False})
-    assert tokenizers.wants_bos({"tokenizer_class": "LlamaTokenizer"})
-    assert not tokenizers.wants_bos({"tokenizer_class": "LlamaTokenizer", "add_bos_token": False})
-
-
-def test_pieces_are_preferred_over_the_vocabulary(spark, word_folder, tmp_path):
-    import sentencepiece
-
-    words = tmp_path / "text.txt"
-    words.write_text("\n".join("some words are here and there again" for _ in range(50)))
-    sentencepiece.SentencePieceTrainer.train(
-        input=str(words), model_prefix=str(word_folder / "tokenizer"), vocab_size=30, hard_vocab_limit=False, minloglevel=2
-    )
-    got = ids(spark, word_folder, rows=("some words",))[0]
-    assert got and got != [2, 2]
-    assert 10 < tokenizers.load(str(word_folder))[5] <= 30
-    decode = tokenizers.token_text(str(word_folder))
-    arrays = F.array(*[F.lit(i) for i in got])
-    assert spark.range(1).select(decode(arrays)).first()[0] == "some words"
-
-
-def test_missing_tokenizer(tmp_path):
-    with pytest.raises(FileNotFoundError):
-        tokenizers.load(str(tmp_path))
-
-
 def test_classifier_learns_separable_topics(spark):
     draw = random.Random(1)
     vocabulary = {0: "sun moon star".split(), 1: "goal ball team".split(), 2: "flour salt oven".split()}
