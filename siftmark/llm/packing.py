@@ -118,11 +118,9 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def coded(rows: list, words: list[list[bytes]], kind: pa.DataType) -> pa.RecordBatch:
-        ids = kept_in(shared.value)
-        ids.learn(set().union(*words))
         out: list[list] = [[], [], [], [], []]
-        for row, own in zip(rows, words):
-            content = b"".join([ids.known[w] for w in own]) + end
+        for row, content in zip(rows, kept_in(shared.value).ids(words)):
+            content += end
             for piece, at in enumerate(range(0, len(content), step)):
                 part = content[at : at + step]
                 for column, value in zip(out, (row, piece, at // 4, len(part) // 4, part)):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
-from itertools import islice
-from struct import pack
+from collections.abc import Iterable
+from itertools import compress, count, filterfalse, islice
+from operator import not_
+from struct import Struct
 from unicodedata import is_normalized
 
 from tokenizers import Tokenizer
@@ -19,9 +21,13 @@ _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SIGNS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - set(_PLAIN)))}
 
 
+_PACKERS = [Struct(f"<{n}I").pack for n in range(64)]
+
+
 def numbers(ids: list[int]) -> bytes:
     """As little-endian 32-bit numbers."""
-    return pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return _PACKERS[n](*ids) if n < len(_PACKERS) else Struct(f"<{n}I").pack(*ids)
 
 
 class WordIds:
@@ -49,19 +55,32 @@ class WordIds:
         lowered = content.lower()
         return (content if any(m in lowered for m in self.marks) else lowered).split()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Afterwards ``known`` has all ``words``."""
+    def ids(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of each text's words, one after another."""
+        found = [list(map(self.known.get, words)) for words in texts]
+        self.learn(compress(words, map(not_, own)) for words, own in zip(texts, found))
+        for words, own in zip(texts, found):
+            for at in list(compress(count(), map(not_, own))):
+                own[at] = self.known[words[at]]
+        return list(map(b"".join, found))
+
+    def learn(self, texts: Iterable[Iterable[bytes]]) -> None:
+        """Afterwards ``known`` has all words of the texts."""
+        fresh: set[bytes] = set()
+        for words in texts:
+            fresh.update(words)
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         known = self.known
+        fresh = set(filterfalse(known.__contains__, fresh))
         whole, cut = set(), []
-        for word in words:
-            if word not in known:
+        for word in fresh:
+            if word[-1] in ENDINGS:
                 stem = word.rstrip(ENDINGS)
-                if stem == word or not stem[-1:].isalnum():
-                    whole.add(word)
-                else:
+                if stem[-1:].isalnum():
                     cut.append((word, stem, word[len(stem) :]))
+                    continue
+            whole.add(word)
         whole.update(stem for _, stem, _ in cut if stem not in known)
         whole.update(end for end in {end for _, _, end in cut} if end not in known)
         self._tokenize(whole)
@@ -74,12 +93,10 @@ class WordIds:
         known, tokenize = self.known, self.model.tokenize
         others = []
         for word in words:
-            if word.isalpha():  # of bytes: ASCII letters, which byte-level models write as themselves
-                text = word.decode()
-                if text.islower():
-                    known[word] = numbers([t.id for t in tokenize(text)])
-                    continue
             text = word.decode()
+            if word.isalpha() and word.islower():  # of bytes: ASCII letters, which such models write as themselves
+                known[word] = numbers([t.id for t in tokenize(text)])
+                continue
             if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
                 known[word] = numbers([t.id for t in tokenize(word.decode("latin-1").translate(SIGNS))])
             else:
