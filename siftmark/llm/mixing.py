@@ -20,7 +20,7 @@ POINTS, GOLDEN = 2**31, 1_327_217_885
 #: The line of points is cut into so many cells to look up the source of a point.
 CELLS = 4096
 #: Slots are counted, and documents lined up, in stretches of about so many.
-STRETCH = 4096
+STRETCH = 1024
 #: Slots beyond the exact number, so that each source reaches its target.
 SPARE = 1.02
 
