@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import siftmark
 from siftmark.llm import common, exact_dedup, mixing, packing, quality_rules, queries, simhash
-from siftmark.session import materialize
+from siftmark.session import materialize, scratch, shared_folder
 
 # Python workers need not find the package themselves
 cloudpickle.register_pickle_by_value(siftmark)
@@ -112,8 +113,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, over the documents of ``sf_dir``."""
+    """All stages, one after another, over the documents of ``sf_dir``.
+
+    Each result is written to the shared folder and read again; what a stage
+    stores on its way is deleted once its result is there.
+    """
     docs = queries.documents(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{number}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
     return docs
