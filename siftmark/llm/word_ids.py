@@ -21,15 +21,6 @@ _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SIGNS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - set(_PLAIN)))}
 
 
-_PACKERS = [Struct(f"<{n}I").pack for n in range(64)]
-
-
-def numbers(ids: list[int]) -> bytes:
-    """As little-endian 32-bit numbers."""
-    n = len(ids)
-    return _PACKERS[n](*ids) if n < len(_PACKERS) else Struct(f"<{n}I").pack(*ids)
-
-
 class WordIds:
     """Ids of words as little-endian 32-bit numbers, each word tokenized once.
 
@@ -46,8 +37,14 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(self.json)
         self.model = self.tokenizer.model
+        self.packers = [Struct(f"<{n}I").pack for n in range(64)]
         self.marks = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def numbers(self, ids: list[int]) -> bytes:
+        """As little-endian 32-bit numbers."""
+        n = len(ids)
+        return self.packers[n](*ids) if n < len(self.packers) else Struct(f"<{n}I").pack(*ids)
+
     def words(self, content: bytes) -> list[bytes]:
         """The words of a text, lowered unless one of the tokenizer's marks is then in it."""
         if self.tokenizer is None:
@@ -90,7 +87,7 @@ class WordIds:
     def _tokenize(self, words: set[bytes]) -> None:
         """Words that are one run of lower letters go to the model as they are; the others
         go through the whole tokenizer."""
-        known, tokenize = self.known, self.model.tokenize
+        known, tokenize, numbers = self.known, self.model.tokenize, self.numbers
         others = []
         for word in words:
             text = word.decode()
