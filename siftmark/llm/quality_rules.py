@@ -101,18 +101,18 @@ def tail(k: int, n: int, risk: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def choose(good: list[int], bad: list[int], n_good: int, risk: float, level: float) -> int | None:
-    """The place of the certified cutoff with the best balance of rejected bad and
-    good documents, the loosest such; None if no cutoff gains anything.
+def choose(good: list[int], gains: list[int], n_good: int, risk: float, level: float) -> int | None:
+    """The place of the certified cutoff with the largest gain, the loosest such; None
+    if no cutoff gains anything.
 
-    ``good`` and ``bad`` count labelled documents above each cutoff, loosest first.
+    ``good`` counts good documents above each cutoff, loosest first.
     """
     best, place = 0, None
-    for i, (g, b) in enumerate(zip(good, bad)):
+    for i, (g, gain) in enumerate(zip(good, gains)):
         if g > risk * n_good or tail(g, n_good, risk) > level:
             break
-        if b - GOOD_WEIGHT * g > best:
-            best, place = b - GOOD_WEIGHT * g, i
+        if gain > best:
+            best, place = gain, i
     return place
 
 
@@ -129,21 +129,18 @@ def certified_cutoffs(
     ``labels`` has (id, quality); of several labels of an id the lowest counts,
     null ones do not. Documents that fail the base rules are left out on both
     sides, for they are rejected anyway. All labelled rows count. ``risk`` is
-    shared out among the rules. What is gathered for a stratum is one row for
-    each rule, number of cutoffs passed, and label.
+    shared out among the rules. The rules are fitted in order: what a rule gains
+    is the bad documents that no earlier one rejects, less ``GOOD_WEIGHT`` times
+    such good ones; so a rule that adds nothing stays off. What is gathered for
+    a stratum is a row for each combination of cutoffs passed, and label.
     """
     marks = labels.where(F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     rows = measured.where("NOT base_failed").join(marks, id_col)
     above = [
-        F.struct(F.lit(name).alias("rule"), sum((F.expr(value) > c).cast("int") for c in cutoffs).alias("above"))
-        for name, (value, cutoffs) in RULES.items()
+        sum((F.expr(value) > c).cast("int") for c in cutoffs).alias(name) for name, (value, cutoffs) in RULES.items()
     ]
-    table = (
-        rows.select(stratum, (F.col("quality") >= 1).alias("good"), F.explode(F.array(*above)).alias("x"))
-        .select(stratum, "good", "x.*")
-        .groupBy(stratum, "good", "rule", "above")
-        .count()
-    )
+    table = rows.select(stratum, (F.col("quality") >= 1).alias("good"), *above)
+    table = table.groupBy(stratum, "good", *RULES).count()
     table = materialize(table, "rule-counts")
     strata = table.select(stratum).distinct().count()
     level = delta / max(1, strata * len(RULES))
@@ -151,18 +148,20 @@ def certified_cutoffs(
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = {stratum: key[0]}
+        good, count = frame["good"].to_numpy(bool), frame["count"].to_numpy()
+        left = np.ones(len(frame), bool)
+        n_good = int(count[good].sum())
         for name, (_, cutoffs) in RULES.items():
-            own = frame[frame["rule"] == name]
-            counts = {
-                g: [  # who is above the i-th is above all stricter ones
-                    int(own[(own["good"] == g) & (own["above"] >= len(cutoffs) - i)]["count"].sum())
-                    for i in range(len(cutoffs))
-                ]
-                for g in (True, False)
-            }
-            n_good = int(own[own["good"]]["count"].sum())
-            place = choose(counts[True], counts[False], n_good, each, level) if n_good else None
+            # who is above the i-th cutoff is above all stricter ones
+            over = [frame[name].to_numpy() >= len(cutoffs) - i for i in range(len(cutoffs))]
+            rejected = [int(count[good & x].sum()) for x in over]
+            gains = [
+                int(count[~good & left & x].sum()) - GOOD_WEIGHT * int(count[good & left & x].sum()) for x in over
+            ]
+            place = choose(rejected, gains, n_good, each, level) if n_good else None
             out[name] = None if place is None else cutoffs[place]
+            if place is not None:
+                left &= ~over[place]
         return pd.DataFrame([out], columns=[stratum, *RULES])
 
     schema = f"`{stratum}` string, " + ", ".join(f"{r} double" for r in RULES)

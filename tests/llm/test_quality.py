@@ -48,7 +48,7 @@ def test_cutoffs_are_tried_from_the_loosest_until_one_fails():
     assert choose([0, 0, 0, 400], [0, 9, 9, 50], 4000, 0.01, 0.001) == 1
     assert choose([0, 0], [0, 0], 4000, 0.01, 0.001) is None  # gains nothing
     assert choose([0, 0], [5, 9], 30, 0.01, 0.001) is None  # too few to certify
-    assert choose([0, 1], [5, 24], 4000, 0.01, 0.001) == 0  # one good document outweighs 19 bad ones
+    assert choose([0, 1], [5, 4], 4000, 0.01, 0.001) == 0
     assert choose([400, 400], [900, 900], 4000, 0.01, 0.001) is None
 
 
@@ -106,6 +106,15 @@ def test_rules_reject_bad_and_keep_good(spark, sample):
     assert all(kept[i] for i, good, _ in marks if good)
 
 
+def test_a_rule_that_adds_nothing_stays_off(spark, sample):
+    docs, labels, _ = sample
+    measured = quality_rules.text_measures(docs)
+    rows = quality_rules.certified_cutoffs(measured, labels, risk=0.05).collect()
+    assert {r.lang for r in rows} == {"en", "de"}
+    for r in rows:  # symbols tell the bad ones, whose words are longer too
+        assert r.symbols is not None and r.long_words is None and r.short_words is None
+
+
 def test_toxicity_on_held_out_rows(spark, sample):
     docs, labels, marks = sample
     found = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
