@@ -13,14 +13,24 @@ from tokenizers import Tokenizer
 
 #: So many words are remembered; beyond, the later half is forgotten.
 REMEMBERED = 1_000_000
-#: Endings that a tokenizer of this kind takes as a run of their own behind a letter.
-ENDINGS = b".,;:!?|"
+#: Endings that a tokenizer of this kind takes as a run of their own behind a letter or
+#: digit: ASCII signs, but for the apostrophe of contractions and the end of a mark.
+ENDINGS = b"!\"#$%&()*+,-./:;<=?@[\\]^_`{|}~"
 
 #: Bytes that byte-level models write as themselves; the others follow from code point 256 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SIGNS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - set(_PLAIN)))}
 
 
+def ends_in_letter(stem: bytes) -> bool:
+    """Whether a word ends in a lower letter, beyond ASCII, of the scripts on whose
+    letters all versions of Unicode agree."""
+    if stem[-1:] < b"\x80":
+        return False
+    last = stem[-4:].decode(errors="ignore")[-1:]
+    return last < "\u0500" and last.isalpha() and last == last.lower()
+
+
 class WordIds:
     """Ids of words as little-endian 32-bit numbers, each word tokenized once.
 
@@ -74,7 +84,7 @@ class WordIds:
         for word in fresh:
             if word[-1] in ENDINGS:
                 stem = word.rstrip(ENDINGS)
-                if stem[-1:].isalnum():
+                if stem[-1:].isalnum() or ends_in_letter(stem):
                     cut.append((word, stem, word[len(stem) :]))
                     continue
             whole.add(word)

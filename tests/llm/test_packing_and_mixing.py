@@ -16,6 +16,7 @@ from siftmark.llm.word_ids import WordIds
 
 JSON = queries.tokenizer_json()
 ALPHABET = [
+    "%%%", "#", "(", ")", "@x.", "-", "é.", "ó,", "ж!", "<|", ">", "İ.",
     "the", "The", "É", "é", "é", "́", ".", ",", "…", "'s", "'S", "don't", "12", "<|endoftext|>", "<|ENDOFTEXT|>",
     "|>", " ", "  ", "\n", " ", "　", "İ", "ß", "K", "你好", "。", "😀", "_", "ſ", "ﬁ", "x!?|", "\t", "Σ", "ς", "\x1c",
 ]
