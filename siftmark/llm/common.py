@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,10 +13,11 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 of every text, null as empty. ``bytes.split()`` and ``bytes.lower()``
-    know ASCII only, so they give exactly the words of ``WORD``."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+def text_bytes(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 of every text, one at a time, null as empty. ``bytes.split()`` and
+    ``bytes.lower()`` know ASCII only, so they give exactly the words of ``WORD``."""
+    for value in column.cast(pa.large_binary()):
+        yield value.as_py() or b""
 
 
 def plain_text(name: str = "text") -> Column:
