@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
+from siftmark.functions.text import file_name, folder_name
 from siftmark.operators.scoring import score_records
 from siftmark.operators.selection import LINE_KEY, lines_of, output_name
 from siftmark.operators.threshold import flag_from, reaching, top_n_threshold
 from siftmark.operators.weights import AgentWeights, UpdateRule, update_weights
 from siftmark.sources.corpus import missing_keys, parse_records, read_influences, read_records
-from siftmark.sources.lines import JSONL, numbered_lines, with_field, write_lines
+from siftmark.sources.lines import JSONL, numbered_lines, scan_lines, with_field, write_lines
 from siftmark.session import scratch
 from siftmark.sources.weight_files import load_weights, save_weights
 
@@ -52,8 +53,24 @@ def move_weights(spark: SparkSession, job: Round) -> AgentWeights:
 
 
 def write_scores(spark: SparkSession, job: Round, weights: AgentWeights) -> None:
-    """The scored corpus lines as parquet: later passes read the score column alone."""
-    records = read_records(spark, job.corpus, job.pattern != JSONL, job.pattern)
+    """The scored corpus lines as parquet: later passes read the score column alone.
+
+    Lines are only numbered, which reads the corpus a second time, where the
+    numbers are needed to find lines in another folder; else they are null.
+    """
+    nested = job.pattern != JSONL
+    if job.source is not None:
+        records = read_records(spark, job.corpus, nested, job.pattern)
+    else:
+        lines = scan_lines(spark, job.corpus, nested, job.pattern)
+        records = parse_records(
+            lines.select(
+                folder_name(F.col("path")).alias("subfolder"),
+                file_name(F.col("path")).alias("file"),
+                F.lit(None).cast("long").alias("line_no"),
+                "line",
+            )
+        )
     scored = score_records(records, weights, job.iteration)
     scored.select(*LINE_KEY, F.col(f"score_{job.iteration}").alias("score"), "line").write.mode(
         "overwrite"
@@ -64,7 +81,8 @@ def run_round(spark: SparkSession, job: Round) -> AgentWeights:
     """Weights, scores, flags and selected lines of one iteration, all written.
 
     When the lines to select are the scored ones, they are read back by score;
-    only another ``source`` folder needs the join. Tables stored on the way are
+    only another ``source`` folder needs the join. The flags by line number are
+    then written too, and can be joined to that folder again. Tables stored on the way are
     deleted in the end.
     """
     with scratch(spark):
@@ -86,6 +104,7 @@ def _run_round(spark: SparkSession, job: Round) -> AgentWeights:
     )
     chosen = reaching(scored, "score", limit)
     if job.source is not None:
+        flagged.select(*LINE_KEY, "selection").write.mode("overwrite").parquet(job.folder("flags"))
         chosen = lines_of(numbered_lines(spark, job.source, pattern=job.pattern), chosen)
     chosen = chosen.withColumn("part", output_name(F.col("subfolder"), F.col("file")))
     write_lines(chosen, "line", job.folder("selected"), ["part"])

@@ -185,6 +185,7 @@ def test_two_rounds_over_files(spark, tmp_path, small_splits):
                 traits += FLAWED.values()
             write(f"{tmp_path}/corpus/{sub}/{name}.jsonl", lines)
             corpus.update({(sub, name, i): line for i, line in enumerate(lines)})
+            write(f"{tmp_path}/source/{sub}/{name}.jsonl", [f"source line {(sub, name, i)}" for i in range(len(lines))])
             known.update({(sub, name, i): t for i, t in enumerate(traits)})
 
     weights = ({k: 10.0 for k in ORDER}, [1 / 3] * 3)
@@ -194,6 +195,7 @@ def test_two_rounds_over_files(spark, tmp_path, small_splits):
         job = Round(
             influence=f"{tmp_path}/inf{iteration}",
             corpus=f"{tmp_path}/corpus",
+            source=f"{tmp_path}/source" if iteration == 2 else None,
             output=f"{tmp_path}/out",
             iteration=iteration,
             top_n=40,
@@ -205,12 +207,23 @@ def test_two_rounds_over_files(spark, tmp_path, small_splits):
         scores = {k: worth(t, *weights) for k, t in known.items()}
         scored = {k: s for k, s in scores.items() if s is not None}
         rows = spark.read.parquet(job.folder("scored")).collect()
-        assert {(r.subfolder, r.file[:-6], r.line_no) for r in rows} == set(scored)
-        for r in rows:
-            assert math.isclose(r.score, scored[r.subfolder, r.file[:-6], r.line_no], rel_tol=1e-12)
-            assert r.line == corpus[r.subfolder, r.file[:-6], r.line_no]
+        assert len(rows) == len(scored)
+        if iteration == 2:
+            assert {(r.subfolder, r.file[:-6], r.line_no) for r in rows} == set(scored)
+            for r in rows:
+                assert math.isclose(r.score, scored[r.subfolder, r.file[:-6], r.line_no], rel_tol=1e-12)
+                assert r.line == corpus[r.subfolder, r.file[:-6], r.line_no]
+        else:  # without a separate source no line is numbered
+            assert {r.line_no for r in rows} == {None}
+            got = sorted((r.subfolder, r.file[:-6], r.line, round(r.score, 9)) for r in rows)
+            assert got == sorted((*k[:2], corpus[k], round(s, 9)) for k, s in scored.items())
         limit = sorted(scored.values(), reverse=True)[39]
-        expected = sorted(corpus[k] for k, s in scored.items() if s >= limit * (1 - 1e-12))
+        lines = {k: f"source line {k}" for k in corpus} if iteration == 2 else corpus
+        expected = sorted(lines[k] for k, s in scored.items() if s >= limit * (1 - 1e-12))
+        if iteration == 2:
+            flags = spark.read.parquet(job.folder("flags"))
+            again = select_lines(numbered_lines(spark, job.source), flags)
+            assert sorted(r.line for r in again.collect()) == expected
         chosen = spark.read.option("recursiveFileLookup", True).text(job.folder("selected"))
         assert sorted(r.value for r in chosen.collect()) == expected
         processed = spark.read.option("recursiveFileLookup", True).text(job.folder("processed"))
