@@ -50,3 +50,29 @@ def test_no_pairwise_join(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def final_plan(df):
+    """The plan that ran, without the one it began with."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize("name,shuffles", [("score_documents", 0), ("score_drop_rules", 0), ("match_influence", 0), ("class_report", 3)])
+def test_shuffles_of_the_plan_that_ran(spark, folder, name, shuffles):
+    plan = final_plan(QUERIES[name](spark, folder))
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= shuffles
+
+
+def test_a_line_is_parsed_once(spark, folder):
+    from siftmark.operators.scoring import score_records
+    from siftmark.plans.queries import ladder
+    from siftmark.plans.tables import raw_lines
+    from siftmark.sources.corpus import parse_records
+
+    plan = final_plan(score_records(parse_records(raw_lines(spark, folder)), ladder()))
+    assert plan.count("from_json(") == 1
+
+
+def test_class_report_reads_its_table_once(spark, folder):
+    assert final_plan(QUERIES["class_report"](spark, folder)).count("FileScan") == 1
