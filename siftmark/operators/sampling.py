@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftmark import fixed_values as fixed
 from siftmark.functions.chance import choose, uniform
 from siftmark.operators.ordering import running_total
-from siftmark.operators.threshold import top_n_threshold
+from siftmark.operators.threshold import top_n_place
 
 
 def take_random(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
@@ -20,12 +20,12 @@ def take_random(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     if n <= 0:
         return df.where(F.lit(False))
     negated = drawn.select((-F.col("_u")).alias("_d"))
-    limit = top_n_threshold(negated, "_d", n)
-    if limit is None:
+    found = top_n_place(negated, "_d", n)
+    if found is None:
         return df
+    limit, missing = found
     last = F.lit(-limit)
     below = drawn.where(F.col("_u") < last)
-    missing = n - below.count()
     at_limit = (
         drawn.where(F.col("_u") == last)  # equal 52-bit draws: a handful of rows at most
         .withColumn("_r", F.row_number().over(Window.orderBy(id_col)))

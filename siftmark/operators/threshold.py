@@ -48,20 +48,27 @@ def top_n_threshold(df: DataFrame, score: str, n: int) -> float | None:
     Null and NaN scores are never selected; no rows, or an ``n`` below one,
     give ``None``, which no score reaches.
     """
+    found = top_n_place(df, score, n)
+    return found and found[0]
+
+
+def top_n_place(df: DataFrame, score: str, n: int) -> tuple[float, int] | None:
+    """The threshold of :func:`top_n_threshold`, and how many of the rows that tie on it
+    belong to the best ``n``."""
     if n < 1:
         return None
-    value = F.col("score")
+    value = F.col(score)
     scores = df.select(F.col(score).cast("double").alias("score")).where(
         value.isNotNull() & ~F.isnan(value)
     )
     row = _narrow(scores, LOG_CELL, n)
-    if row.found is None:
-        return row.smallest
+    if row.found is None:  # fewer rows: all of them, ties on the last one included
+        return None if row.smallest is None else (row.smallest, n)
     found = row.found
     while found.low < found.high:
         inside = scores.where(value.between(found.low, found.high))
         found = _narrow(inside, _linear_cell(found.low, found.high), found.need).found
-    return found.low
+    return found.low, found.need
 
 
 def flag_from(score: Column, threshold: float | None) -> Column:

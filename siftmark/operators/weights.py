@@ -91,10 +91,10 @@ def flatten_influence(lines: DataFrame) -> DataFrame:
     kept = lines.where(F.col("influence").isNotNull()).select(
         "family", "key", "line_no", "influence"
     )
-    placed = running_total(
-        kept, "line_no", F.size("influence"), groups=("family", "key"), out="start"
-    )
-    return placed.select(
+    # only lengths are ordered and totalled; the lists move once, to meet their starts
+    lengths = kept.select("family", "key", "line_no", F.size("influence").alias("_n"))
+    starts = running_total(lengths, "line_no", F.col("_n"), groups=("family", "key"), out="start").drop("_n")
+    return kept.join(starts, ["family", "key", "line_no"]).select(
         "family", "key", "start", F.posexplode("influence").alias("at", "loss")
     ).select("family", "key", (F.col("start") + F.col("at")).alias("position"), "loss")
 
