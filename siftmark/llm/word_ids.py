@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
-from itertools import compress, count, filterfalse, islice
+from itertools import compress, count, islice
 from operator import not_
 from struct import Struct
 from unicodedata import is_normalized
@@ -13,6 +12,8 @@ from tokenizers import Tokenizer
 
 #: So many words are remembered; beyond, the later half is forgotten.
 REMEMBERED = 500_000
+#: A byte for each of so many places tells which words have come before.
+SEEN = 1 << 22
 #: Endings that a tokenizer of this kind takes as a run of their own behind a letter or
 #: digit: ASCII signs, but for the apostrophe of contractions and the end of a mark.
 ENDINGS = b"!\"#$%&()*+,-./:;<=?@[\\]^_`{|}~"
@@ -42,6 +43,7 @@ class WordIds:
     def __init__(self, tokenizer_json: str):
         self.json, self.tokenizer = tokenizer_json, None
         self.known: dict[bytes, bytes] = {}
+        self.seen = bytearray(SEEN)
 
     def _open(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,51 +67,65 @@ class WordIds:
     def ids(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of each text's words, one after another."""
         found = [list(map(self.known.get, words)) for words in texts]
-        self.learn(compress(words, map(not_, own)) for words, own in zip(texts, found))
+        fresh: set[bytes] = set()
+        for words, own in zip(texts, found):
+            fresh.update(compress(words, map(not_, own)))
+        new = self._coded(fresh)
         for words, own in zip(texts, found):
             for at in list(compress(count(), map(not_, own))):
-                own[at] = self.known[words[at]]
+                own[at] = new[words[at]]
+        self._remember(new)
         return list(map(b"".join, found))
 
-    def learn(self, texts: Iterable[Iterable[bytes]]) -> None:
-        """Afterwards ``known`` has all words of the texts."""
-        fresh: set[bytes] = set()
-        for words in texts:
-            fresh.update(words)
+    def _remember(self, new: dict[bytes, bytes]) -> None:
+        """Most words come once and never again: one is remembered when it comes anew
+        the second time. (Words that share a place may be taken for each other here.)"""
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        known = self.known
-        fresh = set(filterfalse(known.__contains__, fresh))
-        whole, cut = set(), []
+            self.seen = bytearray(SEEN)
+        known, seen = self.known, self.seen
+        for word, ids in new.items():
+            place = hash(word) & SEEN - 1
+            if seen[place]:
+                known[word] = ids
+            else:
+                seen[place] = 1
+
+    def _coded(self, fresh: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not remembered, and of the parts they were cut into."""
+        known, new, cut = self.known, {}, []
         for word in fresh:
             if word[-1] in ENDINGS:
                 stem = word.rstrip(ENDINGS)
                 if stem[-1:].isalnum() or ends_in_letter(stem):
                     cut.append((word, stem, word[len(stem) :]))
                     continue
-            whole.add(word)
-        whole.update(stem for _, stem, _ in cut if stem not in known)
-        whole.update(end for end in {end for _, _, end in cut} if end not in known)
-        self._tokenize(whole)
+            new[word] = b""
+        for _, stem, end in cut:
+            for part in (stem, end):
+                new[part] = known.get(part, b"")
+        self._tokenize(new)
         for word, stem, end in cut:
-            known[word] = known[stem] + known[end]
+            new[word] = new[stem] + new[end]
+        return new
 
-    def _tokenize(self, words: set[bytes]) -> None:
-        """Words that are one run of lower letters go to the model as they are; the others
-        go through the whole tokenizer."""
-        known, tokenize, numbers = self.known, self.model.tokenize, self.numbers
+    def _tokenize(self, new: dict[bytes, bytes]) -> None:
+        """Sets ids where there are none. Words that are one run of lower letters go to the
+        model as they are; the others go through the whole tokenizer."""
+        tokenize, numbers = self.model.tokenize, self.numbers
         others = []
-        for word in words:
+        for word, ids in new.items():
+            if ids:
+                continue
             text = word.decode()
             if word.isalpha() and word.islower():  # of bytes: ASCII letters, which such models write as themselves
-                known[word] = numbers([t.id for t in tokenize(text)])
-                continue
-            if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
-                known[word] = numbers([t.id for t in tokenize(word.decode("latin-1").translate(SIGNS))])
+                new[word] = numbers([t.id for t in tokenize(text)])
+            elif text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+                new[word] = numbers([t.id for t in tokenize(word.decode("latin-1").translate(SIGNS))])
             else:
                 others.append((word, text))
         coded = self.tokenizer.encode_batch([t for _, t in others], add_special_tokens=False)
-        known.update((w, numbers(c.ids)) for (w, _), c in zip(others, coded))
+        new.update((w, numbers(c.ids)) for (w, _), c in zip(others, coded))
 
 
 def kept_in(holder: dict) -> WordIds:
