@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
 The mix is a row of slots. Slot k has the point k * golden ratio mod 1, and the
-source in whose share of [0, 1) the point falls; however long a stretch of slots
-one looks at, each source has close to its share of it. The r-th slot of a source
+source in whose share of [0, 1) the point falls. Shares are dealt by whole blocks
+of the targets and some to spare; however long a stretch of slots one looks at,
+each source has close to its share of it. The r-th slot of a source
 takes the r-th block of the source's words: its documents in shuffled order, end
 to end, twice over, cut into blocks of equally many words.
 """
@@ -21,8 +22,8 @@ POINTS, GOLDEN = 2**31, 1_327_217_885
 CELLS = 4096
 #: Slots are counted, and documents lined up, in stretches of about so many.
 STRETCH = 1024
-#: Slots beyond the exact number, so that each source reaches its target.
-SPARE = 1.02
+#: Slots beyond the exact number, so that each source reaches its target: 2%, or so many if more.
+SPARE, LEAST_SPARE = 1.02, 8
 
 
 def source_key(name: str) -> Column:
@@ -65,26 +66,43 @@ def source_targets(
     return rows.withColumn("target", target).select("source", "source_size", "target")
 
 
-def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """(slot, source, rank): the source of each slot and its rank among the source's slots."""
-    spark = targets.sparkSession
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
-    slots = int(total / block * SPARE) + 64 if total else 0
+def _line(needs: DataFrame, spare: int) -> DataFrame:
+    """(slot, source, _stretch): the line of slots, with ``spare`` slots a source beyond its need, or 2% if more."""
+    share = F.when(F.col("_need") > 0, F.greatest(F.ceil(F.col("_need") * SPARE), F.col("_need") + spare)).otherwise(0)
+    dealt = needs.select("source", share.cast("long").alias("_share"))
+    slots = dealt.agg(F.sum("_share")).first()[0] or 0
     before = Window.partitionBy(F.lit(0)).orderBy("source")
-    upper = F.sum("target").over(before.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(total or 1.0)
-    bounds = targets.withColumn("_hi", F.round(upper * POINTS).cast("long")).select(
+    upper = F.sum("_share").over(before.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(float(slots or 1))
+    bounds = dealt.withColumn("_hi", F.round(upper * POINTS).cast("long")).select(
         "source", "_hi", F.coalesce(F.lag("_hi").over(before), F.lit(0)).alias("_lo")
     )
     width = POINTS // CELLS
     cells = F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))
     cells = bounds.where("_hi > _lo").withColumn("_cell", F.explode(cells))
     point = F.col("slot") % POINTS * GOLDEN % POINTS
-    line = spark.range(0, slots).select(F.col("id").alias("slot"), point.alias("_point"))
+    line = needs.sparkSession.range(0, slots).select(F.col("id").alias("slot"), point.alias("_point"))
     line = line.withColumn("_cell", F.floor(F.col("_point") / width)).join(cells, "_cell")
-    line = line.where("_point >= _lo AND _point < _hi").select(
+    return line.where("_point >= _lo AND _point < _hi").select(
         "slot", "source", F.floor(F.col("slot") / STRETCH).alias("_stretch")
     )
-    counts = line.groupBy("source", "_stretch").agg(F.count("*").alias("_n"))
+
+
+def schedule(targets: DataFrame, block: int) -> DataFrame:
+    """(slot, source, rank): the source of each slot and its rank among the source's slots.
+
+    Every source has a slot for each block of its target, the last begun one
+    included, however small its share: slots are counted, and dealt again with
+    more to spare should a source lack one.
+    """
+    needs = targets.select("source", F.ceil(F.floor("target") / block).alias("_need"))
+    spare = LEAST_SPARE
+    while True:
+        line = _line(needs, spare)
+        counts = materialize(line.groupBy("source", "_stretch").agg(F.count("*").alias("_n")), "slot-counts")
+        found = counts.groupBy("source").agg(F.sum("_n").alias("_found"))
+        if needs.join(found, "source", "left").where("_need > coalesce(_found, 0)").isEmpty():
+            break
+        spare *= 2
     earlier = Window.partitionBy("source").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         "source", "_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")

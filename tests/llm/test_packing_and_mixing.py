@@ -173,3 +173,20 @@ def test_slots_hold_the_words_that_documents_give(spark):
         parts.sort()
         assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
         assert sum(n for _, n in parts) <= rows[doc][2]
+
+
+def test_small_sources_beside_a_hot_one_reach_their_targets(spark):
+    rows = [(i, "hot", 1000) for i in range(2000)] + [(10_000 + i, f"s{i:03}", 20 + i) for i in range(200)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    taken, target = {}, {}
+    for r in mixing.taken_words(sized, block=128).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    assert min(target.values()) < 128 and taken == {s: int(t) for s, t in target.items()}
+
+
+def test_a_source_under_one_block_has_a_slot(spark):
+    targets = spark.createDataFrame([("sa", 10**7, 2.0e7), ("sb", 30, 60.0), ("sc", 0, 0.0)], "source string, source_size long, target double")
+    slots = mixing.schedule(targets, 128).groupBy("source").count().collect()
+    count = {r.source: r["count"] for r in slots}
+    assert set(count) == {"sa", "sb"} and count["sa"] >= 156_250
