@@ -1,7 +1,9 @@
 """Quality by co-training: one classifier reads the text, one the page's metadata.
 
 Both learn from the same labelled documents. In each round each of them labels
-the unlabelled documents it is surest of, and hands these to the other. Their
+the unlabelled documents it is surest of, and hands these to the other. All
+unlabelled documents are scored in each round, where the features are stored; the
+share handed over is cut by counting, and learners see a bounded draw of it. Their
 scores are then calibrated on labelled documents that neither has learned from,
 and added up with the weights that fit these best.
 """
@@ -22,7 +24,9 @@ from siftmark.llm.ftrl import Ftrl, bounded_sample, sigmoid, sparse
 from siftmark.session import materialize
 
 TEXT_BITS, PAGE_BITS = 18, 14
-#: Labelled and unlabelled documents that take part in the fit, at most.
+#: Labelled documents that the views learn from, and unlabelled ones that are handed
+#: over to learn from in all rounds together, at most. The latter are drawn from the
+#: handed share of the whole table.
 LABELLED, UNLABELLED = 8_000, 12_000
 #: Rounds, and the share of the unlabelled documents that a view hands over in each.
 ROUNDS, SHARE = 4, 0.05
@@ -31,6 +35,10 @@ SURE_BAD, SURE_GOOD = 0.05, 0.95
 #: A document is kept unless its score is under this, or less where more than
 #: ``LOST`` of the good calibration documents would be.
 KEEP, LOST = 0.5, 0.005
+#: Unlabelled documents are counted by how sure a view is, in cells of this width of the logit.
+CELL, CELLS = 1 / 256, 40 * 256
+#: Shares of rows by hash are multiples of 1 / 2**20.
+PARTS = 1 << 20
 SYMBOLS = b"#*$%&|<>{}[]=~^\\"
 
 
@@ -91,23 +99,54 @@ def _views(batch: pa.RecordBatch, first: int = 1) -> tuple[list[np.ndarray], lis
     return texts, pages
 
 
-class View:
-    """One classifier and what it learns from."""
+def _logits(column: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """Sums of the weights at each row's features, which are int32 as bytes and never none."""
+    if not len(column):
+        return np.zeros(0)
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    at = np.frombuffer(column.buffers()[2], np.int32, count=int(ends[-1]))[ends[0] :]
+    return np.add.reduceat(weights[at], ends[:-1] - ends[0])
 
-    def __init__(self, bits: int, rows: list[np.ndarray]):
-        self.bits, self.rows = bits, rows
-        self.examples: dict[int, int] = {}
 
-    def fit(self, epochs: int = 3) -> None:
-        self.model = Ftrl(1 << self.bits, alpha=0.5, l1=2.0)
-        order = sorted(self.examples, key=lambda i: crc32(b"%d" % i))
-        for _ in range(epochs):
-            for i in order:
-                self.model.learn(self.rows[i], float(self.examples[i]))
-        self.weights = self.model.weights()
+def _dense(views: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    made = [np.zeros(1 << b) for b in (TEXT_BITS, PAGE_BITS)]
+    for weights, (at, values) in zip(made, views):
+        weights[at] = values
+    return made
 
-    def logit(self, i: int) -> float:
-        return float(self.weights[self.rows[i]].sum())
+
+def _cells(logits: np.ndarray) -> np.ndarray:
+    """How sure a view is, -1 where it is not."""
+    p = sigmoid(logits)
+    cells = np.minimum(np.abs(logits) / CELL, CELLS - 1).astype(np.int64)
+    return np.where((p <= SURE_BAD) | (p >= SURE_GOOD), cells, -1)
+
+
+def _part(keys: np.ndarray, shift: int) -> np.ndarray:
+    return (keys >> shift) & (PARTS - 1)
+
+
+def _cut(counts: dict[int, int], most: int) -> tuple[int, int, int]:
+    """(cell, parts, rows): the cells above ``cell`` and so many parts of it by hash hold ``most`` rows."""
+    above = 0
+    for cell in sorted(counts, reverse=True):
+        if above + counts[cell] > most:
+            return cell, (most - above) * PARTS // counts[cell], most
+        above += counts[cell]
+    return -1, 0, above
+
+
+def _handed(cells: np.ndarray, keys: np.ndarray, cut: tuple) -> np.ndarray:
+    return (cells >= 0) & ((cells > cut[0]) | ((cells == cut[0]) & (_part(keys, 1) < cut[1])))
+
+
+def _fit_view(bits: int, rows: list[np.ndarray], labels: list[int], epochs: int = 3) -> np.ndarray:
+    model = Ftrl(1 << bits, alpha=0.5, l1=2.0)
+    for _ in range(epochs):
+        for at, y in zip(rows, labels):
+            model.learn(at, float(y))
+    return model.weights()
 
 
 def _line(x: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
@@ -125,85 +164,160 @@ def _line(x: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
     return w
 
 
-def co_train(texts: list[np.ndarray], pages: list[np.ndarray], labels: list[int | None], spare: list[bool]) -> dict:
-    """The fitted model. ``spare`` marks labelled rows kept for calibration."""
-    views = [View(TEXT_BITS, texts), View(PAGE_BITS, pages)]
-    pool = {i for i, y in enumerate(labels) if y is None}
-    for view in views:
-        view.examples = {i: y for i, (y, s) in enumerate(zip(labels, spare)) if y is not None and not s}
-    most = int(len(pool) * SHARE)
-    for turn in range(ROUNDS + 1):
-        for view in views:
-            view.fit()
-        if turn == ROUNDS:
-            break
-        handed = []
-        for view in views:
-            sure = []
-            for i in pool:
-                p = sigmoid(view.logit(i))
-                if p <= SURE_BAD or p >= SURE_GOOD:
-                    sure.append((-abs(p - 0.5), i, int(p >= 0.5)))
-            handed.append(sorted(sure)[:most])
-        for giver, taker in ((0, 1), (1, 0)):
-            for _, i, y in handed[giver]:
-                views[taker].examples.setdefault(i, y)
-        pool -= {i for rows in handed for _, i, _ in rows}
-    check = [i for i, s in enumerate(spare) if s]
-    y = np.array([labels[i] for i in check], float)
-    logits = np.array([[v.logit(i) for v in views] for i in check]).reshape(-1, 2)
+def stored_features(docs: DataFrame, some: DataFrame, id_col: str) -> DataFrame:
+    """(id, _label, texts, pages, _key) of every document, stored: features are int32 as bytes."""
+    # `some` is a bounded sample of narrow rows
+    rows = docs.select(*_columns(id_col)).join(F.broadcast(some), id_col, "left")
+    rows = rows.select(id_col, "text", "_lang", "_source", "_lines", "_longest", "_chars", "_label")
+    key = rows.schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pa.array([x.tobytes() for x in v], pa.binary()) for v in _views(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(7), *made], names=[id_col, "_label", "texts", "pages"])
+
+    found = rows.mapInArrow(run, f"`{id_col}` {key}, _label int, texts binary, pages binary")
+    whole = F.xxhash64(F.col(id_col).cast("string"), "texts", "pages")
+    return materialize(found.withColumn("_key", whole), "co-training-features")
+
+
+def _learn(examples: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Both views' weights from (view, _key, _label, features), a bounded number of rows."""
+
+    def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(zip(frame["_key"], frame["_label"], frame["features"]), key=lambda r: (crc32(b"%d" % r[0]), r))
+        rows = [np.frombuffer(r[2], np.int32) for r in order]
+        at, weights = sparse(_fit_view((TEXT_BITS, PAGE_BITS)[key[0]], rows, [r[1] for r in order]))
+        return pd.DataFrame({"view": [key[0]], "at": [at.tolist()], "weights": [weights.tolist()]})
+
+    found = examples.groupBy("view").applyInPandas(learn, "view int, at array<int>, weights array<double>").collect()
+    return [(np.array(r.at, np.int32), np.array(r.weights)) for r in sorted(found, key=lambda r: r.view)]
+
+
+def _pool_cells(batch: pa.RecordBatch, rounds: list[tuple]) -> tuple:
+    """Which rows of (_key, texts, pages) are still in the pool, how sure the last
+    round's views are of them, and the logits."""
+    keys = batch.column(0).to_numpy(zero_copy_only=False)
+    inside = np.ones(len(keys), bool)
+    for views, cuts in rounds:
+        logits = [_logits(batch.column(1 + k), w) for k, w in enumerate(views)]
+        cells = [_cells(x) for x in logits]
+        if views is not rounds[-1][0]:
+            for c, cut in zip(cells, cuts):
+                inside &= ~_handed(c, keys, cut)
+    return keys, inside, cells, logits
+
+
+def _count(pool: DataFrame, rounds: list[tuple]) -> tuple[int, list[dict[int, int]]]:
+    """Rows left in the pool, and for each view how many there are by cell."""
+    shared = pool.sparkSession.sparkContext.broadcast(rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past = [(_dense(views), cuts) for views, cuts in shared.value]
+        left, sums = 0, np.zeros((2, CELLS), np.int64)
+        for batch in batches:
+            _, inside, cells, _ = _pool_cells(batch, past)
+            left += int(inside.sum())
+            for k in range(2):
+                sums[k] += np.bincount(cells[k][inside & (cells[k] >= 0)], minlength=CELLS)
+        view, cell = np.nonzero(sums)
+        columns = [np.append(view, 2), np.append(cell, 0), np.append(sums[view, cell], left)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["view", "cell", "n"])
+
+    made = pool.mapInArrow(run, "view long, cell long, n long").groupBy("view", "cell").agg(F.sum("n").alias("n"))
+    found = made.collect()  # at most 2 * CELLS + 1 rows
+    return sum(r.n for r in found if r.view == 2), [{r.cell: r.n for r in found if r.view == k} for k in range(2)]
+
+
+def _hand_over(pool: DataFrame, rounds: list[tuple], most: int, turn: int) -> DataFrame:
+    """(view, _key, _label, features): what the views learn from each other in this round,
+    at most ``most`` rows a view, drawn by hash from all that are handed over."""
+    shared = pool.sparkSession.sparkContext.broadcast(rounds)
+    # a fifth more than needed, and then some
+    rates = [int(PARTS * min(1.0, (1.2 * most + 100) / max(1, cut[2]))) for cut in rounds[-1][1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past = [(_dense(views), cuts) for views, cuts in shared.value]
+        for batch in batches:
+            keys, inside, cells, logits = _pool_cells(batch, past)
+            for giver in range(2):
+                taken = inside & _handed(cells[giver], keys, past[-1][1][giver]) & (_part(keys, 24) < rates[giver])
+                at = np.flatnonzero(taken)
+                made = [
+                    pa.array(np.full(len(at), 1 - giver), pa.int32()),
+                    pa.array(keys[at], pa.int64()),
+                    pa.array((logits[giver][at] >= 0).astype(np.int32)),
+                    batch.column(2 - giver).take(pa.array(at)).cast(pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(made, names=["view", "_key", "_label", "features"])
+
+    found = pool.mapInArrow(run, "view int, _key long, _label int, features binary").dropDuplicates(["view", "_key"])
+    found = materialize(found, "co-training-handed")
+    first, second = (bounded_sample(found.where(F.col("view") == k), "_key", most, turn) for k in range(2))
+    return first.unionByName(second)
+
+
+def _calibrated(views: list, check: list) -> dict:
+    """The model from its views and (id, label, text logit, page logit) of rows kept for calibration."""
+    y = np.array([r[1] for r in check], float)
+    logits = np.array([r[2:] for r in check], float).reshape(-1, 2)
     own = [_line(logits[:, k : k + 1], y) for k in range(2)]
     calibrated = np.column_stack([logits[:, k] * own[k][0] + own[k][1] for k in range(2)])
     both = _line(calibrated, y)
     score = sigmoid(calibrated @ both[:2] + both[2])
     good = np.sort(score[y == 1])
     cutoff = min(KEEP, float(good[int(len(good) * LOST)])) if len(good) else 0.0
-    return {
-        "views": [sparse(v.weights) for v in views],
-        "own": [o.tolist() for o in own],
-        "both": both.tolist(),
-        "cutoff": cutoff,
-    }
+    return {"views": views, "own": [o.tolist() for o in own], "both": both.tolist(), "cutoff": cutoff}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> dict | None:
-    """Fits on bounded samples, in one task; None without a labelled row."""
+def label_sample(labels: DataFrame, id_col: str, labelled: int) -> DataFrame:
+    """(id, _label): a bounded sample of the labelled ids, stored."""
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(id_col).agg(F.min("quality").alias("_label"))
     some = bounded_sample(known, id_col, labelled, 7)
-    others = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(known.select(id_col), id_col, "left_anti")
-    rest = bounded_sample(others, id_col, unlabelled, 7).withColumn("_label", F.lit(None).cast("int"))
-    chosen = materialize(some.select(id_col, F.col("_label").cast("int")).unionByName(rest), "co-training-rows")
-    # `chosen` has at most labelled + unlabelled narrow rows
-    rows = docs.select(*_columns(id_col)).join(F.broadcast(chosen), id_col)
-    rows = rows.select(F.col(id_col).cast("string").alias("_id"), "_label", "text", "_lang", "_source", "_lines", "_longest", "_chars")
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return materialize(some.select(id_col, F.col("_label").cast("int")), "co-training-labels")
+
+
+def fit(stored: DataFrame, id_col: str = "doc_id", unlabelled: int = UNLABELLED) -> dict | None:
+    """The model from :func:`stored_features`; None without a labelled row to learn from.
+
+    All rows without a label in the sample are the pool, those of null ids too.
+    ``handed`` of the model has the rows handed over, by round and view, and
+    ``pool`` the rows there were.
+    """
+    least = F.min(F.struct("_key", "texts", "pages", (F.col("_label") >= 1).cast("int").alias("_label"))).alias("_row")
+    known = stored.where("_label IS NOT NULL").groupBy(F.col(id_col).cast("string").alias("_id")).agg(least)
+    spare = F.floor(F.crc32(F.col("_id").cast("binary")) / 5) % 4 == 0
+    known = materialize(known.select("_id", "_row.*", spare.alias("_spare")), "co-training-known")
+    own = known.where("NOT _spare")
+    if own.isEmpty():
+        return None
+    examples = own.select(F.lit(0).alias("view"), "_key", "_label", F.col("texts").alias("features")).unionByName(
+        own.select(F.lit(1).alias("view"), "_key", "_label", F.col("pages").alias("features"))
+    )
+    pool = stored.where("_label IS NULL").select("_key", "texts", "pages")
+    rounds, handed, size = [], [], 0
+    for turn in range(ROUNDS + 1):
+        views = _learn(examples)
+        if turn == ROUNDS:
+            break
+        left, counts = _count(pool, [*rounds, (views, None)])
+        size = size or left
+        rounds.append((views, [_cut(c, int(size * SHARE)) for c in counts]))
+        handed.append([cut[2] for cut in rounds[-1][1]])
+        if any(handed[-1]):
+            examples = examples.unionByName(_hand_over(pool, rounds, unlabelled // (2 * ROUNDS), turn))
+    shared = stored.sparkSession.sparkContext.broadcast(views)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = _dense(shared.value)
         for batch in batches:
-            made = [pa.array(v, pa.list_(pa.int32())) for v in _views(batch, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "label", "texts", "pages"])
+            made = [pa.array(_logits(batch.column(2 + k), w)) for k, w in enumerate(dense)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "label", "a", "b"])
 
-    def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable").drop_duplicates("id")
-        marks = [None if pd.isna(y) else int(y >= 1) for y in frame["label"]]
-        spare = [y is not None and crc32(i.encode()) // 5 % 4 == 0 for i, y in zip(frame["id"], marks)]
-        if not any(y is not None and not s for y, s in zip(marks, spare)):
-            return pd.DataFrame([], columns=["at", "weights", "own", "both", "cutoff"])
-        found = co_train(list(frame["texts"]), list(frame["pages"]), marks, spare)
-        return pd.DataFrame(
-            {
-                "at": [[a.tolist() for a, _ in found["views"]]],
-                "weights": [[w.tolist() for _, w in found["views"]]],
-                "own": [found["own"]],
-                "both": [found["both"]],
-                "cutoff": [found["cutoff"]],
-            }
-        )
-
-    table = rows.mapInArrow(lists, "id string, label int, texts array<int>, pages array<int>").withColumn("one", F.lit(0))
-    schema = "at array<array<int>>, weights array<array<double>>, own array<array<double>>, both array<double>, cutoff double"
-    row = table.groupBy("one").applyInPandas(learn, schema).first()
-    return row and row.asDict()
+    check = known.where("_spare").select("_id", "_label", "texts", "pages")
+    check = check.mapInArrow(run, "id string, label int, a double, b double").collect()  # of the sample
+    return _calibrated(views, sorted(map(tuple, check))) | {"handed": handed, "pool": size}
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
@@ -215,27 +329,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     is kept. Rows that repeat an id get a row each. Other columns are ignored;
     an empty table gives none.
     """
-    model = fit(docs, labels, id_col, labelled, unlabelled)
-    named = docs.select(*_columns(id_col))
-    key = named.schema[0].dataType.simpleString()
+    some = label_sample(labels, id_col, labelled)
+    model = None
+    if not some.isEmpty():
+        stored = stored_features(docs, some, id_col)
+        model = fit(stored, id_col, unlabelled)
+    key = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"`{id_col}` {key}, text_score double, page_score double, score double, kept boolean"
     if model is None:
         nothing = F.lit(None).cast("double")
-        return named.select(id_col, nothing.alias("text_score"), nothing.alias("page_score"), nothing.alias("score"), F.lit(True).alias("kept"))
+        return docs.select(id_col, nothing.alias("text_score"), nothing.alias("page_score"), nothing.alias("score"), F.lit(True).alias("kept"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** TEXT_BITS + 2 ** PAGE_BITS weights
     names = [id_col, "text_score", "page_score", "score", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        dense = [np.zeros(1 << b) for b in (TEXT_BITS, PAGE_BITS)]
-        for weights, at, values in zip(dense, model["at"], model["weights"]):
-            weights[at] = values
-        both = np.array(model["both"])
+        dense, both = _dense(model["views"]), np.array(model["both"])
         for batch in batches:
-            logits = [np.array([w[f].sum() for f in view]) for w, view in zip(dense, _views(batch))]
+            logits = [_logits(batch.column(1 + k), w) for k, w in enumerate(dense)]
             own = [x * slope + constant for x, (slope, constant) in zip(logits, model["own"])]
             score = sigmoid(own[0] * both[0] + own[1] * both[1] + both[2])
             made = [pa.array(sigmoid(own[0])), pa.array(sigmoid(own[1])), pa.array(score), pa.array(score >= model["cutoff"])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
 
-    return named.mapInArrow(run, schema)
+    return stored.select(id_col, "texts", "pages").mapInArrow(run, schema)

@@ -165,6 +165,22 @@ def test_co_training_on_rows_it_has_not_seen(spark, sample):
     assert np.mean([r.kept for r, good in unseen if good]) > 0.985
 
 
+def test_co_training_hands_over_a_share_of_the_whole_table(spark, sample):
+    docs, labels, marks = sample
+    some = co_training.label_sample(labels, "doc_id", 300)
+    stored = co_training.stored_features(docs, some, "doc_id")
+    model = co_training.fit(stored, unlabelled=40)
+    assert model["pool"] == len(marks) - 300  # labels beyond the sample are in the pool
+    most = int(model["pool"] * co_training.SHARE)
+    assert len(model["handed"]) == co_training.ROUNDS and most > 40
+    assert max(n for turn in model["handed"] for n in turn) == most
+
+
+def test_co_training_cut_of_the_share():
+    assert co_training._cut({9: 10, 7: 20, 3: 70}, 20) == (7, co_training.PARTS // 2, 20)
+    assert co_training._cut({9: 10}, 20) == (-1, 0, 10)
+
+
 def test_co_training_odd_rows(spark):
     docs = odd_rows.frame(spark)
     for every in (True, False):
