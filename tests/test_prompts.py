@@ -111,3 +111,11 @@ def test_tokenized_prompts_mask_the_prompt(spark):
     assert [r.input_ids for r in got] == [["a", "b", "c", "d"], ["a", "b", "c", "d"], ["x"]]
     assert [r.labels for r in got] == [["-", "-", "c", "d"], ["-"] * 4, ["x"]]
     assert [r.attention_mask for r in got] == [[1] * 4, [1] * 4, [1]]
+
+
+def test_pairs_keep_their_end_mark_up_to_the_default_length(spark):
+    rows = [(n, "q " * 99 + "q", " ".join(["a"] * n)) for n in (300, 923, 924)]
+    pairs = spark.createDataFrame(rows, "n int, question string, answer string")
+    found = {r.n: r for r in prompts.encode_pairs(pairs, text.words, " </s>", ignore=F.lit("-100")).collect()}
+    assert {n: (len(r.input_ids), r.input_ids[-1]) for n, r in found.items()} == {300: (401, "</s>"), 923: (1024, "</s>"), 924: (1024, "a")}
+    assert all(r.labels[:100] == ["-100"] * 100 and r.labels[100:] == r.input_ids[100:] for r in found.values())
