@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import compare, connect
+from siftmark.plans import file_queries
 
 SQL = {k: v for k, v in contract.oracle_sql().items() if k not in contract.LLM_SQL}
 QUERIES = {k: v for k, v in contract.queries().items() if k not in contract.LLM_QUERIES}
@@ -76,3 +77,15 @@ def test_a_line_is_parsed_once(spark, folder):
 
 def test_class_report_reads_its_table_once(spark, folder):
     assert final_plan(QUERIES["class_report"](spark, folder)).count("FileScan") == 1
+
+
+def test_tydiqa_file_holds_one_example_a_language(spark, folder, monkeypatch):
+    written, write = [], file_queries._one_object
+
+    def spy(rows, *args):
+        written.extend(rows.collect())
+        write(rows, *args)
+
+    monkeypatch.setattr(file_queries, "_one_object", spy)
+    assert contract.queries()["file_tydiqa"](spark, folder).count() == len(written)
+    assert all(len(r.examples) == 1 for r in written)
