@@ -92,13 +92,23 @@ def text_measures(
 
 
 def tail(k: int, n: int, risk: float) -> float:
-    """P(X <= k) of a binomial X with n draws of probability ``risk``."""
-    logs = [
-        math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(risk) + (n - i) * math.log1p(-risk)
-        for i in range(max(0, k - 1000), k + 1)
-    ]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    """P(X <= k) of a binomial X with n draws of probability ``risk``.
+
+    Terms are added from k downwards until a geometric series that bounds all the
+    others is next to nothing, and that bound is added too: never too small.
+    """
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(risk) + (n - k) * math.log1p(-risk)
+    total = term = 1.0
+    for i in range(k, 0, -1):
+        ratio = i / (n - i + 1) * (1 - risk) / risk  # falls with i
+        if ratio < 1 and term * ratio / (1 - ratio) <= 1e-12 * total:
+            total += term * ratio / (1 - ratio)
+            break
+        term *= ratio
+        total += term
+        if total > 1e200:
+            log, term, total = log + math.log(total), term / total, 1.0
+    return math.exp(min(0.0, log + math.log(total)))
 
 
 def choose(good: list[int], gains: list[int], n_good: int, risk: float, level: float) -> int | None:

@@ -44,6 +44,13 @@ def test_binomial_tail(k, n, p):
     assert tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
+@pytest.mark.parametrize("deviations,want", [(1, 0.158655), (2, 0.0227501), (4, 3.16712e-5)])
+def test_binomial_tail_of_many_draws(deviations, want):
+    n, p = 10**9, 0.02
+    k = int(n * p - deviations * math.sqrt(n * p * (1 - p)))
+    assert tail(k, n, p) == pytest.approx(want, rel=5e-3)
+
+
 def test_cutoffs_are_tried_from_the_loosest_until_one_fails():
     assert choose([0, 0, 0, 400], [0, 9, 9, 50], 4000, 0.01, 0.001) == 1
     assert choose([0, 0], [0, 0], 4000, 0.01, 0.001) is None  # gains nothing
