@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.llm import (
+    byte_bpe,
     co_training,
     common,
     exact_dedup,
@@ -18,6 +19,7 @@ from siftmark.llm import (
     quality_rules,
     secret_scan,
     simhash,
+    spelling,
     substring_tree,
     suffix_parse,
     toxicity,
@@ -191,3 +193,23 @@ def op10_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op11_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs, tokenizer = documents(spark, folder), tokenizer_json("byte_bpe_50k.json")
+    encoded = byte_bpe.encode(docs, tokenizer, byte_bpe.lexicon(docs, tokenizer))
+    return byte_bpe.decode(encoded, tokenizer).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    found = spelling.spelling_groups(documents(spark, folder))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
