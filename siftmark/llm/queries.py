@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.llm import (
+    alignment,
     byte_bpe,
     co_training,
     common,
@@ -207,6 +208,12 @@ def op11_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op12_merge_path_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return alignment.link_statistics(documents(spark, folder), tokenizer_json("byte_bpe_50k.json"), model)
+
+
 @query
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     found = spelling.spelling_groups(documents(spark, folder))
