@@ -219,7 +219,7 @@ def link_statistics(docs: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
     a = F.floor(F.col("pair") / b_size)
     most = counts.groupBy(a.alias("a")).agg(F.max("n").alias("most"))  # at most a row for each A id
     marked = counts.withColumn("a", a).join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    known = held.select("slab", "place", "pair").join(marked, "pair").select("slab", "place", "n", "best")
+    known = held.select(F.col("slab").alias("of"), "place", "pair").join(marked, "pair").select("of", "place", "n", "best")
 
     def summed(slab: pa.Table, pairs: pa.Table) -> pa.Table:
         def values(name: str) -> pa.Array:
@@ -238,6 +238,6 @@ def link_statistics(docs: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
     names = ["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"]
     kinds = [docs.schema["doc_id"].dataType.simpleString(), *["long"] * 6, "string"]
     rest = slabs.drop("pairs", "texts")
-    return rest.groupBy("slab").cogroup(known.groupBy("slab")).applyInArrow(
+    return rest.groupBy("slab").cogroup(known.groupBy("of")).applyInArrow(
         summed, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
     )
