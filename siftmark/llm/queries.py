@@ -46,6 +46,12 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
 
+def _crc_entry(value: int) -> int:
+    for _ in range(8):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
@@ -166,18 +172,7 @@ targets AS (
   SELECT src, source_size, CASE WHEN cap / w <= level THEN cap
          ELSE w * max(CASE WHEN cap / w > level THEN level END) OVER () END AS target
   FROM levels),
-bounds AS (
-  SELECT *, CAST(round(sum(target) OVER (ORDER BY src) / sum(target) OVER () * 2147483648) AS BIGINT) AS hi
-  FROM targets),
-shares AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo FROM bounds),
-slots AS (
-  SELECT unnest(range(0, (SELECT CAST(floor(sum(target) / 128 * 1.02::DOUBLE) AS BIGINT) + 64 FROM targets))) AS k),
-quota AS (
-  SELECT s.src, any_value(source_size) AS source_size, any_value(target) AS target,
-         least(CAST(floor(any_value(target)) AS BIGINT), 128 * count(k)) AS q
-  FROM shares s LEFT JOIN slots ON (k % 2147483648 * 1327217885) % 2147483648 >= lo
-                               AND (k % 2147483648 * 1327217885) % 2147483648 < hi
-  GROUP BY s.src),
+quota AS (SELECT src, source_size, target, CAST(floor(target) AS BIGINT) AS q FROM targets),
 lined AS (
   SELECT *, coalesce(sum(size) OVER (
            PARTITION BY src ORDER BY substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12), doc_id, size
@@ -220,3 +215,46 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+#: The table of CRC-32 by its rule, for DuckDB has no such function.
+_CRC_TABLE = ", ".join(str(_crc_entry(i)) for i in range(256))
+#: DuckDB compares bytes; À to ÿ each become one ASCII sign that no word has.
+_LATIN = "'" + "".join(map(chr, range(0xC0, 0x100))) + "', '" + "".join(map(chr, range(33, 97))).replace("'", "''") + "'"
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM runs GROUP BY id, run),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           [4294967295::UBIGINT] || list_transform(range(0, length(x) // 2),
+             lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS UBIGINT)),
+           lambda c, b: xor(c >> 8, ([{_CRC_TABLE}]::UBIGINT[])[CAST((xor(c, b) & 255) AS BIGINT) + 1]))) AS h
+  FROM counted),
+typed AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+         ELSE run END AS word, n AS times
+  FROM hashed),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n
+  FROM words a JOIN words b ON length(b.word) BETWEEN length(a.word) - 1 AND length(a.word) + 1
+   AND a.word <> b.word
+   AND (left(a.word, 3) = left(b.word, 3) OR right(a.word, 3) = right(b.word, 3))
+   AND levenshtein(translate(a.word, {_LATIN}), translate(b.word, {_LATIN})) = 1),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other,
+         first(other_n ORDER BY other_n DESC, other) AS other_n
+  FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walked AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL
+  SELECT w.word, f.form FROM walked w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word, w.root FROM walked w JOIN formed f ON f.word = w.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""

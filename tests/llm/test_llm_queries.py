@@ -9,7 +9,7 @@ from siftmark.llm import exact_dedup, mixing, queries, simhash
 
 WITHOUT_SQL = {
     "op3_best_fit_packing", "op4_secret_automaton", "op5_certified_rules", "op6_ftrl_toxicity", "op7_co_training",
-    "op8_prefix_free_parsing", "op10_simhash_components",
+    "op8_prefix_free_parsing", "op10_simhash_components", "op11_transducer_bpe", "op12_merge_path_alignment",
 }
 
 
