@@ -376,7 +376,7 @@ SELECT conv_id, turn, CASE WHEN regexp_matches(question, '[ \\n\\t]$') OR regexp
   THEN question || answer ELSE question || ' ' || answer END || '</s>' AS text FROM pairs"""
     whole = """question || CASE WHEN regexp_matches(question, '[ \\n\\t]$') OR regexp_matches(answer, '^[ \\n\\t]') THEN '' ELSE ' ' END || answer || ' </s>'"""
     sql["qa_encode"] = f"""WITH {PAIRS}, cut AS (
-  SELECT conv_id, turn, {WORDS.format(f"({whole})")}[1:96] AS w, least(len({WORDS.format('question')}), 96) AS p FROM pairs)
+  SELECT conv_id, turn, {WORDS.format(f"({whole})")}[1:1024] AS w, least(len({WORDS.format('question')}), 1024) AS p FROM pairs)
 SELECT conv_id, turn, array_to_string(w, ' ') AS input_ids,
   array_to_string(list_transform(w, lambda x, i: CASE WHEN i <= p THEN '-100' ELSE x END), ' ') AS labels,
   CAST(len(w) AS INTEGER) AS attended FROM cut"""
@@ -388,7 +388,7 @@ SELECT doc_id, chunk_no, array_to_string(list_transform(range(1, 257), lambda i:
     sql["last_token_state"] = """SELECT vec_id, round(x, 6) + 0 AS first, round(-x, 6) + 0 AS second
 FROM (SELECT vec_id, embedding[vec_id % 64 + 1]::DOUBLE AS x FROM embeddings)"""
     sql["prompt_mask"] = f"""WITH {PAIRS}, cut AS (
-  SELECT conv_id, turn, {WORDS.format("question || ' ' || answer")}[1:64] AS w, least(len({WORDS.format('question')}), 64) AS p FROM pairs)
+  SELECT conv_id, turn, {WORDS.format("question || ' ' || answer")}[1:1024] AS w, least(len({WORDS.format('question')}), 1024) AS p FROM pairs)
 SELECT conv_id, turn, array_to_string(w, ' ') AS input_ids,
   array_to_string(list_transform(w, lambda x, i: CASE WHEN i <= p THEN '-100' ELSE x END), ' ') AS labels,
   CAST(greatest(len(w) - p, 0) AS INTEGER) AS counted FROM cut"""

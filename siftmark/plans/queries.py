@@ -457,7 +457,7 @@ def qa_join(spark, folder):
 def qa_encode(spark, folder):
     """Question and answer joined, ended, tokenized and masked."""
     masked = prompts.encode_pairs(
-        tables.question_pairs(spark, folder), text.words, " </s>", 96, F.lit(str(fixed.IGNORE_INDEX))
+        tables.question_pairs(spark, folder), text.words, " </s>", fixed.SEQUENCE_LENGTH, F.lit(str(fixed.IGNORE_INDEX))
     )
     return masked.select(
         "conv_id",
@@ -499,7 +499,7 @@ def prompt_mask(spark, folder):
         "conv_id", "turn", F.col("question").alias("prompt"), F.concat(F.lit(" "), "answer").alias("completion")
     )
     ignored = F.lit(str(fixed.IGNORE_INDEX))
-    masked = prompts.tokenize_prompts(pairs, text.words, 64, ignored)
+    masked = prompts.tokenize_prompts(pairs, text.words, fixed.SEQUENCE_LENGTH, ignored)
     return masked.select(
         "conv_id",
         "turn",
