@@ -1,4 +1,4 @@
-"""Queries over joins by interval, products in blocks and table functions, with their SQL."""
+"""Queries over joins by interval, products in blocks, batches, table functions and data sources, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
 from siftmark.functions.table_functions import register_chunks
-from siftmark.operators import intervals, matching
+from siftmark.operators import batches, intervals, matching, sequences
 from siftmark.plans import oracles, tables
+from siftmark.plans.file_queries import fresh
 from siftmark.plans.queries import query, r6
 from siftmark.plans.tables import table
+from siftmark.sources.packed_source import register_packed
 
 SQL: dict[str, str] = {}
 
@@ -61,3 +63,42 @@ def udtf_chunks(spark, folder):
 
 
 SQL["udtf_chunks"] = oracles.oracle_sql()["chunk_overlap"]
+
+
+@query
+def length_grouped_batches(spark, folder):
+    """Documents in batches of 32 of like length, by language, and what they are padded to."""
+    docs = tables.document_words(spark, folder).select("doc_id", F.size("tokens").alias("words"))
+    docs = docs.join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
+    return batches.length_grouped_batches(docs, "doc_id", "words", 32, 11, "lang")
+
+
+SQL["length_grouped_batches"] = """
+WITH drawn AS (
+  SELECT doc_id, lang, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS words,
+         md5('11:' || doc_id) AS draw FROM documents),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY words, substr(draw, 1, 13), doc_id) - 1 AS r FROM drawn),
+cut AS (SELECT *, r // 32 AS nth, r % 32 AS place FROM ranked),
+batches AS (
+  SELECT lang, nth, max(words) AS padded,
+         row_number() OVER (ORDER BY substr(md5('11:batch:' || min(doc_id)), 1, 13), min(doc_id)) - 1 AS batch
+  FROM cut GROUP BY lang, nth)
+SELECT doc_id, words, lang, batch, place, padded FROM cut JOIN batches USING (lang, nth)"""
+
+
+@query
+def file_packed_source(spark, folder):
+    """``file_packed`` by the data source, read in blocks."""
+    register_packed(spark)
+    lengths = tables.document_words(spark, folder).withColumn("tokens", F.transform("tokens", F.length))
+    chunks = sequences.pack_tokens(lengths, "doc_id", "tokens", 512, F.lit(0))
+    path = fresh(spark, "packed-source")
+    chunks.write.format("packed").option("vocabulary", 40_000).mode("overwrite").save(path)
+    read = spark.read.format("packed").option("blockSize", 200).load(path)
+    parts = read.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "tokens"))).alias("parts"))
+    tokens = F.flatten(F.transform("parts", lambda x: x["tokens"]))  # a chunk's own blocks
+    return parts.select("chunk_id", F.array_join(tokens, " ").alias("tokens"))
+
+
+SQL["file_packed_source"] = oracles.oracle_sql()["file_packed"]
