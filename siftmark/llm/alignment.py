@@ -19,9 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
-from tokenizers import Tokenizer
 
-from siftmark.llm.byte_bpe import Merges
+from siftmark.llm.byte_bpe import Coder
 from siftmark.llm.merge_path import overlaps
 from siftmark.session import materialize
 
@@ -51,12 +50,9 @@ class Aligner:
     """Tokenizer A is a byte-level BPE file, B a SentencePiece model with byte pieces."""
 
     def __init__(self, a_json: str, b_model: bytes):
-        self.tokenizer = Tokenizer.from_str(a_json)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.coder = Coder(a_json, with_marks=False)
         self.pieces = SentencePieceProcessor(model_proto=b_model)
-        merges = Merges(a_json)
+        merges = self.coder.merges
         self.a_bytes = [merges.token_bytes.get(i, b"") for i in range(max(merges.token_bytes) + 1)]
         self.b_bytes = [self._piece_bytes(i) for i in range(self.pieces.get_piece_size())]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
@@ -73,9 +69,9 @@ class Aligner:
         a_ids: list[list[int]] = [[] for _ in texts]
         b_ids: list[list[int]] = [[] for _ in texts]
         some = [k for k, text in enumerate(texts) if text]
-        coded = self.tokenizer.encode_batch([" " + texts[k] for k in some], add_special_tokens=False)
+        coded = self.coder.encoded([" " + texts[k] for k in some])
         for k, own_a, own_b in zip(some, coded, self.pieces.encode([texts[k] for k in some], num_threads=1)):
-            content, ids = (" " + texts[k]).encode(), own_a.ids
+            content, ids = (" " + texts[k]).encode(), np.frombuffer(own_a, "<u4").tolist()
             if b"".join(map(self.a_bytes.__getitem__, ids)) == content == b"".join(map(self.b_bytes.__getitem__, own_b)):
                 a_ids[k], b_ids[k] = ids, own_b
         a, b = (np.array([i for own in ids for i in own], np.int64) for ids in (a_ids, b_ids))
