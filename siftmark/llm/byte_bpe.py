@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -25,6 +25,7 @@ from tokenizers import Tokenizer
 
 from siftmark.llm.transducer import Transducer, as_file, compile_words
 from siftmark.llm.word_ids import SIGNS
+from siftmark.operators.threshold import top_n_threshold
 from siftmark.session import materialize, shared_folder
 
 #: How tokenizers of this kind cut texts into words (a fixed value).
@@ -40,6 +41,8 @@ LEXICON, LONGEST = 131_072, 64
 COUNTED = 200_000
 #: Words of more bytes are merged with a heap.
 SHORT = 48
+#: Stands for the rank of a pair that is not merged.
+NEVER = 1 << 40
 
 
 class Merges:
@@ -66,32 +69,62 @@ class Merges:
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs.setdefault((vocabulary[left], vocabulary[right]), (rank, vocabulary[left + right]))
+        self.width = max(vocabulary.values()) + 1
+        keys = np.array([a * self.width + b for a, b in self.pairs] or [-1], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[order], np.array([r for r, _ in self.pairs.values()] or [NEVER], np.int64)[order]
+        self.results = np.zeros(len(model["merges"]), np.int64)
+        for rank, new in self.pairs.values():
+            self.results[rank] = new
         self.marks = {a["content"]: a["id"] for a in content["added_tokens"]}
         of_sign = {s: bytes([b]) for b, s in enumerate(sign)}
         self.token_bytes = {i: b"".join(map(of_sign.__getitem__, t)) for t, i in vocabulary.items()}
         self.token_bytes |= {i: t.encode() for t, i in self.marks.items()}
 
-    def merged(self, word: bytes) -> list[int]:
-        """The ids of a word: of all adjacent pairs the one merged first, and of equal
-        ones the leftmost, become one id, until none can be merged."""
-        ids = [self.bytes[b] for b in word]
-        if len(ids) > SHORT:
-            return self._merged_long(ids)
-        pairs = self.pairs
-        while len(ids) > 1:
-            best = min(map(pairs.get, zip(ids, ids[1:]), _NEVER[: len(ids) - 1]))
-            if best is _NEVER[0]:
-                break
-            new, at = [], 0
-            while at < len(ids):
-                if at + 1 < len(ids) and pairs.get((ids[at], ids[at + 1])) == best:
-                    new.append(best[1])
-                    at += 2
-                else:
-                    new.append(ids[at])
-                    at += 1
-            ids = new
-        return ids
+    def merged(self, words: Sequence[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit numbers: of all adjacent pairs the one
+        merged first, and of equal ones the leftmost, becomes one id, until none can be merged.
+
+        Each round makes the next merge of all words that have one.
+        """
+        out: list[bytes] = [b""] * len(words)
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= SHORT]
+        for k, word in enumerate(words):
+            if len(word) > SHORT:
+                out[k] = np.array(self._merged_long([self.bytes[b] for b in word]), "<u4").tobytes()
+        lengths = np.array([len(words[k]) for k in short], np.int64)
+        content = np.frombuffer(b"".join([words[k] for k in short]), np.uint8)
+        ids, word = np.array(self.bytes, np.int64)[content], np.repeat(np.arange(len(short)), lengths)
+        ranks = self._ranks(ids[:-1], ids[1:], word[:-1] == word[1:])
+        while len(ids):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            sizes = np.diff(first, append=len(ids))
+            best = np.minimum.reduceat(ranks, first)
+            done = best == NEVER
+            if done.any():
+                values = ids.astype("<u4").tobytes()
+                for k, at, n in zip(word[first[done]].tolist(), first[done].tolist(), sizes[done].tolist()):
+                    out[short[k]] = values[4 * at : 4 * (at + n)]
+                keep = np.repeat(~done, sizes)
+                ids, word, ranks = ids[keep], word[keep], ranks[keep]
+                best, sizes = best[~done], sizes[~done]
+            at = np.flatnonzero(ranks == np.repeat(best, sizes))
+            at = at[np.append(True, word[at[1:]] != word[at[:-1]])] if len(at) else at
+            ids[at] = self.results[best]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, word, ranks = ids[keep], word[keep], ranks[keep]
+            at -= np.arange(len(at))
+            for one in (at, at[at > 0] - 1):
+                then = np.minimum(one + 1, len(ids) - 1)
+                ranks[one] = self._ranks(ids[one], ids[then], (word[one] == word[then]) & (then > one))[:-1]
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        """When each pair is merged, or ``NEVER``; one more place stands for what has no right neighbour."""
+        wanted = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.append(np.where(joined & (self.keys[at] == wanted), self.key_ranks[at], NEVER), NEVER)
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         pairs, n = self.pairs, len(ids)
@@ -116,18 +149,15 @@ class Merges:
         return [i for i in ids if i >= 0]
 
 
-_NEVER = [(1 << 60, -1)] * SHORT
-
-
 class Cutter:
     """Cuts texts into words as the tokenizer does; its marks are words of their own."""
 
-    def __init__(self, tokenizer_json: str, marks: dict[str, int]):
+    def __init__(self, tokenizer_json: str, marks: set[str]):
         self.json, self.library = tokenizer_json, None
         self.find = regex.compile(PATTERN).findall
         self.agreed = regex.compile(AGREED).fullmatch
         names = sorted(marks, key=len, reverse=True)
-        self.marks = set(marks)
+        self.marks = marks
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
 
     def _plain(self, text: str) -> list[str]:
@@ -145,11 +175,11 @@ class Cutter:
 
 
 def frequent_words(docs: DataFrame, tokenizer_json: str, most: int = LEXICON, text: str = "text") -> list[str]:
-    """The ``most`` most frequent words of all texts, as the tokenizer cuts them; ties by
-    the words themselves.
+    """The words of all texts, as the tokenizer cuts them, that are more frequent than the
+    ``most``-th one: fewer than ``most``, which is what comes to the driver.
 
     Stretches between white space are counted first, each then cut once as behind a space.
-    What comes to the driver is the result. Words over ``LONGEST`` bytes are left out.
+    Words over ``LONGEST`` bytes are left out.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +198,7 @@ def frequent_words(docs: DataFrame, tokenizer_json: str, most: int = LEXICON, te
         )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(tokenizer_json, {})
+        cutter = Cutter(tokenizer_json, set())
         for batch in batches:
             counts: Counter[str] = Counter()
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -180,7 +210,10 @@ def frequent_words(docs: DataFrame, tokenizer_json: str, most: int = LEXICON, te
     whole = docs.select(F.col(text).cast("string")).mapInArrow(counted, "word string, n long")
     whole = whole.groupBy("word").agg(F.sum("n").alias("n"))
     parts = whole.mapInArrow(cut, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in parts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    parts = materialize(parts, "words")
+    limit = top_n_threshold(parts, "n", most)  # found by counting; no task sends its own best words
+    rows = parts.where(F.col("n") > limit) if limit is not None else parts.limit(0)
+    return sorted(r.word for r in rows.select("word").collect())
 
 
 def share_file(spark: SparkSession, content: bytes) -> str:
@@ -200,17 +233,19 @@ def lexicon(docs: DataFrame, tokenizer_json: str, most: int = LEXICON, text: str
     """The transducer of the texts' frequent words, compiled and shared; its name."""
     merges = Merges(tokenizer_json)
     words = [w.encode() for w in frequent_words(docs, tokenizer_json, most, text)]
-    return share_file(docs.sparkSession, as_file(compile_words({w: merges.merged(w) for w in words})))
+    ids = [np.frombuffer(x, "<u4").tolist() for x in merges.merged(words)]
+    return share_file(docs.sparkSession, as_file(compile_words(dict(zip(words, ids)))))
 
 
 class Coder:
-    """Encodes with the lexicon file of this executor, and decodes."""
+    """Encodes with the lexicon file of this executor, if ``name`` is given, and decodes.
+    Without ``with_marks`` the tokenizer's marks are plain text."""
 
-    def __init__(self, tokenizer_json: str, name: str | None):
+    def __init__(self, tokenizer_json: str, name: str | None = None, with_marks: bool = True):
         self.merges = Merges(tokenizer_json)
-        self.cutter = Cutter(tokenizer_json, self.merges.marks)
         self.transducer = Transducer.mapped(SparkFiles.get(name)) if name else None
-        self.marks = {m: np.array([i], "<u4").tobytes() for m, i in self.merges.marks.items()}
+        self.marks = {m: np.array([i], "<u4").tobytes() for m, i in self.merges.marks.items() if with_marks}
+        self.cutter = Cutter(tokenizer_json, set(self.marks))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers; each different word is looked up once."""
@@ -218,10 +253,10 @@ class Coder:
         words = list(dict.fromkeys(chain.from_iterable(cut)))
         plain = [w.encode() for w in words]
         found = self.transducer.outputs(plain) if self.transducer else [None] * len(words)
-        merged = self.merges.merged
-        ids = {
-            w: np.array(merged(p), "<u4").tobytes() if f is None else f for w, p, f in zip(words, plain, found)
-        }
+        rest = [k for k, f in enumerate(found) if f is None]
+        for k, merged in zip(rest, self.merges.merged([plain[k] for k in rest])):
+            found[k] = merged
+        ids = dict(zip(words, found))
         ids |= self.marks
         return [b"".join(map(ids.__getitem__, own)) for own in cut]
 
@@ -279,8 +314,12 @@ def decode(rows: DataFrame, tokenizer_json: str, id_col: str = "doc_id") -> Data
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                decoded = _kept(shared.value).decoded
-                texts = [None if x is None else decoded(x) for x in (v.as_py() for v in part.column(1))]
+                lists, decoded = part.column(1), _kept(shared.value).decoded
+                ids, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+                texts = [
+                    decoded(ids[end - n : end].tolist()) if n is not None else None
+                    for n, end in zip(lists.value_lengths().to_pylist(), ends.tolist())
+                ]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     named = rows.select(F.col(id_col), "ids")
