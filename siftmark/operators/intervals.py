@@ -60,7 +60,7 @@ def first_interval(points: DataFrame, intervals: DataFrame, id_col: str, value:
     )
     covered = line.join(nodes, ["_level", "_node"]).groupBy("_cell").agg(F.min("_order").alias("_whole"))
     own = points.select(F.col(id_col), F.col(value).cast("double").alias("_value"))
-    own = own.withColumn("_cell", F.when(~F.isnan("_value"), cell("_value")))
+    own = own.withColumn("_cell", F.when(F.col("_value").isNotNull() & ~F.isnan("_value"), cell("_value")))
     near = own.join(covered, "_cell", "left").join(edges.drop("_first", "_last"), "_cell", "left")
     inside = F.when((F.col("low") <= F.col("_value")) & (F.col("_value") < F.col("high")), F.col("_order"))
     return near.groupBy(id_col).agg(F.min(F.least("_whole", inside)).alias(order))
