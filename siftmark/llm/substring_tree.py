@@ -1,12 +1,12 @@
-"""Repeated word strings through prefix-partitioned suffix trees.
-
-Suffixes, one for every word, are split by their prefixes into groups that fit
-in memory: first by a gram of some words, that of the window's trigger; groups
-that this leaves too large by longer prefixes, up to the whole window. A group's
-subtree is built from the root down, cut off at the width of a window, its nodes
-at depths of 1, 2, 4, ... words; branches with one leaf are dropped as soon as
-they appear. The leaves below an internal node at the full depth are the starts
-of a repeat. Groups of one phrase, however often it occurs, need no tree.
+"""Repeated word strings among windows that meet by their least gram.
+
+Windows are dealt to groups by the least hash of their grams of some words,
+anywhere in the window; groups that this leaves too large are dealt by a hash of
+the whole window. Inside a group, places get names at depths of 1, 2, 4, ...
+words, up to the width of a window, and a name that no other place has is dropped
+as soon as it appears; equal names at the full depth are the starts of a repeat.
+This stands in for prefix-partitioned suffix trees: no nodes and no maximal
+repeats are made. Groups of one phrase, however often it occurs, need no names.
 """
 
 from __future__ import annotations

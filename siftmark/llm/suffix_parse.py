@@ -4,11 +4,11 @@ Rolling-hash triggers cut documents into phrases. The dictionary has each
 distinct phrase once; the parse is every document's sequence of phrases. Phrases
 overlap by one byte less than a window, so each window lies in one phrase, and
 no phrase is needed to tell a window from one of another trigger. What the parse
-repeats whole is repeated; the rest is read off the dictionary's suffix array,
-cut off at a window's length: its order comes from ranks of 4, 8, 16, ... bytes,
-and neighbours with a common prefix of a window's length have one rank. Both
-verdicts together give the neighbours that each window of the corpus has in the
-order of all its suffixes.
+repeats whole is repeated; in the rest, windows of one trigger are compared by
+ranks of 4, 8, 16, ... bytes, cut off at a window's length, or, for many phrases,
+by counts of window hashes, exact up to clashes of 128 bits. This stands in for
+the suffix arrays of dictionary and parse, which are not made, nor is the
+corpus order.
 """
 
 from __future__ import annotations
