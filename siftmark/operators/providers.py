@@ -6,8 +6,11 @@ Python worker and must give the same answer for the same row each time.
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 from typing import Protocol
 
 import numpy as np
@@ -16,8 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftmark import fixed_values as fixed
-
 
 class Provider(Protocol):
     """A model: ``open`` loads it in the worker, ``rows`` answers a batch of tokens."""
@@ -27,20 +28,35 @@ class Provider(Protocol):
     def rows(self, tokens: pd.Series) -> list[np.ndarray]: ...
 
 
+def opened(key: str, provider: Provider) -> Provider:
+    """The copy of ``provider`` that this worker has opened under ``key``.
+
+    A worker runs many tasks and each brings a copy of its own; the first is
+    opened and kept, until a task with another key comes.
+    """
+    held = sys.modules.setdefault("siftmark_opened", ModuleType("siftmark_opened"))
+    if getattr(held, "key", None) != key:
+        provider.open()
+        held.key, held.model = key, provider
+    return held.model
+
+
 def apply_provider(df: DataFrame, tokens: str, provider: Provider, out: str) -> DataFrame:
     """Add ``out``, an array of doubles per row, and drop the tokens.
 
-    Used with ``out`` = influence (validation losses after one step on the
+    All other columns pass through Arrow as well, so select an id before. Used with ``out`` = influence (validation losses after one step on the
     row), gradient or representation. A row keeps its own result whatever the
     partitioning, so nothing has to be lined up by position afterwards.
     """
     kept = [f for f in df.schema.fields if f.name != tokens]
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider.open()
+        model = opened(key, provider)
         for batch in batches:
-            answers = provider.rows(batch[tokens])
+            answers = model.rows(batch[tokens])
             yield batch.drop(columns=[tokens]).assign(**{out: answers})
 
     return df.mapInPandas(run, schema)
@@ -73,56 +89,17 @@ def token_frequencies(tokens: pd.Series, vocabulary: int) -> np.ndarray:
     return block
 
 
-def share_vector(counts: dict[int, int], vocabulary: int) -> np.ndarray:
-    """Relative frequencies from token counts."""
-    vector = np.zeros(vocabulary)
-    for token, count in counts.items():
-        vector[token] = count
-    return vector / max(vector.sum(), 1.0)
-
-
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    shifted = logits - logits.max(axis=-1, keepdims=True)
-    return shifted - np.log(np.exp(shifted).sum(axis=-1, keepdims=True))
-
-
-@dataclass
-class UnigramGradient:
-    """Gradient of a one-logit-per-token model at the given logits."""
-
-    logits: np.ndarray
-
-    def open(self) -> None:
-        pass
-
-    def rows(self, tokens: pd.Series) -> list[np.ndarray]:
-        expected = np.exp(_log_softmax(self.logits))
-        return list(expected - token_frequencies(tokens, len(self.logits)))
-
-
 @dataclass
-class UnigramInfluence:
-    """Validation loss after one clipped AdamW step from the same start, per row."""
+class TokenShares:
+    """Relative frequencies of a row's token ids below ``vocabulary``."""
 
-    logits: np.ndarray
-    validation: np.ndarray
-    rate: float = fixed.PEAK_LR
-    decay: float = 0.1
-    clip: float = 1.0
-    eps: float = 1e-8
+    vocabulary: int
 
     def open(self) -> None:
         pass
 
     def rows(self, tokens: pd.Series) -> list[np.ndarray]:
-        gradient = np.stack(UnigramGradient(self.logits).rows(tokens)) if len(tokens) else np.zeros((0, 1))
-        length = np.linalg.norm(gradient, axis=1, keepdims=True)
-        gradient = gradient * np.minimum(1.0, self.clip / np.maximum(length, 1e-12))
-        # a first step: both bias-corrected moments equal the gradient's own
-        stepped = self.logits * (1 - self.rate * self.decay) - self.rate * gradient / (
-            np.abs(gradient) + self.eps
-        )
-        return [np.array([loss]) for loss in -_log_softmax(stepped) @ self.validation] if len(tokens) else []
+        return list(token_frequencies(tokens, self.vocabulary))
 
 
 def token_bucket(tokens, vocabulary: int):

@@ -222,16 +222,24 @@ def losses_written(spark, folder):
     return predictions.read_loss_summary(spark, path).select("num_tokens", r6("loss").alias("loss"))
 
 
+def _shares(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.posexplode("shares").alias("token", "share")).withColumn("share", r6("share"))
+
+
+@query
+def provider_rows(spark, folder):
+    """A provider's answer for every document: its token shares."""
+    rows = tables.document_words(spark, folder).withColumn("tokens", providers.token_bucket(F.col("tokens"), 64))
+    return _shares(providers.apply_provider(rows.select("doc_id", "tokens"), "tokens", providers.TokenShares(64), "shares"))
+
+
 @query
 def interrupted_provider(spark, folder):
     """A provider that ran over some rows and then, again, over all: each row once."""
     rows = tables.document_words(spark, folder).withColumn("tokens", providers.token_bucket(F.col("tokens"), 64))
-    path = fresh(spark, "provider")
-    held_out = providers.share_vector({i: 1 for i in range(64)}, 64)
-    model = providers.UnigramInfluence(held_out * 0.0, held_out)
-    providers.apply_and_store(rows.where("doc_id % 3 = 0"), "doc_id", "tokens", model, "influence", path)
-    done = providers.apply_and_store(rows, "doc_id", "tokens", model, "influence", path)
-    return done.select("doc_id", r6(F.get("influence", F.lit(0))).alias("influence"))
+    path, model = fresh(spark, "provider"), providers.TokenShares(64)
+    providers.apply_and_store(rows.where("doc_id % 3 = 0"), "doc_id", "tokens", model, "shares", path)
+    return _shares(providers.apply_and_store(rows, "doc_id", "tokens", model, "shares", path))
 
 
 @query

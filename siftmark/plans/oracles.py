@@ -361,9 +361,11 @@ clipped AS (
 stepped AS (SELECT doc_id, b, -0.001::DOUBLE * g / (abs(g) + 1e-8::DOUBLE) AS l FROM clipped),
 spread AS (SELECT doc_id, ln(sum(exp(l))) AS z FROM stepped GROUP BY doc_id)
 SELECT doc_id, round(sum(v * (z - l)), 6) + 0 AS influence FROM stepped JOIN spread USING (doc_id) JOIN held USING (b) GROUP BY doc_id"""
-    uniform_held = "held AS (SELECT CAST(b AS BIGINT) AS b, 1 / 64::DOUBLE AS v FROM range(64) AS k(b))"
-    before, rest = sql["unigram_influence"].split("held AS (", 1)
-    sql["interrupted_provider"] = before + uniform_held + ",\n" + rest[rest.index("gradient AS ("):]
+    sql["provider_rows"] = f"""WITH {TOKENS},
+counted AS (SELECT doc_id, {bucket} AS b, count(*) AS n FROM (SELECT doc_id, unnest(w) AS t FROM tokens) GROUP BY ALL)
+SELECT d.doc_id, CAST(k.b AS INTEGER) AS token, round(coalesce(c.n / sum(c.n) OVER (PARTITION BY d.doc_id), 0), 6) + 0 AS share
+FROM documents d CROSS JOIN range(64) AS k(b) LEFT JOIN counted c ON c.doc_id = d.doc_id AND c.b = k.b"""
+    sql["interrupted_provider"] = sql["provider_rows"]
     sql["losses_written"] = sql["token_weighted_loss"]
     sql["predictions_written"] = f"""{REPORT}, predicted AS (SELECT CAST(pred AS VARCHAR) AS name, count(*) AS predicted FROM preds GROUP BY ALL)
 SELECT CAST(place AS INTEGER) AS place, name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
@@ -14,6 +14,7 @@ from siftmark.operators import (
     annotation,
     classifier,
     clusters,
+    influence,
     matching,
     metrics,
     projection,
@@ -837,13 +838,13 @@ def _bucketed(tokens: DataFrame) -> DataFrame:
 
 @query
 def unigram_influence(spark, folder):
-    """Influence of every document on the benchmark's token mix (64 counts on the driver)."""
+    """Influence of every document on the benchmark's token mix, in columns."""
     held_out = _bucketed(tables.item_words(spark, folder).select(F.col("w").alias("tokens")))
-    counts = dict(held_out.select(F.explode("tokens").alias("t")).groupBy("t").count().collect())
-    validation = providers.share_vector(counts, VOCABULARY)
-    model = providers.UnigramInfluence(validation * 0.0, validation)
-    scored = providers.apply_provider(_bucketed(tables.document_words(spark, folder)), "tokens", model, "influence")
-    return scored.select("doc_id", r6(F.get("influence", F.lit(0))).alias("influence"))
+    counts = held_out.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    shares = counts.select("token", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))  # 64 rows
+    rows = _bucketed(tables.document_words(spark, folder))
+    scored = influence.first_step_loss(rows, "doc_id", "tokens", shares, VOCABULARY)
+    return scored.select("doc_id", r6("influence").alias("influence"))
 
 
 @query

@@ -1,11 +1,14 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftmark.functions import vectors
 from siftmark.operators import matching
+from siftmark.operators.influence import first_step_loss
 from siftmark.operators.projection import ROW_BLOCK, random_projection, sign_block
-from siftmark.operators.providers import UnigramGradient, UnigramInfluence, apply_provider, share_vector
+from siftmark.operators.providers import TokenShares, apply_provider
 
 SCHEMA = "ckpt int, id long, vector array<float>"
 
@@ -101,22 +104,37 @@ def test_projection_is_seeded_and_keeps_products(spark):
     assert other.vector != first[0].vector
 
 
-def test_unigram_models_by_hand(spark):
-    logits = np.array([0.2, -0.1, 0.0])
-    p = np.exp(logits) / np.exp(logits).sum()
-    tokens = {1: [0, 0, 2], 2: [1], 3: []}
-    frame_ = spark.createDataFrame(list(tokens.items()), "id long, tokens array<int>").repartition(2)
-    got = {r.id: r.g for r in apply_provider(frame_, "tokens", UnigramGradient(logits), "g").collect()}
-    share = {1: np.array([2, 0, 1]) / 3, 2: np.array([0, 1, 0]), 3: np.zeros(3)}
-    for ident in tokens:
-        assert got[ident] == pytest.approx((p - share[ident]).tolist())
-
-    held = share_vector({0: 1, 2: 3}, 3)
-    model = UnigramInfluence(logits, held)
-    losses = {r.id: r.influence for r in apply_provider(frame_, "tokens", model, "influence").collect()}
-    for ident in tokens:
-        g = p - share[ident]
-        g = g * min(1.0, 1.0 / np.linalg.norm(g))
-        stepped = logits * (1 - 1e-3 * 0.1) - 1e-3 * g / (np.abs(g) + 1e-8)
-        loss = -(held * (stepped - np.log(np.exp(stepped).sum()))).sum()
-        assert losses[ident] == pytest.approx([loss])
+def test_first_step_and_shares_by_hand(spark):
+    tokens = {1: [0, 0, 2], 2: [1], 3: [], 4: [0, 1, 2, 3], 5: None, 6: [3, 3, 3, 3, 0]}
+    rows = spark.createDataFrame(list(tokens.items()), "id long, tokens array<int>").repartition(2)
+    share = {i: np.bincount(np.array(t or [], dtype=int), minlength=4) / max(len(t or []), 1) for i, t in tokens.items()}
+    some = rows.where("tokens IS NOT NULL")
+    got = {r.id: r.g for r in apply_provider(some, "tokens", TokenShares(4), "g").collect()}
+    assert got == {i: pytest.approx(s.tolist()) for i, s in share.items() if i != 5}
+
+    held = np.array([0.25, 0.0, 0.75, 0.0])
+    held_out = spark.createDataFrame([(0, 0.25), (2, 0.75)], "token int, share double")
+    for clip in (1.0, 1e-7):
+        losses = first_step_loss(rows, "id", "tokens", held_out, 4, clip=clip).collect()
+        assert len(losses) == len(tokens)
+        for r in losses:
+            g = 0.25 - share[r.id]
+            g = g * min(1.0, clip / max(np.linalg.norm(g), 1e-12))
+            odds = -1e-3 * g / (np.abs(g) + 1e-8)
+            assert r.influence == pytest.approx(-(held * (odds - np.log(np.exp(odds).sum()))).sum(), abs=1e-12)
+
+
+def test_a_worker_opens_its_model_once(spark):
+    class CountsOpens:
+        """Counts in the worker's environment, which its tasks share."""
+
+        def open(self):
+            os.environ["OPENED"] = str(int(os.environ.get("OPENED", "0")) + 1)
+
+        def rows(self, tokens):
+            return [np.array([float(os.environ["OPENED"])]) for _ in tokens]
+
+    rows = spark.range(40, numPartitions=20).selectExpr("id", "array(1) AS tokens")
+    for _ in range(2):
+        got = apply_provider(rows, "tokens", CountsOpens(), "g").collect()
+        assert len(got) == 40 and {r.g[0] for r in got} == {1.0}
\ No newline at end of file

@@ -12,7 +12,7 @@ from siftmark.functions.vectors import last_state
 from siftmark.operators.annotation import RecordedAnnotator
 from siftmark.operators.clusters import sample_fixed
 from siftmark.operators.metrics import mean_cross_entropy
-from siftmark.operators.providers import UnigramGradient, apply_and_store
+from siftmark.operators.providers import TokenShares, apply_and_store
 from siftmark.plans import gradient_scores, topic_labels
 from siftmark.sources.corpus import read_clusters, read_training
 from siftmark.sources.evaluation import read_items, read_json_items
@@ -103,7 +103,7 @@ def test_stored_vectors_are_matched(spark, tmp_path):
 
 
 def test_interrupted_provider_runs_continue(spark, tmp_path):
-    model = UnigramGradient(np.zeros(3))
+    model = TokenShares(3)
     rows = spark.createDataFrame([(i, [i % 3]) for i in range(10)], "id long, tokens array<int>")
     path = f"{tmp_path}/out"
     assert apply_and_store(rows.where("id < 4"), "id", "tokens", model, "g", path).count() == 4
