@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -87,21 +88,25 @@ def build_requests(
     return sampled.withColumn("request", F.to_json(line))
 
 
-def parse_responses(responses: DataFrame, column: str = "response", keep_id: bool = False) -> DataFrame:
+def parse_responses(
+    responses: DataFrame, column: str = "response", keep_id: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
     """(cluster, rank, topic, selected_topic, explanation), all text.
 
     An id of another shape leaves cluster and rank null; no choices, or an
     answer that is not JSON, leave the topic fields null. ``keep_id`` adds the
-    whole custom_id, which also tells fractional ranks apart.
+    whole custom_id, which also tells fractional ranks apart; ``keep`` names
+    columns to pass on.
     """
-    parsed = responses.select(F.from_json(column, RESPONSE_SCHEMA).alias("r"))
+    parsed = responses.select(*keep, F.from_json(column, RESPONSE_SCHEMA).alias("r"))
     content = F.get("r.response.body.choices", F.lit(0))["message"]["content"]
-    fields = parsed.select(F.col("r.custom_id").alias("id"), content.alias("content"))
+    fields = parsed.select(*keep, F.col("r.custom_id").alias("id"), content.alias("content"))
 
     def group(n: int) -> Column:
         return F.nullif(F.regexp_extract("id", fixed.CUSTOM_ID_PATTERN, n), F.lit(""))
 
     answers = fields.select(
+        *keep,
         "id",
         group(1).alias("cluster"),
         group(2).alias("rank"),
@@ -109,6 +114,7 @@ def parse_responses(responses: DataFrame, column: str = "response", keep_id: boo
     )
     kept = [F.col("id").alias("custom_id")] if keep_id else []
     return answers.select(
+        *keep,
         *kept,
         "cluster",
         "rank",

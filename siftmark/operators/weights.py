@@ -119,12 +119,6 @@ def fold_losses(
     holding most of the losses is spread over its blocks; what is ordered per
     category is one row per block.
     """
-    keep = F.lit(1 - rule.eta)
-    step = F.aggregate(
-        "influence",
-        F.lit(0.0),
-        lambda w, loss: keep * w + F.lit(rule.eta) * F.exp(loss * rule.loss_scale),
-    )
     start = weights.to_frame(lines.sparkSession)
     numbers = F.broadcast(start.select("family", "key", "ord"))  # one row per category
     # each line is folded where it is read; its list and names are not shuffled
@@ -133,10 +127,31 @@ def fold_losses(
         "ord",
         F.shiftright("line_no", block_bits).alias("block"),
         "line_no",
+        *line_fold(rule),
+    )
+    return fold_blocks(start, folded_lines, rule)
+
+
+def line_fold(rule: UpdateRule) -> list[Column]:
+    """(n, gained, last_loss) of one line: its losses folded from zero."""
+    step = F.aggregate(
+        "influence",
+        F.lit(0.0),
+        lambda w, loss: F.lit(1 - rule.eta) * w + F.lit(rule.eta) * F.exp(loss * rule.loss_scale),
+    )
+    return [
         F.size("influence").cast("long").alias("n"),
         step.alias("gained"),
         F.element_at("influence", -1).alias("last_loss"),
-    )
+    ]
+
+
+def fold_blocks(start: DataFrame, folded_lines: DataFrame, rule: UpdateRule) -> DataFrame:
+    """Folded categories from parts (ord, block, line_no, n, gained, last_loss) that do not overlap.
+
+    A part is a line, or lines next to each other under the number of one of them.
+    """
+    keep = F.lit(1 - rule.eta)
 
     def later(order: str, *within: str) -> Column:
         frame = (

@@ -15,11 +15,12 @@ from siftmark.operators import clusters, metrics, providers, scoring, selection,
 from siftmark.operators.ordering import running_total
 from siftmark.plans import tables
 from siftmark.plans.queries import ladder, query, r6
-from siftmark.plans.selection_round import Round, flag_lines, run_round
+from siftmark.plans.selection_round import Round, flag_lines, move_weights, published, resume_round, run_round, write_scores
 from siftmark.plans.tables import table
 from siftmark.session import shared_folder
 from siftmark.sources import corpus, evaluation, packed, predictions
 from siftmark.sources.lines import PARTS, numbered_lines, with_field, write_files
+from siftmark.sources.manifests import write_mark
 from siftmark.sources.weight_files import load_weights, save_weights
 
 
@@ -242,16 +243,35 @@ def interrupted_provider(spark, folder):
     return _shares(providers.apply_and_store(rows, "doc_id", "tokens", model, "shares", path))
 
 
-@query
-def round_over_files(spark, folder):
-    """A whole iteration over files; the lines that it selects."""
-    job = Round(
+def _round(spark, folder) -> Round:
+    return Round(
         influence=_written_influences(spark, folder),
         corpus=_written_corpus(spark, folder, _whole_lines(spark, folder), "corpus"),
         output=fresh(spark, "round"),
         top_n=table(spark, folder, "documents").count() // 10,
         pattern=PARTS,
     )
+
+
+@query
+def round_resumed(spark, folder):
+    """A round whose first run ended before its scores were marked as whole: resumed, every processed line."""
+    job = _round(spark, folder)
+    weights_of = move_weights(spark, job)
+    write_mark(spark, job.mark("weights"), job.constants())
+    write_scores(spark, job, weights_of)
+    resume_round(spark, job)
+    lines = spark.read.option("recursiveFileLookup", True).text(published(spark, job)["processed"])
+    value = F.from_json("value", "content string, score_1 double, selection int")
+    return lines.select(value.alias("v")).select(
+        F.col("v.content").alias("content"), r6("v.score_1").alias("score"), F.col("v.selection").alias("selection")
+    )
+
+
+@query
+def round_over_files(spark, folder):
+    """A whole iteration over files; the lines that it selects."""
+    job = _round(spark, folder)
     run_round(spark, job)
     chosen = spark.read.option("recursiveFileLookup", True).text(job.folder("selected"))
     return chosen.select(F.get_json_object("value", "$.content").alias("content"))

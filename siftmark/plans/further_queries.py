@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from siftmark import fixed_values as fixed
 from siftmark.functions.table_functions import register_chunks
-from siftmark.operators import batches, intervals, matching, sequences
+from siftmark.operators import annotation, batches, intervals, matching, sequences
+from siftmark.operators.weights import AgentWeights
 from siftmark.plans import oracles, tables
+from siftmark.plans.annotation_jobs import completed_labels, request_states, run_windows
 from siftmark.plans.file_queries import fresh
 from siftmark.plans.queries import query, r6
 from siftmark.plans.tables import table
 from siftmark.sources.packed_source import register_packed
+from siftmark.streaming.folded_losses import folded_weights, follow_losses
 
 SQL: dict[str, str] = {}
 
@@ -102,3 +105,54 @@ def file_packed_source(spark, folder):
 
 
 SQL["file_packed_source"] = oracles.oracle_sql()["file_packed"]
+
+
+@query
+def stream_ewma(spark, folder):
+    """``ewma_weights`` from a stream: several micro-batches, a part of the lines twice."""
+    lines = tables.influences(spark, folder)
+    arrived, output, checkpoint = (fresh(spark, f"stream-{n}") for n in ("lines", "folded", "checkpoint"))
+    for arrival in ("line_no % 3 > 0", "line_no % 2 = 0", "line_no % 6 = 3"):
+        lines.where(arrival).repartition(2, "line_no").write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+        follow_losses(stream, output, checkpoint).awaitTermination()
+    return folded_weights(spark, output, AgentWeights()).select("family", "key", "n", r6("weight").alias("weight"))
+
+
+SQL["stream_ewma"] = oracles.oracle_sql()["ewma_weights"]
+
+
+class OfflineAnnotator:
+    """Answers from the request itself; some documents only when asked again, some never."""
+
+    def annotate(self, requests):
+        doc = F.regexp_extract("custom_id", "-doc-([0-9]+)$", 1).cast("long")
+        content = F.get_json_object("request", "$.body.messages[1].content")
+        answer = F.to_json(F.struct(F.concat(F.lit("t"), doc % 13).alias("selected topic"), F.length(content).cast("string").alias("explanation")))
+        message = F.struct(F.struct(answer.alias("content")).alias("message"))
+        given = (doc % 4 != 3) & ((doc % 4 != 1) | (F.col("attempt") > 1))
+        body = F.struct(F.when(given, F.array(message)).otherwise(F.array().cast("array<struct<message:struct<content:string>>>")).alias("choices"))
+        lines = requests.where(doc % 8 != 7).select("custom_id", F.struct(body.alias("body")).alias("response"))
+        return lines.select(F.to_json(F.struct("custom_id", "response")).alias("response"))
+
+
+@query
+def annotation_resumed(spark, folder):
+    """Requests for all documents in four windows; the first run is stopped after one attempt at two of them."""
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("content"), (F.col("doc_id") % 5).alias("cluster"), F.col("doc_id").alias("rank"))
+    requests = annotation.build_requests(docs, tie="doc_id").select((F.col("cluster") % 4).cast("int").alias("window"), "request")
+    path = fresh(spark, "annotation")
+    run_windows(requests, OfflineAnnotator(), path, [0, 1], attempts=1)
+    run_windows(requests, OfflineAnnotator(), path, range(4))
+    doc = F.regexp_extract("custom_id", "-doc-([0-9]+)$", 1).cast("long")
+    states = request_states(spark, path).select(doc.alias("doc_id"), "window", "state", "attempts")
+    labels = completed_labels(spark, path).select(doc.alias("doc_id"), "selected_topic", F.col("explanation").cast("long").alias("chars"))
+    return states.join(labels, "doc_id", "left")
+
+
+SQL["annotation_resumed"] = """
+SELECT doc_id, CAST(doc_id % 5 % 4 AS INTEGER) AS window, CASE WHEN doc_id % 4 = 3 THEN 'failed' ELSE 'completed' END AS state,
+  CAST(CASE doc_id % 4 WHEN 3 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+  CASE WHEN doc_id % 4 <> 3 THEN 't' || (doc_id % 13) END AS selected_topic,
+  CASE WHEN doc_id % 4 <> 3 THEN CAST(length(text) AS BIGINT) END AS chars
+FROM documents"""

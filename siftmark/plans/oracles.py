@@ -221,6 +221,8 @@ SELECT round((SELECT threshold FROM cut), 6) AS threshold, count(*) AS selected
     sql["file_weights"] = f"""{COLLAB} SELECT family, key, round(weight, 6) AS weight FROM shares
 UNION ALL SELECT 'collaboration', CAST(agent AS VARCHAR), round(weight, 6) FROM collab"""
     sql["round_over_files"] = f"""{ITERATION} SELECT text AS content FROM scored WHERE score >= (SELECT threshold FROM cut)"""
+    sql["round_resumed"] = f"""{ITERATION}
+SELECT text AS content, round(score, 6) AS score, CAST(score >= (SELECT threshold FROM cut) AS INTEGER) AS selection FROM scored"""
     sql["file_flags"] = f"""WITH {PLACED}, marked AS (
   SELECT *, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 101 ELSE 0 END AS score FROM placed)
 SELECT source AS subfolder, lang AS file, line_no, CAST(score >= (

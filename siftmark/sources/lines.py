@@ -99,10 +99,11 @@ def write_files(df: DataFrame, line: str, path: str) -> None:
     ordered.sortWithinPartitions(*keys, "line_no").select(*keys, "value").write.partitionBy(*keys).text(path)
 
 
-def write_lines(df: DataFrame, line: str, path: str, partition_by: list[str]) -> None:
+def write_lines(df: DataFrame, line: str, path: str, partition_by: list[str], mode: str = "errorifexists") -> None:
     """Write a text column, one folder per value of ``partition_by``.
 
     A scan cannot be overwritten while it is read, so ``path`` is a new folder
-    for every iteration.
+    for every iteration; ``mode`` "overwrite" is for what a stopped run left.
     """
-    df.select(*partition_by, F.col(line).alias("value")).write.partitionBy(*partition_by).text(path)
+    rows = df.select(*partition_by, F.col(line).alias("value")).write.mode(mode)
+    rows.option("partitionOverwriteMode", "static").partitionBy(*partition_by).text(path)

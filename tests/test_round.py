@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from siftmark.operators.selection import lines_of, select_lines
 from siftmark.operators.weights import AgentWeights
-from siftmark.plans.selection_round import Round, flag_lines, run_round
+from siftmark.plans import selection_round
+from siftmark.plans.selection_round import Round, flag_lines, published, resume_round, run_round
 from siftmark.sources.corpus import missing_keys, parse_records, read_clusters, read_influences
 from siftmark.sources.lines import numbered_lines, scan_lines, with_field
+from siftmark.sources.manifests import read_mark, write_mark
 from siftmark.sources.weight_files import load_weights
 from test_weights import ORDER, update_by_loop
 
@@ -271,3 +273,71 @@ def test_cluster_folders(spark, tmp_path):
     assert [(r.cluster, r.rank, r.content) for r in rows] == [(3, 2.0, "x"), (3, None, "y")]
     assert [r.rank_text for r in rows] == ["2", None]
     assert read_clusters(spark, str(tmp_path), 0, 99).count() == 3
+
+
+STOPS = ["save_weights", "write_scores", "write_threshold", "write_processed", "write_selected", "write_mark"]
+
+
+@pytest.mark.parametrize("stop", STOPS)
+def test_a_round_stopped_anywhere_is_not_there_and_goes_on(spark, tmp_path, monkeypatch, stop):
+    influence_files(f"{tmp_path}/inf", 1)
+    record = '{{"content": "t{0}", "domain": "c4", "attr-fineweb-edu": 3.0, "attr-cc_en_topic": 1, "epoch": {0}}}'
+    write(f"{tmp_path}/corpus/a/f.jsonl", [record.format(i) for i in range(9)])
+    write(f"{tmp_path}/source/a/f.jsonl", [f"text {i}" for i in range(9)])
+    job = Round(f"{tmp_path}/inf", f"{tmp_path}/corpus", f"{tmp_path}/out", f"{tmp_path}/source", top_n=2)
+    following = Round(job.influence, job.corpus, job.output, job.source, iteration=2, top_n=2)
+    calls = []
+
+    def count(name):
+        whole = getattr(selection_round, name)
+
+        def counted(*args):
+            calls.append(name)
+            if name == stop and calls.count(stop) == 1 and "resumed" not in calls:
+                if name != "write_mark":
+                    whole(*args)  # its output is there, but not its mark
+                raise KeyboardInterrupt
+            return whole(*args)
+
+        monkeypatch.setattr(selection_round, name, counted)
+
+    for name in STOPS:
+        count(name)
+    with pytest.raises(KeyboardInterrupt):
+        run_round(spark, job)
+    with pytest.raises(FileNotFoundError, match="not published"):
+        published(spark, job)
+    with pytest.raises(FileNotFoundError, match="not published"):
+        run_round(spark, following)
+    calls.append("resumed")
+    weights = resume_round(spark, job)
+    after = calls[calls.index("resumed") :]
+    done = STOPS[1 : STOPS.index(stop)] if stop != "write_mark" else []
+    assert not set(done) & set(after)
+    folders = published(spark, job)
+    assert set(folders) == {"weights", "scored", "threshold", "processed", "selected", "flags"}
+    chosen = spark.read.option("recursiveFileLookup", True).text(folders["selected"]).collect()
+    assert sorted(r.value for r in chosen) == ["text 0", "text 1"]
+    flags = spark.read.parquet(folders["flags"]).where("selection = 1").collect()
+    assert sorted(r.line_no for r in flags) == [0, 1]
+    assert load_weights(spark, f"{tmp_path}/out/weights", 1) == weights
+
+    calls[:] = ["resumed"]
+    assert resume_round(spark, job) == weights and calls == ["resumed"]
+    job.top_n = 3
+    with pytest.raises(ValueError, match="was run with"):
+        resume_round(spark, job)
+    run_round(spark, job)
+    chosen = spark.read.option("recursiveFileLookup", True).text(job.folder("selected")).collect()
+    assert len(chosen) == 3
+    run_round(spark, following)
+
+
+def test_a_mark_is_written_once(spark, tmp_path):
+    path = f"{tmp_path}/a/_mark"
+    assert read_mark(spark, path) is None
+    write_mark(spark, path, {"a": [1, 0.1], "b": "\u00e9"})
+    with pytest.raises(FileExistsError):
+        write_mark(spark, path, {})
+    assert read_mark(spark, path) == {"a": [1, 0.1], "b": "\u00e9"}
+    assert [n for n in os.listdir(f"{tmp_path}/a") if not n.startswith(".")] == ["_mark"]
