@@ -181,27 +181,33 @@ def mixture(
 
 
 def taken_words(docs: DataFrame, block: int = 128, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): one row per document.
+    """(doc_id, source, size, source_size, target, taken, first_slot, n_pieces): one row per document.
 
     ``docs`` has (doc_id, source, size). ``taken`` sums what the slots take, at
     most twice the size. A null source is a source of its own, the last. Rows
     that repeat (doc_id, source, size) share out what is taken among themselves
-    evenly; a null id is an id. Documents without words, and all documents of an
+    evenly; a null id is an id. ``first_slot`` is the document's place in the
+    mix, the first slot that takes some of it (null where none does), and
+    ``n_pieces`` the pieces it is taken in, one for each slot and pass; rows that
+    repeat share both. Documents without words, and all documents of an
     empty mix, take none.
     """
     sizes = materialize(docs.select("doc_id", source_key("source"), "size"), "sizes")
     targets = materialize(source_targets(sizes), "targets")
     mixed = mixture(sizes, targets, block, seed)
     key = F.struct("doc_id", "source", "size")
-    sums = mixed.groupBy(key.alias("_key")).agg(F.sum("words").alias("_taken"))
+    sums = mixed.groupBy(key.alias("_key")).agg(
+        F.sum("words").alias("_taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_pieces")
+    )
     copies = sizes.groupBy(key.alias("_key")).agg(F.count("*").alias("_copies"))
     table = copies.join(sums, "_key", "left").select(
         "_key.*", F.posexplode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth", "_one"),
         "_copies", F.coalesce("_taken", F.lit(0)).alias("_taken"),
+        "first_slot", F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"),
     )
     share = F.floor((F.col("_taken") + F.col("_nth")) / F.col("_copies")).cast("long")
     table = table.withColumn("taken", share)
     name = F.when(F.col("source") != "t", F.expr("substring(source, 2)"))
     return join_spread(table, targets, ["source"]).select(
-        "doc_id", name.alias("source"), "size", "source_size", "target", "taken"
+        "doc_id", name.alias("source"), "size", "source_size", "target", "taken", "first_slot", "n_pieces"
     )

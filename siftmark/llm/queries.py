@@ -149,7 +149,9 @@ def op8_prefix_free_parsing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_source_schedule(spark: SparkSession, folder: str) -> DataFrame:
     sized = documents(spark, folder).withColumn("size", common.word_count(common.plain_text()))
-    return mixing.taken_words(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(sized).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_slot", "n_pieces"
+    )
 
 
 SQL["op9_source_schedule"] = r"""
@@ -177,11 +179,28 @@ lined AS (
   SELECT *, coalesce(sum(size) OVER (
            PARTITION BY src ORDER BY substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12), doc_id, size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sizes)
+  FROM sizes),
+needs AS (SELECT src, ceil(q / 128) AS need FROM quota),
+dealt AS (
+  SELECT src, CASE WHEN need > 0 THEN greatest(ceil(need * 1.02::DOUBLE), need + 8) ELSE 0 END::BIGINT AS share FROM needs),
+bounds AS (
+  SELECT src, round(coalesce(sum(share) OVER earlier, 0) / (sum(share) OVER ())::DOUBLE * 2147483648) AS lo,
+         round((coalesce(sum(share) OVER earlier, 0) + share) / (sum(share) OVER ())::DOUBLE * 2147483648) AS hi
+  FROM dealt WINDOW earlier AS (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+slots AS (
+  SELECT slot, src, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank
+  FROM (SELECT range AS slot, range * 1327217885 % 2147483648 AS point
+        FROM range((SELECT CAST(sum(share) AS BIGINT) FROM dealt))) AS line
+  JOIN bounds ON point >= lo AND point < hi),
+placed AS (
+  SELECT *, least(start + size, q) AS stop, start + source_size AS start2, least(start + source_size + size, q) AS stop2
+  FROM lined JOIN quota USING (src))
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(start + size, q) - start)
-          + greatest(0, least(start + source_size + size, q) - start - source_size) AS BIGINT) AS taken
-FROM lined JOIN quota USING (src)"""
+       CAST(greatest(0, stop - start) + greatest(0, stop2 - start2) AS BIGINT) AS taken,
+       slot AS first_slot,
+       CAST(CASE WHEN start < stop THEN (stop - 1) // 128 - start // 128 + 1 ELSE 0 END
+          + CASE WHEN start2 < stop2 THEN (stop2 - 1) // 128 - start2 // 128 + 1 ELSE 0 END AS BIGINT) AS n_pieces
+FROM placed p LEFT JOIN slots s ON s.src = p.src AND s.rank = p.start // 128 AND p.start < p.stop"""
 
 
 @query

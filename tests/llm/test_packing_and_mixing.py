@@ -190,3 +190,25 @@ def test_a_source_under_one_block_has_a_slot(spark):
     slots = mixing.schedule(targets, 128).groupBy("source").count().collect()
     count = {r.source: r["count"] for r in slots}
     assert set(count) == {"sa", "sb"} and count["sa"] >= 156_250
+
+
+def test_places_in_the_mix_are_those_of_the_schedule(spark):
+    rows = [(i, f"s{i % 4}" if i % 3 else "hot", i % 90) for i in range(300)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    found = mixing.taken_words(sized, block=32).collect()
+    keyed = sized.withColumn("source", mixing.source_key("source"))
+    mixed = mixing.mixture(keyed, mixing.source_targets(keyed), 32).collect()
+    slots = {}
+    for r in mixed:
+        slots.setdefault(r.doc_id, []).append(r.slot)
+    for r in found:
+        mine = slots.get(r.doc_id, [])
+        assert (r.first_slot, r.n_pieces) == (min(mine, default=None), len(mine))
+        assert (r.taken > 0) == (r.n_pieces > 0)
+    # in the first tenth of the slots each source has near a tenth of its blocks, which a plain list of blocks has not
+    line = mixing.schedule(mixing.source_targets(keyed), 32).collect()
+    cut = len(line) // 10
+    for source in {r.source for r in line}:
+        ranks = [r.rank for r in line if r.source == source]
+        early = sum(r.slot < cut for r in line if r.source == source)
+        assert abs(early - len(ranks) / 10) <= 2
