@@ -21,10 +21,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def whole_rows(docs: DataFrame) -> DataFrame:
     """(_doc, _key, and what the operators read): rows as structs, so that no column of
-    the documents meets one of ours. ``_key`` is a hash of the whole row."""
+    the documents meets one of ours. ``_key`` is the whole row in 128 bits: hashes from
+    two seeds, over which values are null as well, since a null alone changes no hash."""
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in row])
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_key"),
+        F.struct(*row).alias("_doc"),
+        F.struct(F.xxhash64(F.lit(1), nulls, *row).alias("a"), F.xxhash64(F.lit(2), nulls, *row).alias("b")).alias("_key"),
         *[F.col(c) for c in ("doc_id", "text", "lang", "source")],
     )
 
