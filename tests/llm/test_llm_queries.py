@@ -89,3 +89,29 @@ def test_stages_keep_odd_rows_whole(spark, folder, number):
         assert sum(r[0] == 5 for r in found) == (name == "near dedup")  # 6 has more code points
     empty = stage(spark, odd_rows.empty(spark), folder)
     assert empty.collect() == []
+
+
+def test_rows_that_differ_by_where_nulls_are_both_stay(spark, folder):
+    schema = "doc_id long, text string, lang string, source string"
+    text = " ".join(odd_rows.words(8, 300))
+    rows = [(None, text, None, "x"), (None, text, "x", None), (None, text, "x", None)]
+    keys = corpus_pipeline.whole_rows(spark.createDataFrame(rows, schema)).select("_key").distinct()
+    assert keys.count() == 2
+    out = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, schema), folder)
+    assert {r.source for r in out.collect()} == {"x", None}
+
+
+def test_pack_stage_places_odd_rows(spark, folder):
+    out = corpus_pipeline.pack(spark, odd_rows.frame(spark), folder)
+    found = out.collect()
+    assert sum(r.piece == 0 for r in found) == len(odd_rows.rows())
+    by_sequence = {}
+    for r in found:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= queries.CAPACITY
+    assert corpus_pipeline.pack(spark, odd_rows.empty(spark), folder).collect() == []
