@@ -97,9 +97,10 @@ def links(prints: DataFrame, large: int = LARGE) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     pairs = left.join(right, "variant").where((F.col("a") < F.col("b")) & near).select("a", "b")
     hot = shared.where(F.col("_n") > large).select("fingerprint").distinct()
-    # dealt evenly before each becomes 2,016 rows: adaptive execution leaves few tasks of so small a table
+    # dealt evenly before each becomes 2,016 rows: adaptive execution leaves few tasks of so small a
+    # table; by a hash of its own, as dealing by the column again would be left out of the plan
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = two_wildcards(hot.repartition(tasks, "fingerprint"))
+    spread = two_wildcards(hot.repartition(tasks, F.xxhash64("fingerprint")))
     centres = (
         spread.groupBy("_i", "_j", "_rest")
         .agg(F.min("fingerprint").alias("a"), F.count("*").alias("_n"))
