@@ -6,10 +6,11 @@ most classes x classes rows and is the only thing ever shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.vectors import argmax, rank_of, softmax
+from siftmark.operators.ordering import sorted_positions
 
 THRESHOLDS = (0.8, 0.6, 0.4, 0.2, 0.0)
 
@@ -18,10 +19,12 @@ def label_map(df: DataFrame, topic: str) -> DataFrame:
     """(topic, label): distinct topics numbered in sorted order.
 
     One numbering for the whole table; a numbering per batch would change
-    meaning whenever a batch misses a class.
+    meaning whenever a batch misses a class. Topics may be free text, as many as
+    there are rows: they are ordered by ranges, not in one task.
     """
     classes = df.where(F.col(topic).isNotNull()).select(F.col(topic).alias("topic")).distinct()
-    return classes.select("topic", (F.row_number().over(Window.orderBy("topic")) - 1).alias("label"))
+    placed = sorted_positions(classes, [], [F.col("topic")], "label")
+    return placed.select("topic", F.col("label").cast("int").alias("label"))
 
 
 def with_predictions(df: DataFrame, logits: str = "logits") -> DataFrame:

@@ -106,8 +106,8 @@ def file_selected_lines(spark, folder):
     return chosen.select("subfolder", "file", "line_no", F.get_json_object("line", "$.content").alias("content"))
 
 
-@query
-def file_clusters(spark, folder):
+def written_clusters(spark, folder) -> str:
+    """The folder that holds the clusters' documents as lines."""
     docs = tables.clusters(spark, folder)
     placed = running_total(docs.select("cluster", "doc_id"), "doc_id", groups=("cluster",), out="line_no")
     path = fresh(spark, "clusters")
@@ -121,7 +121,12 @@ def file_clusters(spark, folder):
         "line",
         path,
     )
-    read = corpus.read_clusters(spark, path, 0, 99, PARTS)
+    return path
+
+
+@query
+def file_clusters(spark, folder):
+    read = corpus.read_clusters(spark, written_clusters(spark, folder), 0, 99, PARTS)
     return clusters.sample_fixed(read, "tie").select("cluster", "rank", "content")
 
 
@@ -169,13 +174,12 @@ def file_tydiqa(spark, folder):
     return evaluation.read_tydiqa(spark, path)
 
 
-@query
-def file_mmlu(spark, folder):
-    """The first ten rows of each subject's file."""
+def written_mmlu(spark, folder, split: str = "test") -> str:
+    """The folder that holds a file of items for each subject."""
     w = text.words(F.col("text"))
     items = table(spark, folder, "benchmark").select(
         "item_id",
-        F.concat(F.lit("subject_"), (F.col("item_id") % 3).cast("string"), F.lit("_test.csv")).alias("file"),
+        F.concat(F.lit("subject_"), (F.col("item_id") % 3).cast("string"), F.lit(f"_{split}.csv")).alias("file"),
         F.col("text").alias("question"),
         *[F.element_at(w, i + 1).alias(c) for i, c in enumerate(evaluation.MMLU_LETTERS)],
         F.element_at(F.array(*[F.lit(c) for c in "ABCD"]), (F.col("item_id") % 4 + 1).cast("int")).alias("answer"),
@@ -183,7 +187,13 @@ def file_mmlu(spark, folder):
     path = fresh(spark, "mmlu")
     ordered = items.repartition("file").sortWithinPartitions("file", "item_id").drop("item_id")
     ordered.write.partitionBy("file").option("quoteAll", True).option("escape", '"').csv(path)
-    read = evaluation.read_mmlu(spark, path, pattern=PARTS)
+    return path
+
+
+@query
+def file_mmlu(spark, folder):
+    """The first ten rows of each subject's file."""
+    read = evaluation.read_mmlu(spark, written_mmlu(spark, folder), pattern=PARTS)
     return read.select("subject", "row_no", "question", F.array_join("options", "|").alias("options"), "answer")
 
 

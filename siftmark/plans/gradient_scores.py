@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from siftmark.operators.projection import random_projection
 from siftmark.operators.prompts import TULU, build_prompts, tokenize_prompts
 from siftmark.operators.sampling import counted_slice, random_share, shuffle_and_take
 from siftmark.operators.sequences import overlap_chunks
+from siftmark.sources.corpus import read_vectors
 
 WHOLE_TASKS = ("bbh", "tydiqa", "mmlu")
 READ_FIRST = {"squad": fixed.VALIDATION_ROWS + 1}
@@ -29,8 +30,10 @@ def training_chunks(
     share: float = 1.0,
     seed: int = 0,
     limit: int | None = None,
+    file_keys: Sequence[str] = (),
 ) -> DataFrame:
-    """(line_no, chunk_no, start, input_ids) of one file's (line_no, content) rows.
+    """(line_no, chunk_no, start, input_ids) of one file's (line_no, content) rows,
+    or of many files', told apart by the columns ``file_keys``.
 
     ``slice_no`` keeps one slice of lines, counted from one; ``share`` then
     keeps that part of them at random. ``limit`` stops a text's windows at the
@@ -39,8 +42,10 @@ def training_chunks(
     if slice_no is not None:
         lines = lines.where(counted_slice(F.col("line_no")) == slice_no)
     if share != 1.0:
+        if file_keys:
+            raise ValueError("a random share is drawn from one file")
         lines = random_share(lines, "line_no", share, seed)
-    tokenized = lines.select("line_no", tokens(F.col("content")).alias("tokens"))
+    tokenized = lines.select(*file_keys, "line_no", tokens(F.col("content")).alias("tokens"))
     return overlap_chunks(tokenized, "tokens", window, limit).drop("tokens")
 
 
@@ -79,7 +84,7 @@ def match_stored(
 ) -> DataFrame:
     """Scores of stored (ckpt, train_id, vector) rows against a task's (ckpt, position, vector)."""
     scores = match_influence(
-        spark.read.parquet(train_path), spark.read.parquet(validation_path), fixed.SUBTASKS[task], weights
+        read_vectors(spark, train_path), read_vectors(spark, validation_path), fixed.SUBTASKS[task], weights
     )
     scores.write.mode("overwrite").parquet(output)
     return spark.read.parquet(output)

@@ -94,6 +94,13 @@ cut AS (
 PLACED = """placed AS (
   SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS line_no FROM documents)"""
 
+MEMBERS = """members AS (
+  SELECT CAST(substr(source, 4) AS INTEGER) AS cluster, CASE WHEN doc_id % 17 <> 0 THEN n_chars::DOUBLE END AS rank,
+         CASE WHEN doc_id % 19 <> 0 THEN text END AS content, doc_id FROM documents),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY rank NULLS LAST, doc_id) - 1 AS i,
+         count(*) OVER (PARTITION BY cluster) AS n FROM members)"""
+
 PREDICTIONS = """scores AS (
   SELECT vec_id, label, unnest(range(64)) AS class, unnest(embedding)::DOUBLE AS logit FROM embeddings),
 preds AS (
@@ -237,12 +244,7 @@ FROM placed p JOIN scored s ON s.doc_id = p.doc_id WHERE s.score >= (SELECT thre
 SELECT doc_id, round(score, 6) AS score FROM scored WHERE score >= (SELECT min(score) FROM best)"""
 
     # --------------------------------------------------------------- clusters
-    members = """members AS (
-  SELECT CAST(substr(source, 4) AS INTEGER) AS cluster, CASE WHEN doc_id % 17 <> 0 THEN n_chars::DOUBLE END AS rank,
-         CASE WHEN doc_id % 19 <> 0 THEN text END AS content, doc_id FROM documents),
-ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY rank NULLS LAST, doc_id) - 1 AS i,
-         count(*) OVER (PARTITION BY cluster) AS n FROM members)"""
+    members = MEMBERS
     sql["cluster_sample_10"] = f"""WITH {members}
 SELECT cluster, rank, content, doc_id FROM ordered WHERE i % CAST(ceil(n / 10.0) AS BIGINT) = 0 AND content IS NOT NULL"""
     sql["file_clusters"] = f"""WITH {members}

@@ -13,15 +13,28 @@ from siftmark.operators.clusters import cluster_window, sample_fixed
 from siftmark.operators.joins import join_checked
 from siftmark.operators.sampling import split_by_draw
 from siftmark.sources.corpus import read_clusters
+from siftmark.sources.lines import JSONL, write_lines
 
 
-def write_requests(spark: SparkSession, base: str, first: int, last: int, output: str) -> None:
+def write_requests(spark: SparkSession, base: str, first: int, last: int, output: str, pattern: str = JSONL) -> None:
     """Sampled documents as request lines, one folder per window of clusters."""
-    sampled = sample_fixed(read_clusters(spark, base, first, last), "tie")
+    sampled = sample_fixed(read_clusters(spark, base, first, last, pattern), "tie")
     requests = build_requests(sampled, tie="tie").withColumn("window", cluster_window(F.col("cluster")))
     requests.select("window", F.col("request").alias("value")).write.partitionBy("window").text(output)
 
 
+def write_labels(labels: DataFrame, output: str) -> None:
+    """Parsed answers as JSON lines, one folder per window of clusters.
+
+    A field without a value is written as null, and an answer whose id names no
+    cluster goes to the folder of windows that are null.
+    """
+    fields = [F.col(c) for c in ("cluster", "rank", "topic", "selected_topic", "explanation")]
+    line = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    window = cluster_window(F.col("cluster").cast("long")).alias("window")
+    write_lines(labels.select(window, line.alias("line")), "line", output, ["window"])
+
+
 def label_documents(requests: DataFrame, annotator: Annotator) -> DataFrame:
     """(custom_id, cluster, rank, topic, selected_topic, explanation) for request lines."""
     return parse_responses(annotator.annotate(requests), keep_id=True)

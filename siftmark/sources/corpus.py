@@ -120,9 +120,9 @@ def read_clusters(spark: SparkSession, base: str, first: int, last: int, pattern
     )
 
 
-def read_training(spark: SparkSession, path: str) -> DataFrame:
+def read_training(spark: SparkSession, path: str, pattern: str = JSONL) -> DataFrame:
     """(path, line_no, content) of training files, for slicing and chunking."""
-    lines = numbered_lines(spark, path)
+    lines = numbered_lines(spark, path, pattern=pattern)
     return lines.select("path", "line_no", F.get_json_object("line", "$.content").alias("content"))
 
 

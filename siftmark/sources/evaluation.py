@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import file_name
-from siftmark.sources.lines import numbered_lines
+from siftmark.operators.joins import join_checked
+from siftmark.sources.lines import JSONL, numbered_lines
 
 MMLU_LETTERS = ("a", "b", "c", "d")
 
@@ -68,14 +69,15 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     files = rows.groupBy("_path").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     starts = files.select("_path", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")).alias("_s"))
-    return rows.join(starts, "_path").select(
+    # a key per file would put a large file in one task
+    return join_checked(rows, starts, ["_path"], "left").select(
         *items.columns, (F.col("_s") + F.col("_row")).alias("item_no")
     )
 
 
-def read_json_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_json_items(spark: SparkSession, path: str, schema: str, pattern: str = JSONL) -> DataFrame:
     """A task's split stored as one JSON-lines file, with ``item_no``."""
-    lines = numbered_lines(spark, path)
+    lines = numbered_lines(spark, path, pattern=pattern)
     return lines.select(F.from_json("line", schema).alias("r"), F.col("line_no").alias("item_no")).select(
         "r.*", "item_no"
     )
