@@ -1,5 +1,6 @@
 """Chains of operators over files: labelling, and gradient matching."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -13,7 +14,7 @@ from siftmark.operators.annotation import RecordedAnnotator
 from siftmark.operators.clusters import sample_fixed
 from siftmark.operators.metrics import mean_cross_entropy
 from siftmark.operators.providers import TokenShares, apply_and_store
-from siftmark.plans import gradient_scores, topic_labels
+from siftmark.plans import file_queries, gradient_scores, topic_labels
 from siftmark.sources.corpus import read_clusters, read_training
 from siftmark.sources.evaluation import read_items, read_json_items
 
@@ -111,6 +112,20 @@ def test_interrupted_provider_runs_continue(spark, tmp_path):
     assert sorted(r.id for r in done.collect()) == list(range(10))
 
 
+def test_interrupted_provider_gives_each_row_its_loss(spark, tmp_path):
+    texts = ["a", "b b c", "", None, "a b c d e f g h", "x " * 500]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.influence for r in file_queries.interrupted_provider(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(6))
+    for i, text in enumerate(texts):
+        ids = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in (text or "").split()]
+        gradient = 1 / 64 - np.bincount(ids, minlength=64) / max(len(ids), 1)
+        gradient = gradient * min(1, 1 / np.linalg.norm(gradient))
+        stepped = -0.001 * gradient / (np.abs(gradient) + 1e-8)
+        assert got[i] == pytest.approx(np.log(np.exp(stepped).sum()) - stepped.mean(), abs=1e-6)
+
+
 def test_last_state_and_mean_loss(spark):
     row = spark.sql("SELECT array(array(1D), array(2D), array(3D)) s, array(1, 1, 0) m").select(
         last_state(F.col("s"), F.col("m"))
