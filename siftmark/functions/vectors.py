@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,12 +47,17 @@ def adam_gradient(gradient: Column, average: Column, average_sq: Column) -> Colu
     return F.zip_with(first, second, lambda m, v: m / F.sqrt(v + eps))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row: a lambda's body is otherwise computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     scaled = F.transform(logits, lambda x: x.cast("double") / temperature)
-    peak = F.transform(
-        F.array(scaled), lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    )[0]
-    return F.transform(F.array(peak), lambda e: F.transform(e, lambda x: x / _sum(e)))[0]
+    peak = _bound(
+        scaled, lambda v: _bound(F.array_max(v), lambda most: F.transform(v, lambda x: F.exp(x - most)))
+    )
+    return _bound(peak, lambda e: _bound(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def softmax_kept(logits: Column, temperature: float = 1.0) -> Column:
@@ -102,27 +109,28 @@ def rank_of(values: Column, target: Column) -> Column:
 
 def crop_to_top(logits: Column, k: int) -> Column:
     """Keep the ``k`` largest logits, earlier places first on ties; null the rest."""
-    marked = F.zip_with(
-        logits,
-        F.sequence(F.lit(0), F.size(logits) - 1),
-        lambda v, i: F.struct((-v).alias("neg"), i.alias("at")),
-    )
-    kept = F.transform(F.slice(F.array_sort(marked), 1, k), lambda s: s["at"])
-    return F.zip_with(
-        logits,
-        F.sequence(F.lit(0), F.size(logits) - 1),
-        lambda v, i: F.when(F.array_contains(kept, i), v),
-    )
+
+    def cropped(values: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(values) - 1)
+        marked = F.zip_with(values, places, lambda v, i: F.struct((-v).alias("neg"), i.alias("at")))
+        kept = F.transform(F.slice(F.sort_array(marked), 1, k), lambda s: s["at"])
+        return _bound(kept, lambda top: F.zip_with(values, places, lambda v, i: F.when(F.array_contains(top, i), v)))
+
+    return _bound(logits, cropped)
 
 
 def draw_from(probabilities: Column, chance: Column) -> Column:
     """Zero-based place at which the running probability passes ``chance``."""
-    passed = F.aggregate(
-        probabilities,
-        F.struct(F.lit(0.0).alias("seen"), F.lit(0).alias("at")),
-        lambda acc, p: F.struct(
-            (acc["seen"] + F.coalesce(p, F.lit(0.0))).alias("seen"),
-            (acc["at"] + F.when(acc["seen"] + F.coalesce(p, F.lit(0.0)) <= chance, 1).otherwise(0)).alias("at"),
-        ),
-    )
-    return F.least(passed["at"], F.size(probabilities) - 1)
+
+    def drawn(pair: Column) -> Column:
+        passed = F.aggregate(
+            pair["p"],
+            F.struct(F.lit(0.0).alias("seen"), F.lit(0).alias("at")),
+            lambda acc, p: F.struct(
+                (acc["seen"] + F.coalesce(p, F.lit(0.0))).alias("seen"),
+                (acc["at"] + F.when(acc["seen"] + F.coalesce(p, F.lit(0.0)) <= pair["u"], 1).otherwise(0)).alias("at"),
+            ),
+        )
+        return F.least(passed["at"], F.size(pair["p"]) - 1)
+
+    return _bound(F.struct(probabilities.alias("p"), chance.alias("u")), drawn)

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,20 @@ def test_softmax_loss_and_sampling(spark):
     assert list(draws) == [0, 0, 2, 2, 2]
 
 
+def test_wide_logits_are_sorted_once_a_row(spark):
+    wide, rows = 6000, 4
+    logits = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda i: ((i * 7919 + F.col("id")) % wide).cast("double"))
+    kept = vectors.softmax_kept(vectors.crop_to_top(logits, 3), 0.8)
+    began = time.monotonic()
+    got = spark.range(rows, numPartitions=2).select("id", vectors.draw_from(kept, F.lit(0.5)).alias("next")).collect()
+    assert time.monotonic() - began < 20  # a sort for each element takes minutes
+    for r in got:
+        top = sorted(range(wide), key=lambda i: -((i * 7919 + r.id) % wide))[:3]
+        e = {i: math.exp(((i * 7919 + r.id) % wide - wide) / 0.8) for i in sorted(top)}
+        upto = [sum(v for j, v in e.items() if j <= i) / sum(e.values()) for i in e]
+        assert r.next == next(i for i, u in zip(e, upto) if u > 0.5)
+
+
 def test_token_weighted_loss(spark):
     row = metrics.token_weighted_loss(
         spark.createDataFrame([(2.0, 10), (4.0, 30)], "loss double, num_tokens long")
