@@ -10,9 +10,10 @@ from siftmark.operators import annotation, batches, intervals, matching, sequenc
 from siftmark.operators.weights import AgentWeights
 from siftmark.plans import oracles, tables
 from siftmark.plans.annotation_jobs import completed_labels, request_states, run_windows
-from siftmark.plans.file_queries import fresh
+from siftmark.plans.file_queries import BUNDLE, fresh
 from siftmark.plans.queries import query, r6
 from siftmark.plans.tables import table
+from siftmark.sources.packed import bundled_together
 from siftmark.sources.packed_source import register_packed
 from siftmark.streaming.folded_losses import folded_weights, follow_losses
 
@@ -97,7 +98,8 @@ def file_packed_source(spark, folder):
     lengths = tables.document_words(spark, folder).withColumn("tokens", F.transform("tokens", F.length))
     chunks = sequences.pack_tokens(lengths, "doc_id", "tokens", 512, F.lit(0))
     path = fresh(spark, "packed-source")
-    chunks.write.format("packed").option("vocabulary", 40_000).mode("overwrite").save(path)
+    writer = bundled_together(chunks, BUNDLE).write.format("packed").option("vocabulary", 40_000).option("bundle", BUNDLE)
+    writer.mode("overwrite").save(path)
     read = spark.read.format("packed").option("blockSize", 200).load(path)
     parts = read.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "tokens"))).alias("parts"))
     tokens = F.flatten(F.transform("parts", lambda x: x["tokens"]))  # a chunk's own blocks

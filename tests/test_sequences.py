@@ -1,14 +1,18 @@
+import os
 import random
 import struct
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from siftmark.functions import text
 from siftmark.functions.schedule import round_up, step_flops, wsd_lr
 from siftmark.operators import sampling, sequences
+from siftmark.plans import file_queries, further_queries
 from siftmark.sources import packed
+from siftmark.sources.packed_source import register_packed
 
 
 @pytest.mark.parametrize("limit", [None, 1024])
@@ -159,3 +163,41 @@ def test_epochs_and_formulas(spark):
     n = 7
     attention = 2 * 4 * 3 * n * n
     assert row[0].f == pytest.approx(3 * (2 * 5 * n + attention) + 2 * (2 * 7 * n + attention))
+
+
+@pytest.mark.parametrize("name", ["file_packed_source"])
+@pytest.mark.parametrize("lengths", [[], [262_144], [900] * 299 + [0, 5], [400_000, 124_289]])
+def test_packed_queries_write_few_files(spark, tmp_path, monkeypatch, name, lengths):
+    texts = [" ".join("x" * (j * (i + 1) % 9 + 1) for j in range(n)) for i, n in enumerate(lengths)]
+    rows = [*enumerate(texts), (len(texts), None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    home = {"file_packed": file_queries, "file_packed_source": further_queries}[name]
+    monkeypatch.setattr(home, "fresh", lambda spark, label: f"{tmp_path}/set")
+    got = sorted(getattr(home, name)(spark, str(tmp_path)).collect())
+    tokens = [len(w) for t in texts for w in t.split()]
+    chunks = max(1, -(-len(tokens) // 512))
+    tokens += [0] * (chunks * 512 - len(tokens))
+    assert [tuple(r) for r in got] == [(c, " ".join(map(str, tokens[c * 512 : (c + 1) * 512]))) for c in range(chunks)]
+    assert len(os.listdir(f"{tmp_path}/set")) <= 2 * -(-chunks // 512)  # Hadoop may keep a checksum beside each
+
+
+@pytest.mark.parametrize("bundle", [1, 2, 5, 100])
+def test_bundled_files_keep_odd_chunks(spark, tmp_path, bundle):
+    rows = [(0, [1]), (1, []), (4, [3, 4, 5]), (5, [6, 7]), (23, [*range(9)])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, tokens array<int>").repartition(4)
+    assert packed.write_packed(chunks, f"file://{tmp_path}/p", "train", "uint16", bundle) == 5
+    assert packed.write_packed(chunks.limit(0), f"file://{tmp_path}/none", "train", "uint16", bundle) == 0
+    assert sorted((r.chunk_id, r.tokens) for r in packed.read_packed(spark, f"{tmp_path}/p", "train").collect()) == rows
+    assert len([f for f in os.listdir(f"{tmp_path}/p") if f.startswith("train")]) == len({c // bundle for c, _ in rows})
+    register_packed(spark)
+    laid = packed.bundled_together(chunks, bundle)
+    laid.write.format("packed").option("bundle", bundle).mode("overwrite").save(f"{tmp_path}/s")
+    for block in (2, 100):
+        read = spark.read.format("packed").option("blockSize", block).load(f"{tmp_path}/s").collect()
+        assert sorted((r.chunk_id, r.block_no, r.tokens) for r in read) == [
+            (c, b, t[b * block : (b + 1) * block]) for c, t in rows for b in range(max(1, -(-len(t) // block)))
+        ]
+    if bundle > 2:  # chunks 4 and 0 share a tar, in whose task they are not
+        with pytest.raises(PySparkException):
+            chunks.repartitionByRange(5, "chunk_id").write.format("packed").option("bundle", bundle).mode("overwrite").save(f"{tmp_path}/t")
+        assert not os.path.exists(f"{tmp_path}/t")
