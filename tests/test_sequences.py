@@ -165,7 +165,7 @@ def test_epochs_and_formulas(spark):
     assert row[0].f == pytest.approx(3 * (2 * 5 * n + attention) + 2 * (2 * 7 * n + attention))
 
 
-@pytest.mark.parametrize("name", ["file_packed_source"])
+@pytest.mark.parametrize("name", ["file_packed", "file_packed_source"])
 @pytest.mark.parametrize("lengths", [[], [262_144], [900] * 299 + [0, 5], [400_000, 124_289]])
 def test_packed_queries_write_few_files(spark, tmp_path, monkeypatch, name, lengths):
     texts = [" ".join("x" * (j * (i + 1) % 9 + 1) for j in range(n)) for i, n in enumerate(lengths)]
