@@ -30,6 +30,21 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(squeezed, SPACE, "")).cast("long")
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and never broadcast. For tables that
+    grow with the input: Spark takes an exploded table for as small as the one below
+    it, and a stored one for as small as its files, and would send it by the driver."""
+    return df.hint("merge")
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt evenly before each row becomes many: adaptive execution leaves few
+    tasks of a small table. By a hash of the key's own, as dealing by a column again
+    would be left out of the plan."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, F.xxhash64(key))
+
+
 def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join on ``keys`` in which few keys may hold most rows of ``left``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import join_spread
+from siftmark.llm.common import growing, join_spread
 from siftmark.session import materialize
 
 
@@ -24,14 +24,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    moved = join_spread(both.where("v > u"), least, ["u"])
+    moved = join_spread(both.where("v > u"), growing(least), ["u"])
     return moved.select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, move to the smallest of them."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = join_spread(edges, least, ["b"])
+    moved = join_spread(edges, growing(least), ["b"])
     pairs = moved.select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y"))
     return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a < b").distinct()
 

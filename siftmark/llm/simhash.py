@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import join_spread, text_bytes
+from siftmark.llm.common import dealt, growing, join_spread, text_bytes
 from siftmark.llm.components import components
 from siftmark.session import materialize
 
@@ -89,25 +89,23 @@ def two_wildcards(prints: DataFrame) -> DataFrame:
 def links(prints: DataFrame, large: int = LARGE) -> DataFrame:
     """Edges (a, b), a < b, between distinct fingerprints: all that share a cold
     variant and differ in at most two bits, and stars for those in hot variants."""
-    index = one_wildcard(prints)
+    index = one_wildcard(dealt(prints, "fingerprint"))
     sizes = index.groupBy("variant").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = materialize(join_spread(index, sizes, ["variant"]), "shared-variants")
+    # few of all variants are shared: rebalanced, they are not a small file from every task
+    shared = materialize(join_spread(index, growing(sizes), ["variant"]).hint("rebalance"), "shared-variants")
     cold = shared.where(F.col("_n") <= large).select("variant", "fingerprint")
     left, right = cold.withColumnRenamed("fingerprint", "a"), cold.withColumnRenamed("fingerprint", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    pairs = left.join(right, "variant").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = left.join(growing(right), "variant").where((F.col("a") < F.col("b")) & near).select("a", "b")
     hot = shared.where(F.col("_n") > large).select("fingerprint").distinct()
-    # dealt evenly before each becomes 2,016 rows: adaptive execution leaves few tasks of so small a
-    # table; by a hash of its own, as dealing by the column again would be left out of the plan
-    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = two_wildcards(hot.repartition(tasks, F.xxhash64("fingerprint")))
+    spread = two_wildcards(dealt(hot, "fingerprint"))
     centres = (
         spread.groupBy("_i", "_j", "_rest")
         .agg(F.min("fingerprint").alias("a"), F.count("*").alias("_n"))
         .where("_n > 1")
     )
     stars = (
-        join_spread(spread, centres, ["_i", "_j", "_rest"])
+        join_spread(spread, growing(centres), ["_i", "_j", "_rest"])
         .where("a < fingerprint")
         .select("a", F.col("fingerprint").alias("b"))
     )
@@ -130,8 +128,8 @@ def near_duplicates(
     prints = made.groupBy("fingerprint").agg(F.min(id_col).alias("_first"))
     edges = links(prints.select("fingerprint"), large)
     roots = components(edges).withColumnRenamed("node", "fingerprint")
-    named = prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    named = prints.join(growing(roots), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     named = materialize(named, "roots")
     smallest = named.groupBy("root").agg(F.min("_first").alias("component_id"))
-    table = join_spread(named, smallest, ["root"]).select("fingerprint", "component_id")
-    return join_spread(made, table, ["fingerprint"]).select(id_col, "fingerprint", "component_id")
+    table = join_spread(named, growing(smallest), ["root"]).select("fingerprint", "component_id")
+    return join_spread(made, growing(table), ["fingerprint"]).select(id_col, "fingerprint", "component_id")

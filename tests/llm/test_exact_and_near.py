@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import odd_rows
 from siftmark.llm import components, exact_dedup, simhash
+from siftmark.session import materialize
 
 
 def squeezed(text):
@@ -98,6 +99,42 @@ def test_links_reach_all_pairs_within_two_bits(spark, large):
         assert (roots.get(a, a) == roots.get(b, b)) == (want[a] == want[b])
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """Final plans of the tables that near dedup stores, by label, as they are made."""
+    found = {}
+
+    def stored(df, label):
+        df.collect()
+        found.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", stored)
+    monkeypatch.setattr(components, "materialize", stored)
+    return found
+
+
+@pytest.mark.parametrize("large", [128, 2])
+def test_near_dedup_broadcasts_no_table_that_grows(spark, plans, large):
+    """Neither exploded variants nor stars nor edges: all are small here, and would be broadcast."""
+    base = 0x0123456789ABCDEF
+    prints = [(base ^ (1 << i),) for i in range(40)] + [(3**i,) for i in range(1, 39)]
+    edges = simhash.links(spark.createDataFrame(prints, "fingerprint long"), large)
+    assert components.components(edges).where("root <> node").count() >= 39
+    found = simhash.near_duplicates(odd_rows.frame(spark), large=large)
+    found.collect()
+    plans["result"] = [found._jdf.queryExecution().executedPlan().toString()]
+    assert {"shared-variants", "edges", "roots", "result"} <= set(plans)
+    for label, some in plans.items():
+        for plan in some:
+            assert "Broadcast" not in plan, label
+
+
+def test_fingerprints_are_dealt_before_they_become_many(spark, plans):
+    simhash.links(spark.range(300).selectExpr("id AS fingerprint"))
+    assert "REPARTITION_BY_NUM" in plans["shared-variants"][0]
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (150, 200)]
     edges = spark.createDataFrame(chain, "a long, b long")
