@@ -87,7 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.least("size", F.col("_taken") - F.col("_part") * F.col("size")).cast("int").alias("_words"),
     )
     once = rows if mixing.all_differ(sizes, "doc_id") else rows.dropDuplicates(["_key"])
-    joined = common.join_spread(once.select("_doc", "_key", "_size"), passes, ["_key"])
+    joined = common.join_spread(once.select("_doc", "_key", "_size"), common.growing(passes), ["_key"])
     cut = F.col("_words") < F.col("_size")
     found = F.slice(F.regexp_extract_all("_doc.text", F.lit(common.WORD), F.lit(0)), 1, F.col("_words"))
     text = F.when(cut, F.array_join(found, " ")).otherwise(F.col("_doc.text"))

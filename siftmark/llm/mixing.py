@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import bucket_count, join_spread
+from siftmark.llm.common import bucket_count, growing, join_spread
 from siftmark.session import materialize
 
 #: Points are multiples of 1 / 2**31; the factor is the odd number nearest 2**31 * 0.618034.
@@ -108,7 +108,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
         "source", "_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
     )
     inside = F.row_number().over(Window.partitionBy("source", "_stretch").orderBy("slot")) - 1
-    joined = line.withColumn("_in", inside).join(starts, ["source", "_stretch"])
+    joined = line.withColumn("_in", inside).join(growing(starts), ["source", "_stretch"])
     return joined.select("slot", "source", (F.col("_start") + F.col("_in")).alias("rank"))
 
 
@@ -142,7 +142,7 @@ def lined_up(sizes: DataFrame, seed: int) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(nearer), F.lit(0)))
-    joined = rows.join(starts, ["source", "_stretch"])
+    joined = rows.join(growing(starts), ["source", "_stretch"])
     return joined.select("doc_id", "source", "size", (F.col("_start") + F.col("_in")).alias("start"))
 
 
@@ -177,7 +177,8 @@ def mixture(
         (F.col("_begin") - F.col("_from")).alias("from_word"),
         (F.least("_to", (F.col("rank") + 1) * block) - F.col("_begin")).alias("words"),
     )
-    return schedule(targets, block).join(pieces, ["source", "rank"]).select("slot", "source", "rank", "doc_id", "size", "pass", "from_word", "words")
+    placed = schedule(targets, block).join(growing(pieces), ["source", "rank"])
+    return placed.select("slot", "source", "rank", "doc_id", "size", "pass", "from_word", "words")
 
 
 def taken_words(docs: DataFrame, block: int = 128, seed: int = 17) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import bucket_count, text_bytes
+from siftmark.llm.common import bucket_count, growing, text_bytes
 from siftmark.llm.word_ids import kept_in
 from siftmark.session import materialize
 
@@ -180,7 +180,7 @@ def place(pieces: DataFrame, capacity: int = 2048, length: str = "length") -> Da
     starts = starts.select(length, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     ranked = (
         rows.withColumn("_in", inside)
-        .join(starts, [length, "_bucket"])
+        .join(growing(starts), [length, "_bucket"])
         .withColumn("_rank", F.col("_start") + F.col("_in"))
     )
     # the plan's rows are bounded by the capacity, not by the pieces

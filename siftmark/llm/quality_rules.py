@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import join_spread, text_bytes
+from siftmark.llm.common import growing, join_spread, text_bytes
 from siftmark.session import materialize
 
 BLANKS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
@@ -145,7 +145,7 @@ def certified_cutoffs(
     a stratum is a row for each combination of cutoffs passed, and label.
     """
     marks = labels.where(F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    rows = measured.where("NOT base_failed").join(marks, id_col)
+    rows = measured.where("NOT base_failed").join(growing(marks), id_col)
     above = [
         sum((F.expr(value) > c).cast("int") for c in cutoffs).alias(name) for name, (value, cutoffs) in RULES.items()
     ]

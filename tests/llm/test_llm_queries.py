@@ -1,11 +1,14 @@
 """The registered queries over stored tables, and the pipeline stage by stage."""
 
+import re
+
 import corpus_pipeline
 import odd_rows
 import pytest
 from compare import compare, connect
 
-from siftmark.llm import exact_dedup, mixing, queries, simhash
+from siftmark.llm import exact_dedup, mixing, quality_rules, queries, simhash
+from siftmark.session import materialize
 
 WITHOUT_SQL = {
     "op3_best_fit_packing", "op4_secret_automaton", "op5_certified_rules", "op6_ftrl_toxicity", "op7_co_training",
@@ -115,3 +118,30 @@ def test_pack_stage_places_odd_rows(spark, folder):
             at += length
         assert at <= queries.CAPACITY
     assert corpus_pipeline.pack(spark, odd_rows.empty(spark), folder).collect() == []
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_mix_broadcasts_no_exploded_rows(spark):
+    """Pieces and passes grow with the texts and their copies, not with the rows they are made of."""
+    rows = [(i, "one two three " * 200, "en", "ab"[i % 2], 2800) for i in range(20)] + [(99, "x y z", "en", "a", 5)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.mix_sources(spark, docs, "")
+    joins = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", final_plan(found))
+    assert not [keys for keys in joins if re.search("_key|rank|_stretch", keys)]
+    assert found.where("doc_id = 99").count() > 50
+
+
+def test_rules_broadcast_no_labels(spark, monkeypatch):
+    plans = {}
+
+    def stored(df, label):
+        plans[label] = final_plan(df)
+        return materialize(df, label)
+
+    monkeypatch.setattr(quality_rules, "materialize", stored)
+    quality_rules.judged(odd_rows.frame(spark), odd_rows.labels(spark)).count()
+    assert "SortMergeJoin" in plans["rule-counts"] and "Broadcast" not in plans["rule-counts"]
