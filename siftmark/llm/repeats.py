@@ -12,8 +12,7 @@ the run's phrase; a document is a sequence of phrases that overlap by
 3. Else the trigger's distinct phrases are compared, each once however many
    copies there are: in tasks that hold whole triggers with few phrases, by the
    given ``solve``; triggers with more than ``LARGE`` phrases are split by longer
-   prefixes, up to the whole window: windows are dealt into as many shares as
-   the trigger has times ``LARGE`` phrases, and counted there.
+   prefixes, up to the whole window: a row for each window, counted by its hash.
 4. The verdicts return to the runs, and from these to the documents.
 
 Text moves compressed and by document only: once to cut phrases, once at the end.
@@ -21,7 +20,6 @@ Text moves compressed and by document only: once to cut phrases, once at the end
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import join_spread, plain_text, text_bytes
+from siftmark.llm.common import growing, join_spread, plain_text, text_bytes
 from siftmark.session import materialize
 
 #: Phrases of one trigger that are compared in one task at most.
@@ -194,33 +192,21 @@ def _runs(docs: DataFrame, runs: Runs, symbols: Symbols) -> DataFrame:
 
 
 def _phrases(texts: DataFrame, classes: DataFrame, runs: Runs, symbols: Symbols) -> DataFrame:
-    """(trigger, phrase, content, share, starts, windows): each class's symbols, for
-    triggers of one share. For others the class's windows by share, as starts and
-    hashes; and, without a phrase, how often a task has met each window of a share."""
-    wanted = classes.groupBy("_key").agg(F.collect_list(F.struct("trigger", "phrase", "place", "shares")).alias("_cuts"))
+    """(trigger, phrase, content, starts, windows): a row for each class, with its symbols,
+    or, for triggers with many phrases, with its windows as starts and hashes."""
+    wanted = classes.groupBy("_key").agg(F.collect_list(F.struct("trigger", "phrase", "place", "many")).alias("_cuts"))
     # rows that are equal in all share a key, and one of them is enough
     joined = join_spread(texts, wanted, ["_key"]).select("_packed", "_cuts")
 
-    def dealt(trigger: int, phrase: int, shares: int, windows: np.ndarray, met: Counter) -> Iterator[tuple]:
-        share = (windows >> np.uint64(20)) % np.uint64(shares)
-        signed = windows.view(np.int64)
-        for number in np.unique(share).tolist():
-            starts = np.flatnonzero(share == number)
-            met.update((trigger, number, w) for w in signed[starts].tolist())
-            yield trigger, phrase, None, number, starts.tolist(), signed[starts].tolist()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, hashes, press = Rolling(), symbols.hashes(), zstandard.ZstdDecompressor()
         rows: list[tuple] = []
-        met: Counter = Counter()
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows.extend((t, None, None, share, [n], [w]) for (t, share, w), n in met.items())
             columns = zip(*rows) if rows else [()] * len(kinds)
             made = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
             rows.clear()
-            met.clear()
             return pa.RecordBatch.from_arrays(made, names=names)
 
         for batch in batches:
@@ -229,24 +215,22 @@ def _phrases(texts: DataFrame, classes: DataFrame, runs: Runs, symbols: Symbols)
                 for cut in cuts.as_py():
                     begin, more = divmod(cut["place"], runs.grams)
                     part = whole[begin : begin + more + runs.width]
-                    if cut["shares"] > 1:
+                    if cut["many"]:
                         at = np.arange(more + 1)
                         windows = rolling.stretch(rolling.sums(mixed(hashes([part]))), at, at + runs.width)
-                        rows.extend(dealt(cut["trigger"], cut["phrase"], cut["shares"], windows, met))
+                        rows.append((cut["trigger"], cut["phrase"], None, at, windows.view(np.int64)))
                         size += 100 * (more + 1)
                     else:
-                        rows.append((cut["trigger"], cut["phrase"], symbols.join(part), None, None, None))
+                        rows.append((cut["trigger"], cut["phrase"], symbols.join(part), None, None))
                         size += len(rows[-1][2])
                 if size > 16_000_000:
                     yield flush()
                     size = 0
         yield flush()
 
-    names = ["trigger", "phrase", "content", "share", "starts", "windows"]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    return joined.mapInArrow(
-        run, "trigger long, phrase long, content binary, share long, starts array<int>, windows array<long>"
-    )
+    names = ["trigger", "phrase", "content", "starts", "windows"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    return joined.mapInArrow(run, "trigger long, phrase long, content binary, starts array<int>, windows array<long>")
 
 
 def _compared(phrases: DataFrame, runs: Runs, solve: Callable) -> DataFrame:
@@ -280,18 +264,13 @@ def _compared(phrases: DataFrame, runs: Runs, solve: Callable) -> DataFrame:
 
 
 def _counted(phrases: DataFrame) -> DataFrame:
-    """The same for triggers with many phrases, by whole windows."""
-    met = phrases.where("phrase IS NULL").select(
-        "trigger", "share", F.get("starts", F.lit(0)).alias("_n"), F.get("windows", F.lit(0)).alias("_window")
-    )
-    often = met.groupBy("trigger", "share", "_window").agg(F.sum("_n").alias("_n")).where("_n > 1")
-    often = often.groupBy("trigger", "share").agg(F.collect_list("_window").alias("_often"))
-    rows = phrases.where("phrase IS NOT NULL AND content IS NULL").select("trigger", "phrase", "share", "starts", "windows")
-    held = join_spread(rows, often, ["trigger", "share"]).withColumn("_both", F.array_intersect("windows", "_often"))
-    shared = F.filter(F.arrays_zip("starts", "windows"), lambda x: F.array_contains("_both", x["windows"]))
-    found = held.select("trigger", "phrase", F.transform(shared, lambda x: x["starts"]).alias("starts"))
-    found = found.groupBy("trigger", "phrase").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    return found.where(F.size("starts") > 0)
+    """The same for triggers with many phrases, by whole windows: a row for each, so that
+    what a window costs does not grow with the trigger's phrases."""
+    rows = phrases.where("content IS NULL").select("trigger", "phrase", F.explode(F.arrays_zip("starts", "windows")).alias("_at"))
+    rows = rows.select("trigger", "phrase", F.col("_at.starts").alias("_start"), F.col("_at.windows").alias("_window"))
+    often = rows.groupBy("trigger", "_window").agg(F.count("*").alias("_n")).where("_n > 1").select("trigger", "_window")
+    held = join_spread(rows, growing(often), ["trigger", "_window"])
+    return held.groupBy("trigger", "phrase").agg(F.sort_array(F.collect_list("_start")).alias("starts"))
 
 
 def flagged(docs: DataFrame, texts: DataFrame, runs: Runs, symbols: Symbols, solve: Callable, large: int = LARGE) -> DataFrame:
@@ -310,8 +289,7 @@ def flagged(docs: DataFrame, texts: DataFrame, runs: Runs, symbols: Symbols, sol
         .select("trigger", "phrase", "copies", "_one.*")
     )
     classes = materialize(classes, "phrases")
-    shares = F.ceil(F.count("*") / large).cast("long")
-    sizes = classes.groupBy("trigger").agg(shares.alias("shares"))
+    sizes = classes.groupBy("trigger").agg((F.count("*") > large).alias("many"))
     phrases = materialize(_phrases(texts, join_spread(classes, sizes, ["trigger"]), runs, symbols), "phrase-texts")
     solved = _compared(phrases, runs, solve).unionByName(_counted(phrases))
     verdicts = (

@@ -9,6 +9,7 @@ import pytest
 
 import odd_rows
 from siftmark.llm import repeats, substring_tree, suffix_parse
+from siftmark.session import materialize
 
 
 def gone_by_counting(sequences, width):
@@ -68,6 +69,27 @@ def test_bytes(spark, large, odd):
     assert sorted(found, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("engine", [substring_tree, suffix_parse])
+def test_a_phrase_is_one_row_however_many_its_trigger_has(spark, monkeypatch, engine):
+    """Nor is a window compared with the others of its trigger: windows are rows that are counted."""
+    files = {}
+
+    def kept(df, label):
+        made = materialize(df, label)
+        files[label] = made.inputFiles()
+        return made
+
+    monkeypatch.setattr(repeats, "materialize", kept)
+    engine.without_repeats(table(spark, False)[0], large=1).count()
+    stored = {label: spark.read.parquet(*names) for label, names in files.items()}
+    many = stored["phrases"].groupBy("trigger").count().where("count > 3")
+    assert many.count() > 0
+    assert stored["phrase-texts"].count() == stored["phrases"].count()
+    counted = repeats._counted(stored["phrase-texts"])
+    assert counted.count() > 0
+    assert "array_intersect" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_tables(spark):
     assert substring_tree.without_repeats(odd_rows.empty(spark)).collect() == []
     assert suffix_parse.without_repeats(odd_rows.empty(spark)).collect() == []
