@@ -12,7 +12,9 @@ the run's phrase; a document is a sequence of phrases that overlap by
 3. Else the trigger's distinct phrases are compared, each once however many
    copies there are: in tasks that hold whole triggers with few phrases, by the
    given ``solve``; triggers with more than ``LARGE`` phrases are split by longer
-   prefixes, up to the whole window: a row for each window, counted by its hash.
+   prefixes, up to the whole window: windows are dealt into as many shares as
+   the trigger has times ``LARGE`` phrases, and counted there, each one time
+   for all phrases that a task has read together.
 4. The verdicts return to the runs, and from these to the documents.
 
 Text moves compressed and by document only: once to cut phrases, once at the end.
@@ -192,18 +194,34 @@ def _runs(docs: DataFrame, runs: Runs, symbols: Symbols) -> DataFrame:
 
 
 def _phrases(texts: DataFrame, classes: DataFrame, runs: Runs, symbols: Symbols) -> DataFrame:
-    """(trigger, phrase, content, starts, windows): a row for each class, with its symbols,
-    or, for triggers with many phrases, with its windows as starts and hashes."""
-    wanted = classes.groupBy("_key").agg(F.collect_list(F.struct("trigger", "phrase", "place", "many")).alias("_cuts"))
+    """(trigger, phrase, content, phrases, share, windows, counts): a row for each class,
+    with its symbols, for triggers of one share. For others a row for each trigger and
+    flush: its phrases, the windows of all of them in turn, and how many each has;
+    and, by share, the different windows of such a row, and how often each is there.
+    ``phrase`` is the first of the row's phrases in both."""
+    wanted = classes.groupBy("_key").agg(F.collect_list(F.struct("trigger", "phrase", "place", "shares")).alias("_cuts"))
     # rows that are equal in all share a key, and one of them is enough
     joined = join_spread(texts, wanted, ["_key"]).select("_packed", "_cuts")
 
+    def dealt(trigger: int, shares: int, phrases: list[int], windows: list[np.ndarray]) -> Iterator[tuple]:
+        whole = np.concatenate(windows)
+        yield trigger, phrases[0], None, phrases, None, whole.view(np.int64), [len(w) for w in windows]
+        different, counts = np.unique(whole, return_counts=True)
+        share = (different >> np.uint64(20)) % np.uint64(shares)
+        order = np.argsort(share, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(share[order])) + 1):
+            yield trigger, phrases[0], None, None, int(share[at[0]]), different[at].view(np.int64), counts[at]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, hashes, press = Rolling(), symbols.hashes(), zstandard.ZstdDecompressor()
         rows: list[tuple] = []
+        many: dict[tuple[int, int], tuple[list, list]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
+            for (trigger, shares), found in many.items():
+                rows.extend(dealt(trigger, shares, *found))
+            many.clear()
             columns = zip(*rows) if rows else [()] * len(kinds)
             made = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
             rows.clear()
@@ -215,22 +233,28 @@ def _phrases(texts: DataFrame, classes: DataFrame, runs: Runs, symbols: Symbols)
                 for cut in cuts.as_py():
                     begin, more = divmod(cut["place"], runs.grams)
                     part = whole[begin : begin + more + runs.width]
-                    if cut["many"]:
+                    if cut["shares"] > 1:
                         at = np.arange(more + 1)
                         windows = rolling.stretch(rolling.sums(mixed(hashes([part]))), at, at + runs.width)
-                        rows.append((cut["trigger"], cut["phrase"], None, at, windows.view(np.int64)))
-                        size += 100 * (more + 1)
+                        phrases, own = many.setdefault((cut["trigger"], cut["shares"]), ([], []))
+                        phrases.append(cut["phrase"])
+                        own.append(windows)
+                        size += 16 * (more + 1)
                     else:
-                        rows.append((cut["trigger"], cut["phrase"], symbols.join(part), None, None))
+                        rows.append((cut["trigger"], cut["phrase"], symbols.join(part), None, None, None, None))
                         size += len(rows[-1][2])
                 if size > 16_000_000:
                     yield flush()
                     size = 0
         yield flush()
 
-    names = ["trigger", "phrase", "content", "starts", "windows"]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    return joined.mapInArrow(run, "trigger long, phrase long, content binary, starts array<int>, windows array<long>")
+    names = ["trigger", "phrase", "content", "phrases", "share", "windows", "counts"]
+    longs = pa.list_(pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.binary(), longs, pa.int64(), longs, longs)
+    return joined.mapInArrow(
+        run,
+        "trigger long, phrase long, content binary, phrases array<long>, share long, windows array<long>, counts array<long>",
+    )
 
 
 def _compared(phrases: DataFrame, runs: Runs, solve: Callable) -> DataFrame:
@@ -264,13 +288,53 @@ def _compared(phrases: DataFrame, runs: Runs, solve: Callable) -> DataFrame:
 
 
 def _counted(phrases: DataFrame) -> DataFrame:
-    """The same for triggers with many phrases, by whole windows: a row for each, so that
-    what a window costs does not grow with the trigger's phrases."""
-    rows = phrases.where("content IS NULL").select("trigger", "phrase", F.explode(F.arrays_zip("starts", "windows")).alias("_at"))
-    rows = rows.select("trigger", "phrase", F.col("_at.starts").alias("_start"), F.col("_at.windows").alias("_window"))
-    often = rows.groupBy("trigger", "_window").agg(F.count("*").alias("_n")).where("_n > 1").select("trigger", "_window")
-    held = join_spread(rows, growing(often), ["trigger", "_window"])
-    return held.groupBy("trigger", "phrase").agg(F.sort_array(F.collect_list("_start")).alias("starts"))
+    """The same for triggers with many phrases, by whole windows: what a window costs
+    does not grow with the trigger's phrases."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+
+        def often(rows: list[tuple]) -> pa.RecordBatch:
+            windows = [r[3].values.to_numpy() for r in rows]
+            _, inverse = np.unique(np.concatenate(windows), return_inverse=True)
+            met = np.bincount(inverse, np.concatenate([r[4].values.to_numpy() for r in rows]))
+            again = np.split(met[inverse] > 1, np.cumsum([len(w) for w in windows])[:-1])
+            kept = [(r[0], r[1], w[a]) for r, w, a in zip(rows, windows, again) if a.any()]
+            columns = list(zip(*kept)) or [(), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+        names = ["trigger", "phrase", "often"]
+        for batch in batches:
+            keys = (c.to_pylist() for c in batch.columns[:3])
+            for row in zip(*keys, batch.column(3), batch.column(4)):
+                if waiting and (row[0], row[2]) != (waiting[-1][0], waiting[-1][2]):
+                    yield often(waiting)
+                    waiting = []
+                waiting.append(row)
+        if waiting:
+            yield often(waiting)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for trigger, *lists in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                own, windows, counts, often = (x.values.to_numpy() for x in lists)
+                marked = np.split(np.isin(windows, often), np.cumsum(counts)[:-1])
+                rows.extend((trigger, p, np.flatnonzero(m)) for p, m in zip(own.tolist(), marked) if m.any())
+            columns = list(zip(*rows)) or [(), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            made = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(made, names=["trigger", "phrase", "starts"])
+
+    met = phrases.where("share IS NOT NULL").select("trigger", "phrase", "share", "windows", "counts")
+    met = met.repartition("trigger", "share").sortWithinPartitions("trigger", "share")
+    often = met.mapInArrow(count, "trigger long, phrase long, often array<long>")
+    often = often.groupBy("trigger", "phrase").agg(F.flatten(F.collect_list("often")).alias("often"))
+    held = phrases.where("phrases IS NOT NULL").join(growing(often), ["trigger", "phrase"])
+    return held.select("trigger", "phrases", "windows", "counts", "often").mapInArrow(
+        mark, "trigger long, phrase long, starts array<int>"
+    )
 
 
 def flagged(docs: DataFrame, texts: DataFrame, runs: Runs, symbols: Symbols, solve: Callable, large: int = LARGE) -> DataFrame:
@@ -289,7 +353,8 @@ def flagged(docs: DataFrame, texts: DataFrame, runs: Runs, symbols: Symbols, sol
         .select("trigger", "phrase", "copies", "_one.*")
     )
     classes = materialize(classes, "phrases")
-    sizes = classes.groupBy("trigger").agg((F.count("*") > large).alias("many"))
+    shares = F.ceil(F.count("*") / large).cast("long")
+    sizes = classes.groupBy("trigger").agg(shares.alias("shares"))
     phrases = materialize(_phrases(texts, join_spread(classes, sizes, ["trigger"]), runs, symbols), "phrase-texts")
     solved = _compared(phrases, runs, solve).unionByName(_counted(phrases))
     verdicts = (
